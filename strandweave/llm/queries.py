@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandweave.llm import cooccur, distinct, frequency, heavy, overlap
+from strandweave.llm import bpe, cooccur, distinct, frequency, heavy, overlap, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,9 @@ def queries() -> dict[str, Query]:
         "p4_frequency": lambda s, d: frequency.kmer_frequencies(k(s, d)),
         "p5_found": lambda s, d: heavy.heaviest_kmers(k(s, d)).select("kmer"),
         "p5_heavy": lambda s, d: heavy.heaviest_kmers(k(s, d)),
+        "p7_ids": lambda s, d: bpe.encode_texts(_table(s, d, "documents"), "doc_id", "text"),
+        "p8_found": lambda s, d: packing.divided(packing.pack_documents(_table(s, d, "documents"))),
+        "p8_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents")),
     }
 
 
