@@ -40,3 +40,37 @@ def usable_kmers(kmer_t: DataFrame, *keep: str, k: int = 21) -> DataFrame:
     u = F.upper("kmer")
     rows = kmer_t.where(F.col("sample").isNotNull()).select(*[c for c in keep if c != "kmer"], u.alias("kmer"))
     return rows.where((F.length("kmer") == k) & F.col("kmer").rlike(f"^[ACGT]{{{k}}}")).withColumn("kmer", canonical("kmer"))
+
+
+def acgt_runs(seq: Column | str) -> Column:
+    """Maximal runs of A, C, G, T (either letter case, upper-cased): every other character breaks a run, as in any text that isn't ASCII. Null gives null."""
+    return F.split(F.translate(as_column(seq), "acgt", "ACGT"), "[^ACGT]+")
+
+
+def windows(run: Column | str, k: int) -> Column:
+    """All k-mers of one run, in order; an empty array if it is shorter."""
+    r = as_column(run)
+    return F.when(F.length(r) >= k, F.transform(F.sequence(F.lit(1), F.length(r) - (k - 1)), lambda i: F.substring(r, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+
+def explode_kmers(reads: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
+    """(keep, kmer): the canonical k-mers of every read, one row an occurrence. Null, empty and short reads give no row."""
+    runs = reads.select(*keep, F.explode(acgt_runs(seq)).alias("_run")).where(F.length("_run") >= k)
+    return runs.select(*keep, F.explode(windows("_run", k)).alias("kmer")).withColumn("kmer", canonical("kmer"))
+
+
+def well_mixed(kmer: Column | str, k: int) -> Column:
+    """Special filter: every base at least twice, none in more than half of the k-mer, no run of five or more."""
+    x = as_column(kmer)
+    each = [F.length(x) - F.length(F.replace(x, F.lit(b), F.lit(""))) for b in "ACGT"]
+    ok = ~x.rlike("A{5}|C{5}|G{5}|T{5}")
+    for n in each:
+        ok = ok & (n >= 2) & (n * 2 <= k)
+    return ok
+
+
+def complexity(kmer: Column | str, k: int) -> Column:
+    """Number of distinct non-empty substrings of a k-mer."""
+    x = as_column(kmer)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda n: F.transform(F.sequence(F.lit(1), F.lit(k) - n + 1), lambda i: F.substring(x, i, n))))
+    return F.size(F.array_distinct(every))
