@@ -68,8 +68,8 @@ def read_tip_info(spark: SparkSession, path: str) -> DataFrame:
 def read_share_csv(spark: SparkSession, path: str) -> DataFrame:
     """(s1, s2, nshare DOUBLE) of a matrix with a header of names and no row labels."""
     names = [x.strip() for x in spark.read.text(path).first()[0].split(",")]
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), r"\r?\n")).alias("i", "x")).where("i > 0")
-    return rows.select(F.array(*map(F.lit, names))[F.col("i") - 1].alias("s1"), F.posexplode(F.split("x", ",")).alias("j", "v")).select("s1", F.array(*map(F.lit, names))[F.col("j")].alias("s2"), F.col("v").cast("double").alias("nshare"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "x")).where("i > 0 and trim(x) <> ''")
+    return rows.select(F.get(F.array(*map(F.lit, names)), F.col("i") - 1).alias("s1"), F.posexplode(F.split("x", ",")).alias("j", "v")).select("s1", F.get(F.array(*map(F.lit, names)), F.col("j")).alias("s2"), F.col("v").cast("double").alias("nshare"))
 
 
 def read_phylip(spark: SparkSession, path: str, form: str = "square", replicates: bool = False) -> DataFrame:

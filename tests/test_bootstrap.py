@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from strandweave.operators import bootstrap as B
+
+
+def test_read_bootstrap_draws_as_many_as_each_file_has(spark):
+    reads = spark.createDataFrame([(i, "f" if i % 3 else "g") for i in range(300)] + [(1000, None)], "read_id bigint, file string")
+    got = B.bootstrap_reads(reads, 5)
+    n = {r.file: r.n for r in got.groupBy("file").agg(F.sum("draws").alias("n")).collect()}
+    assert n == {"f": 200, "g": 100, "": 1}
+    assert 100 < got.count() < 280
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, B.bootstrap_reads(reads.repartition(7), 5).collect()))
+
+
+def test_subsample(spark):
+    reads = spark.createDataFrame([(i,) for i in range(50)], "read_id bigint")
+    a = {r.read_id for r in B.subsample(reads, 20, 1).collect()}
+    assert len(a) == 20
+    assert a == {r.read_id for r in B.subsample(reads.repartition(5), 20, 1).collect()}
+    assert a != {r.read_id for r in B.subsample(reads, 20, 2).collect()}
+    assert B.subsample(reads, 99, 1).count() == 50
+
+
+def test_row_numbers(spark):
+    rows = spark.createDataFrame([(x,) for x in "ecadbfg"], "x string")
+    assert [(r.x, r._row) for r in B.row_numbers(rows, "x").orderBy("x").collect()] == list(zip("abcdefg", range(7), strict=True))
+    assert B.row_numbers(rows.limit(0), "x").count() == 0
+
+
+PATTERNS = [("p", ["a", "b"], 300), ("p", ["a"], 100), ("p", ["c", "b"], 200), ("p", ["d", "a", "b", "c"], 150), ("p", ["d"], 50)]
+
+
+def test_table_bootstrap(spark):
+    p = spark.createDataFrame(PATTERNS, "panel string, pattern array<string>, n bigint")
+    w = B.pattern_weights(p, 3, 1)
+    assert {r.n for r in w.groupBy("replicate").agg(F.sum("n").alias("n")).collect()} == {800}
+    assert {r.n for r in B.pattern_weights(p, 3, 1, 7).groupBy("replicate").agg(F.sum("n").alias("n")).collect()} == {800 // 7}
+    t = sorted(map(tuple, B.bootstrap_trees(p, 4, 1, 21).collect()))
+    assert len(t) == 4
+    assert t == sorted(map(tuple, B.bootstrap_trees(p.repartition(3), 4, 1, 21).collect()))
+    assert B.bootstrap_trees(p.limit(0), 4, 1, 21).count() == 0
+
+
+def test_parametric(spark):
+    e = spark.createDataFrame([("p", "a", f"b{i}", 0.5, 1000, 0.01) for i in range(300)], "panel string, s1 string, s2 string, d double, n bigint, se double")
+    r = B.parametric_distances(e, 10, 3).agg(F.avg("d").alias("m"), F.stddev("d").alias("s"), F.count("*").alias("n")).first()
+    assert r.n == 3000
+    assert abs(r.m - 0.5) < 0.001
+    assert abs(r.s - 0.01) < 0.001
+    pairs = spark.createDataFrame([("p", a, b, 0.1 + 0.01 * (ord(a) + ord(b) - 195), 1000) for a, b in ("ab", "ac", "ad", "bc", "bd", "cd")], "panel string, s1 string, s2 string, d double, n bigint")
+    assert B.parametric_trees(pairs, 3, 1, 21).count() == 3
+
+
+def test_covariance_is_that_of_shared_paths():
+    import numpy as np
+
+    d = np.array([[0, 2, 5, 5], [2, 0, 5, 5], [5, 5, 0, 2], [5, 5, 2, 0]]) / 50  # ((a,b),(c,d)), interior 3/50
+    pairs = [(0, 1), (2, 3), (0, 2), (1, 3)]
+    c = B.shared_path_covariance(d, pairs, np.full(4, 100.0), 21)
+    assert abs(c[0, 1]) < 1e-15
+    assert c[2, 3] > 0
+    assert np.allclose(c, c.T)
