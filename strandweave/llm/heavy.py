@@ -24,6 +24,8 @@ DEPTH, WIDTH = 5, 1 << 16
 LEVELS = (12, 18, 24, 30, 36, 42)
 #: Standard errors that an estimate is allowed to be wrong by.
 SURE = 4.0
+#: Prefixes that a level of the descent may look at.
+MOST = 1 << 22
 #: Counters of a sketch row that make one row of the shuffle.
 CELL = 1 << 12
 _A = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -96,18 +98,23 @@ def noise(sketch: np.ndarray, level: int) -> float:
     return float(np.median(np.abs(sketch[level]))) / 0.6745
 
 
-def descend(sketch: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Prefixes of the longest length, with estimates, whose estimate and those of all shorter prefixes are within SURE errors of `least` or above."""
+def descend(sketch: np.ndarray, least: float) -> tuple[int, np.ndarray, np.ndarray]:
+    """Prefix length, prefixes and estimates: those whose estimate and those of all shorter prefixes are within SURE errors of `least` or above.
+
+    The descent ends early where the next level would have more than MOST prefixes, as over amounts that are all alike: the second scan then has more
+    candidates under shorter prefixes to add up, and the driver's memory stays bounded."""
     p = np.arange(1 << LEVELS[0], dtype=np.uint64)
     est = np.zeros(0)
     for i, bits in enumerate(LEVELS):
         if i:
             more = bits - LEVELS[i - 1]
+            if len(p) << more > MOST:
+                return LEVELS[i - 1], p, est
             p = ((p[:, None] << np.uint64(more)) | np.arange(1 << more, dtype=np.uint64)[None, :]).ravel()
         est = estimate(sketch, i, p)
         keep = est >= least - SURE * noise(sketch, i)
         p, est = p[keep], est[keep]
-    return p, est
+    return LEVELS[-1], p, est
 
 
 def threshold(sketch: np.ndarray, k: int) -> float:
@@ -137,9 +144,9 @@ def heaviest(rows: DataFrame, item: str, amount: str, delivery: str, k: int = 20
     sketch = build(hashed.select("hash", F.greatest(F.coalesce("amount", F.lit(0)), F.lit(0)).alias("amount")))
     least = max(1.0, threshold(sketch, k))
     while True:
-        p, est = descend(sketch, least)
+        bits, p, est = descend(sketch, least)
         top = rows.sparkSession.createDataFrame(pa.table({"prefix": pa.array(p.view(np.int64)), "approx": pa.array(np.rint(est).astype(np.int64))}))
-        found = hashed.withColumn("prefix", F.shiftrightunsigned("hash", 64 - LEVELS[-1])).join(F.broadcast(top) if len(p) <= MAX_BROADCAST else top, "prefix")
+        found = hashed.withColumn("prefix", F.shiftrightunsigned("hash", 64 - bits)).join(F.broadcast(top) if len(p) <= MAX_BROADCAST else top, "prefix")
         once = found.groupBy("item", "delivery", "approx").agg(F.max("amount").alias("one"), F.sum("amount").alias("each"))
         total = F.sum(F.coalesce(F.when(F.col("delivery").isNull(), F.col("each")).otherwise(F.col("one")), F.lit(0))).alias("total")
         best = durable(once.groupBy("item").agg(F.max("approx").alias("approx"), total).orderBy(F.desc("total"), "item").limit(k))

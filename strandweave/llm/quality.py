@@ -149,15 +149,26 @@ def line_kinds(text: str, words_of: Words) -> list[str]:
 
 
 def _repetition(lines: list[str], paragraphs: list[str], words: list[str]) -> tuple[float, float, float]:
-    """Shares of lines and of paragraphs that repeat an earlier one, and the largest share of the letters that the occurrences of one run of 2 to 4 words cover."""
+    """Shares of lines and of paragraphs that repeat an earlier one, and the share of the letters that the occurrences of the weightiest run of 2, 3 or 4 words cover."""
     share = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
     letters, most = sum(map(len, words)), 0
     for n in (2, 3, 4):
         runs = Counter(zip(*(words[i:] for i in range(n)), strict=False))
         if runs:
             run, k = max(runs.items(), key=lambda r: (r[1] > 1) * r[1] * sum(map(len, r[0])))
-            most = max(most, (k > 1) * k * sum(map(len, run)))
-    return share(lines), share(paragraphs), min(1.0, most / letters) if letters else 0.0
+            if k > 1:
+                most = max(most, _covered(words, run))
+    return share(lines), share(paragraphs), most / letters if letters else 0.0
+
+
+def _covered(words: list[str], run: tuple[str, ...]) -> int:
+    """Letters of the words that lie in an occurrence of the run; occurrences may overlap."""
+    n, letters, at = len(run), 0, 0
+    for i in range(len(words) - n + 1):
+        if words[i] == run[0] and tuple(words[i : i + n]) == run:
+            letters += sum(map(len, words[max(at, i) : i + n]))
+            at = i + n
+    return letters
 
 
 def page_statistics(text: str | None, words_of: Words) -> tuple:
