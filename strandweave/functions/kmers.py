@@ -47,16 +47,23 @@ def acgt_runs(seq: Column | str) -> Column:
     return F.split(F.translate(as_column(seq), "acgt", "ACGT"), "[^ACGT]+")
 
 
-def windows(run: Column | str, k: int) -> Column:
-    """All k-mers of one run, in order; an empty array if it is shorter."""
-    r = as_column(run)
-    return F.when(F.length(r) >= k, F.transform(F.sequence(F.lit(1), F.length(r) - (k - 1)), lambda i: F.substring(r, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+#: K-mers that one row of a run is exploded to at most; longer runs are cut into overlapping stretches first.
+STRETCH = 1 << 16
 
 
 def explode_kmers(reads: DataFrame, seq: str, k: int, *keep: str) -> DataFrame:
-    """(keep, kmer): the canonical k-mers of every read, one row an occurrence. Null, empty and short reads give no row."""
-    runs = reads.select(*keep, F.explode(acgt_runs(seq)).alias("_run")).where(F.length("_run") >= k)
-    return runs.select(*keep, F.explode(windows("_run", k)).alias("kmer")).withColumn("kmer", canonical("kmer"))
+    """(keep, kmer): the canonical k-mers of every read, one row an occurrence. Null, empty and short reads give no row; sequences may be as long as a row can be.
+
+    Windows are cut from bytes, where a position costs nothing to find, and the other strand is made once a stretch: its windows mirror those of the first.
+    """
+    runs = reads.select(*keep, F.explode(acgt_runs(seq)).alias("_run")).where(F.length("_run") >= k).select(*keep, F.col("_run").cast("binary").alias("_run"))
+    n = F.length("_run")
+    parts = runs.select(*keep, "_run", F.explode(F.sequence(F.lit(0), ((n - k) / STRETCH).cast("int"))).alias("_at"))
+    cut = parts.select(*keep, F.substring("_run", F.col("_at") * STRETCH + 1, F.lit(STRETCH + k - 1)).alias("_run"))
+    both = cut.select(*keep, "_run", F.reverse(F.translate(F.col("_run").cast("string"), "ACGT", "TGCA")).cast("binary").alias("_rc"))
+    each = both.select(*keep, "_run", "_rc", F.explode(F.sequence(F.lit(1), n - (k - 1))).alias("_i"))
+    w = F.least(F.substring("_run", F.col("_i"), F.lit(k)), F.substring("_rc", F.length("_rc") - (k - 2) - F.col("_i"), F.lit(k)))
+    return each.select(*keep, w.cast("string").alias("kmer"))
 
 
 def well_mixed(kmer: Column | str, k: int) -> Column:
