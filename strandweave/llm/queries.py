@@ -55,8 +55,8 @@ m as (select *, case when records = 1 and occurrences <= 1 then 'rare' when reco
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"""with {_USABLE}, d as (select distinct sample, count_day, kmer from u where count_day is not null),
-o as (select a.sample, a.count_day, a.kmer, max((b.kmer is not null)::int) as old from d a left join d b on a.sample = b.sample and a.kmer = b.kmer and b.count_day between a.count_day - 30 and a.count_day - 1 group by 1, 2, 3)
-select strftime(count_day, '%Y-%m-%d') as count_day, sample from o group by 1, 2 having sum(1 - old) * 2 < count(*)""",
+o as (select sample, count_day, coalesce(count_day - lag(count_day) over (partition by sample, kmer order by count_day) <= 30, false) as old from d)
+select strftime(count_day, '%Y-%m-%d') as count_day, sample from o group by 1, 2 having count(*) filter (where not old) * 2 < count(*)""",
         "p2_found": f"with {_PAIRS} select s1, s2 from q where shared * 100 >= least(n1, n2) * 48",
         "p2_overlap": f"with {_PAIRS} select s1, s2, shared, n1, n2, shared / least(n1, n2) as share from q",
         "p3_found": f"with {_TOGETHER} select s1, s2 from q where n12::hugeint * n * 100 >= n1::hugeint * n2 * 175",
