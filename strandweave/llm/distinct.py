@@ -23,6 +23,8 @@ REGISTERS = 400
 #: Rows that are hashed together, and sketches held by a task before it hands them on.
 CHUNK, HELD = 32_768, 4_096
 Z = 4.9
+#: Days in doubt (some 40 bytes each) that are broadcast to be counted exactly; more are joined by a shuffle, over SALT parts a sample.
+BROADCAST, SALT = 50_000, 32
 
 
 def multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,9 +250,15 @@ def repeated_days(kmer_t: DataFrame, days: int = 30, m: int = REGISTERS) -> Data
     rows = usable_kmers(kmer_t, "sample", "count_day")
     told = durable(novelty(build_sketches(rows.withColumn("h", F.xxhash64("kmer")), ["sample", "count_day"], "h", m), days).where(F.col("share_low") < 0.5))
     sure, doubt = told.where(F.col("share_high") < 0.5).select("sample", "count_day"), told.where(F.col("share_high") >= 0.5).select("sample", "count_day")
-    if not doubt.isEmpty():
+    n = doubt.count()
+    if n:
         d = doubt.select(F.col("sample").alias("_s"), F.col("count_day").alias("_d"))
-        near = rows.join(d, (F.col("sample") == F.col("_s")) & F.col("count_day").between(F.date_sub("_d", days), F.col("_d")))
+        here = (F.col("sample") == F.col("_s")) & F.col("count_day").between(F.date_sub("_d", days), F.col("_d"))
+        if n <= BROADCAST:
+            near = rows.join(F.broadcast(d), here)
+        else:  # a sample that holds a third of all rows is spread over the parts, each with its own copy of the days in doubt
+            parts = d.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            near = rows.withColumn("part", F.pmod(F.xxhash64("kmer"), F.lit(SALT))).join(parts, here & (F.col("part") == F.col("_part")))
         seen = near.groupBy("_s", "_d", "kmer").agg(F.max((F.col("count_day") == F.col("_d")).cast("int")).alias("now"), F.max((F.col("count_day") < F.col("_d")).cast("int")).alias("before"))
         exact = seen.where("now = 1").groupBy("_s", "_d").agg(F.sum(1 - F.col("before")).alias("new"), F.count(F.lit(1)).alias("n"))
         sure = sure.unionByName(exact.where(2 * F.col("new") < F.col("n")).select(F.col("_s").alias("sample"), F.col("_d").alias("count_day")))

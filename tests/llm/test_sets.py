@@ -80,7 +80,7 @@ def held(rows):
 # --- distinct counts
 
 
-def test_repeated_days(table, rows, empty):
+def test_repeated_days(table, rows, empty, monkeypatch):
     by = defaultdict(lambda: defaultdict(set))
     for _, s, k, _, d in usable(rows):
         if d:
@@ -94,6 +94,8 @@ def test_repeated_days(table, rows, empty):
     assert want
     assert {tuple(r) for r in distinct.repeated_days(table).collect()} == want
     assert {tuple(r) for r in distinct.repeated_days(table, m=16).collect()} == want  # nearly everything in doubt
+    monkeypatch.setattr(distinct, "BROADCAST", 0)
+    assert {tuple(r) for r in distinct.repeated_days(table, m=16).collect()} == want
     assert distinct.repeated_days(empty).count() == 0
 
 
