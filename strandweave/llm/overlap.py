@@ -29,7 +29,11 @@ def pair_counts(incidence: DataFrame, item: str, column: str) -> DataFrame:
 
     incidence: identifier BIGINT in `item`, set number (dense from 0) in `column`; rows with a null in either are left out, repeated rows count once.
     """
-    rows = incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col")).dropna().distinct()
+    return _pair_counts(incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col")).dropna().distinct())
+
+
+def _pair_counts(rows: DataFrame) -> DataFrame:
+    """pair_counts of distinct rows (item, col) without nulls."""
     blocks = rows.repartition("item").sortWithinPartitions("item").mapInArrow(_products, "bi int, bj int, cells binary")
     return blocks.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_sums, "i bigint, j bigint, n bigint")
 
@@ -136,7 +140,7 @@ def sample_overlaps(kmer_t: DataFrame, least_percent: int = 0) -> DataFrame:
     """
     rows = usable_kmers(kmer_t, "sample").distinct()
     ids = dense_ids(kmer_t.select("sample"), "sample", "sid")
-    cells = durable(pair_counts(rows.join(ids, "sample").select(encode_2bit("kmer").alias("code"), "sid"), "code", "sid"))
+    cells = durable(_pair_counts(rows.join(ids, "sample").select(encode_2bit("kmer").alias("item"), F.col("sid").cast("int").alias("col"))))
     own = cells.where("i = j").join(ids, F.col("i") == F.col("sid")).select("sid", "sample", "n")
     a, b = own.select(F.col("sid").alias("i"), F.col("sample").alias("s1"), F.col("n").alias("n1")), own.select(F.col("sid").alias("j"), F.col("sample").alias("s2"), F.col("n").alias("n2"))
     pairs = cells.where("i < j").withColumnRenamed("n", "shared").join(a, "i").join(b, "j")
