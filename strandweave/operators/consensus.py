@@ -91,3 +91,10 @@ def consensus_trees(trees: DataFrame, group: str, method: str = "mre", fraction:
         return pd.DataFrame([(p[group].iloc[0], render(root, 2), count)], columns=[group, "newick", "n_trees"])
 
     return rows.groupBy(group).applyInPandas(run, f"{group} {dict(trees.dtypes)[group]}, newick string, n_trees bigint")
+
+
+def split_listing(trees: DataFrame, group: str, method: str = "mre", fraction: float = 0.5, rooted: bool = False) -> DataFrame:
+    """(group, split, weight, included): every split of a group's trees with its support, and whether the consensus has it."""
+    support = split_support(trees, group).select(group, "split", "weight")
+    chosen = splits(consensus_trees(trees, group, method, fraction, rooted), group, trivial=False).select(group, "split", F.lit(True).alias("included"))
+    return support.join(chosen, [group, "split"], "left").fillna(False, ["included"])

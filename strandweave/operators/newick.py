@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[(),;:]|\[|'(?:[^']|'')*'|[^\s(),;:\[\]]+")
 EDGES = "node int, parent int, name string, length double, is_tip boolean"
@@ -196,6 +197,16 @@ def splits(trees: DataFrame, *keep: str, trivial: bool = True) -> DataFrame:
     return trees.select(*keep, "newick").mapInPandas(run, f"{_ddl(trees, keep)}split array<string>, length double, weight double")
 
 
+def tip_problems(trees: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, key, name, problem) of trees (group, key, newick): `repeated` for a name that a tree has more than once, `missing` for one that another tree of the group has and it hasn't."""
+    tips = edges(trees, group, key).where("is_tip").groupBy(group, key, "name").agg(F.count(F.lit(1)).alias("n"))
+    repeated = tips.where("n > 1").select(group, key, "name", F.lit("repeated").alias("problem"))
+    ids = trees.where("newick is not null").groupBy(group).agg(F.count_distinct(key).alias("_trees"))
+    known = tips.groupBy(group, "name").agg(F.count(F.lit(1)).alias("_held")).join(ids, group).where("_held < _trees").select(group, "name")
+    lacking = trees.where("newick is not null").select(group, key).distinct().join(known, group).join(tips, [group, key, "name"], "left_anti")
+    return repeated.unionByName(lacking.select(group, key, "name", F.lit("missing").alias("problem")))
+
+
 def _ddl(df: DataFrame, keep: tuple[str, ...]) -> str:
     return "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*keep).schema.fields)
 

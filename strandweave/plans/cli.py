@@ -5,25 +5,43 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandweave.operators import bootstrap, consensus, counting, sharing
+from strandweave.operators import bootstrap, consensus, counting, newick, sharing, treedist, treefit
 from strandweave.plans import pipeline
 from strandweave.sources.fastx import read_fastx
-from strandweave.sources.tables import phylip_lines, write_counts
+from strandweave.sources.tables import phylip_lines, read_trees, write_counts
+
+
+COMMANDS = {
+    "count": "k-mers of each sample",
+    "histogram": "how many k-mers of each sample have each count",
+    "singletons": "k-mers that one sample only holds, over k",
+    "stats": "reads, bases, lengths and GC of each sample",
+    "distance": "distance matrix",
+    "phylogeny": "tree",
+    "bootstrap": "consensus of the trees of resampled tables",
+    "consensus": "consensus of a file of trees",
+    "treedist": "distances between trees that follow one another in a file",
+    "trim": "a file of trees with tips shortened by --by",
+}
 
 
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandweave", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
-    for name, text in (("count", "k-mers of each sample"), ("distance", "distance matrix"), ("phylogeny", "tree"), ("bootstrap", "trees of resampled tables and their consensus")):
+    for name, text in COMMANDS.items():
         c = sub.add_parser(name, help=text)
-        c.add_argument("-d", "--data", required=True, help="folder of FASTA or FASTQ files, a folder a sample; or a Parquet table (panel, sample, kmer, cnt)")
+        c.add_argument("-d", "--data", required=True, help="folder of FASTA or FASTQ files, a folder a sample; a Parquet table (panel, sample, kmer, cnt); or a file of trees")
         c.add_argument("-o", "--out", required=True, help="folder to write")
         c.add_argument("-k", type=int, default=25, help="k-mer length")
         c.add_argument("-n", type=int, default=1, help="smallest count of a k-mer that is kept")
         c.add_argument("--replicates", type=int, default=100)
         c.add_argument("--seed", type=int, default=1)
         c.add_argument("--method", choices=consensus.METHODS, default="mre")
+        c.add_argument("--fraction", type=float, default=0.5, help="support that method ml asks for")
+        c.add_argument("--outgroup", help="tip at which trees are hung up")
+        c.add_argument("--by", type=float, default=0.0)
         c.add_argument("-s", "--plan", action="store_true", help="only show the plan")
     return p
 
@@ -34,20 +52,38 @@ def _counts(spark: SparkSession, data: str, k: int, least: int) -> DataFrame:
     return pipeline.reads_to_counts(read_fastx(spark, data), k, least)
 
 
-def main(args: list[str] | None = None) -> None:
-    a = _parser().parse_args(args)
-    spark = SparkSession.builder.appName("strandweave").getOrCreate()
+def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The table that a command writes."""
+    if a.command == "stats":
+        return counting.read_statistics(read_fastx(spark, a.data))
+    if a.command in ("consensus", "treedist", "trim"):
+        trees = read_trees(spark, a.data).withColumn("grp", F.lit("all"))
+        if a.command == "consensus":
+            return consensus.consensus_trees(trees, "grp", a.method, a.fraction)
+        if a.command == "trim":
+            trim = F.udf(lambda t: newick.render(newick.trim_tips(newick.parse(t)[0], a.by)))
+            return trees.select("tree_id", trim("newick").alias("newick"))
+        numbered = bootstrap.row_numbers(trees, "tree_id").select(F.col("_row").alias("id"), "newick")
+        return treedist.split_distance(newick.splits(numbered, "id"), treedist.pair_ids(numbered, "adjacent"))
     counts = _counts(spark, a.data, a.k, a.n)
     match a.command:
         case "count":
-            out = counts.select("sample", "kmer", "cnt")
+            return counts.select("sample", "kmer", "cnt")
+        case "histogram":
+            return counting.abundance(counts)
+        case "singletons":
+            return sharing.singletons(counts, a.k)
         case "distance":
-            out = phylip_lines(pipeline.distances_of(sharing.pair_shares(counts), a.k))
+            return phylip_lines(pipeline.distances_of(sharing.pair_shares(counts), a.k))
         case "phylogeny":
-            out = pipeline.phylogeny(counts, a.k)
-        case _:
-            patterns = sharing.patterns(counts.select("panel", "sample", "kmer").distinct())
-            out = consensus.consensus_trees(bootstrap.bootstrap_trees(patterns, a.replicates, a.seed, a.k), "panel", a.method)
+            return pipeline.phylogeny(counts, a.k, treefit.Options(outgroup=a.outgroup))
+    patterns = sharing.patterns(counts.select("panel", "sample", "kmer").distinct())
+    return consensus.consensus_trees(bootstrap.bootstrap_trees(patterns, a.replicates, a.seed, a.k), "panel", a.method, a.fraction)
+
+
+def main(args: list[str] | None = None) -> None:
+    a = _parser().parse_args(args)
+    out = result(SparkSession.builder.appName("strandweave").getOrCreate(), a)
     if a.plan:
         out.explain("formatted")
     elif a.command == "count":

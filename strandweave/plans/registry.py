@@ -179,7 +179,7 @@ def queries() -> dict[str, Query]:
         "kmer_counts": lambda s, d: counting.count_kmers(r(s, d), K),
         "kmer_counts_wide_k": lambda s, d: counting.count_kmers(r(s, d), 33),
         "kmer_diversity": lambda s, d: counting.diversity(counting.count_kmers(r(s, d), K)),
-        "kmer_filter_n2": lambda s, d: counting.count_kmers(r(s, d), K, least=2),
+        "kmer_filter_n2": lambda s, d: counting.count_kmers(r(s, d), 9, least=2),
         "kmer_special_filter": lambda s, d: counting.count_kmers(r(s, d), K, special=True),
         "kmer_special_filter_inverse": lambda s, d: counting.count_kmers(r(s, d), K, special=False),
         "kmer_complexity": lambda s, d: counting.count_kmers(r(s, d), 9).select("kmer").distinct().withColumn("complexity", complexity("kmer", 9)),
@@ -228,11 +228,14 @@ def queries() -> dict[str, Query]:
         "consensus_censor": _censored,
         "tree_distance_adjacent": _tree_distance("adjacent"),
         "tree_distance_corresponding": _tree_distance("corresponding"),
+        "tree_distance_all": lambda s, d: treedist.all_distances(_mask_trees(s, d)),
         # trees, by iteration or at random: tested in tests/
         "tree_fit": _trees,
         "tree_edges": lambda s, d: newick.edges(_trees(s, d), "panel"),
         "tree_splits": lambda s, d: newick.splits(_trees(s, d), "panel"),
         "tip_trim": _trimmed,
+        "tree_tip_problems": lambda s, d: newick.tip_problems(_boot(s, d), "panel", "replicate"),
+        "consensus_listing": lambda s, d: consensus.split_listing(_boot(s, d), "panel"),
         "table_bootstrap": _boot,
         "bootstrap_table_weights": lambda s, d: bootstrap.pattern_weights(_patterns(s, d), REPLICATES, SEED),
         "consensus_tree": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel"),
@@ -320,7 +323,7 @@ def oracle_sql() -> dict[str, str]:
         "kmer_counts": f"with {_kmers(K)} select * from t",
         "kmer_counts_wide_k": f"with {_kmers(33)} select * from t",
         "kmer_diversity": f"with {_kmers(K)} select sample, count(*) as ntotal from t group by all",
-        "kmer_filter_n2": f"with {_kmers(K)} select * from t where cnt >= 2",
+        "kmer_filter_n2": f"with {_kmers(9)} select * from t where cnt >= 2",
         "kmer_special_filter": f"with {_kmers(K)} select * from t where {_SPECIAL}",
         "kmer_special_filter_inverse": f"with {_kmers(K)} select * from t where not ({_SPECIAL})",
         "kmer_complexity": f"with {_kmers(9)}, k as (select distinct kmer from t) select kmer, len(list_distinct(flatten([[substr(kmer, i::int, n::int) for i in range(1, 11 - n)] for n in range(1, 10)])))::int as complexity from k",
@@ -366,6 +369,7 @@ select panel, sample, size, round(ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2)
         "split_compatibility": f"with {_TOP} select x.panel, x.split as a, y.split as b, (x.split & y.split) in (0, x.split, y.split) or (x.split | y.split) = 1023 as ok from o x join o y on x.panel = y.panel and x.split < y.split where x.r <= 12 and y.r <= 12",
         "consensus_censor": f"with {_MASK}, n as (select *, sum(weight) over (partition by panel)::bigint as trees from f) select panel, split, weight, trees, weight * 2 > trees as mr, weight > trees * 0.05::double as ml, weight = trees as strict from n",
         "tree_distance_adjacent": f"with {_MTREE}, pr as (select a.id as id1, b.id as id2 from (select distinct id from mt) a join (select distinct id from mt) b on b.id = a.id + 1 and a.id % 2 = 0), y as (select id1, id2, split as s, length as a, null::double as b from pr join mt on id = id1 union all select id1, id2, split, null, length from pr join mt on id = id2), {_CMP}",
+        "tree_distance_all": f"with {_MTREE}, n as (select id, count(*) as n from mt group by id), z as (select a.id as id1, b.id as id2, count(*) as n from mt a join mt b on a.split = b.split and a.id < b.id group by all) select id1, id2, x.n + y.n - 2 * z.n as rf from z join n x on x.id = id1 join n y on y.id = id2",
         "tree_distance_corresponding": f"with {_MTREE}, y as (select id * 2 as id1, id * 2 + 1 as id2, split as s, length as a, null::double as b from mt union all select id * 2, id * 2 + 1, split, null, length from mt where length >= 0.1), {_CMP}",
     }
     return out

@@ -109,6 +109,17 @@ def parse_phylip(text: str, form: str = "square", replicates: bool = False) -> l
     return [(names[i], names[j], i, j, *v) for (i, j), v in cells.items()]
 
 
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """(tree_id BIGINT, newick) of files of trees, each ended by a semicolon, also over several lines; what follows the last semicolon is left out if it is blank."""
+    t = spark.read.text(path, lineSep=";").select(F.monotonically_increasing_id().alias("tree_id"), F.trim(F.regexp_replace("value", r"[\r\n]+", "")).alias("newick"))
+    return t.where("newick <> ''").withColumn("newick", F.concat("newick", F.lit(";")))
+
+
+def write_trees(trees: DataFrame, path: str) -> None:
+    """A tree a line."""
+    trees.select(F.col("newick").alias("value")).where("value is not null").write.mode("overwrite").text(path)
+
+
 def short_names(names: list[str], width: int = 10) -> dict[str, str]:
     """Names of at most `width` characters, told apart by numbers at the end."""
     out: dict[str, str] = {}

@@ -98,3 +98,26 @@ def test_stream_counts_as_batch(spark, tmp_path):
 def test_fasta_text(spark):
     df = spark.createDataFrame([("a", "x y", "ACGT"), ("b", "", "AC"), ("c", None, "")], "name string, comment string, seq string")
     assert [r.value for r in tables.fasta_text(df).collect()] == [">a x y\nACGT", ">b\nAC"]
+
+
+def test_trees_and_commands(spark, tmp_path, data):
+    from strandweave.plans import cli
+
+    f = tmp_path / "trees"
+    f.write_text("((a:1,b:1):2,\n(c:1,d:1):1);\r\n((a:1,b:1):2,(c:1,d:1):1);(a:1,(b:1,c:1):1,d:1);\n")
+    t = tables.read_trees(spark, str(f))
+    assert [r.newick for r in t.orderBy("tree_id").collect()] == ["((a:1,b:1):2,(c:1,d:1):1);", "((a:1,b:1):2,(c:1,d:1):1);", "(a:1,(b:1,c:1):1,d:1);"]
+    tables.write_trees(t, str(tmp_path / "back"))
+    assert tables.read_trees(spark, str(tmp_path / "back")).count() == 3
+    run = lambda *a: cli.result(spark, cli._parser().parse_args([*a, "-o", "x"])).collect()
+    assert [(r.id1, r.id2, r.rf) for r in run("treedist", "-d", str(f))] == [(0, 1, 0)]
+    assert run("consensus", "-d", str(f))[0].n_trees == 3
+    assert "a:0.50000" in run("trim", "-d", str(f), "--by", "0.5")[0].newick
+    f.unlink()
+    for p in (tmp_path / "back").iterdir():
+        p.unlink()
+    (tmp_path / "back").rmdir()
+    for command in ("count", "histogram", "singletons", "stats", "distance", "phylogeny"):
+        assert run(command, "-d", str(tmp_path), "-k", "3")
+    cli.main(["count", "-d", str(tmp_path), "-o", str(tmp_path.parent / "out"), "-k", "3"])
+    assert spark.read.parquet(str(tmp_path.parent / "out.diversity")).count() == 2

@@ -164,3 +164,13 @@ def test_phylogeny_of_counts(spark):
     assert s.n_trees == 5
     assert sorted(N.parse(s.newick)[0].tips()) == list("abcd")
     assert pipeline.phylogeny(c.where("panel = 'none'"), 21).count() == 0
+
+
+def test_all_distances_and_problems(spark):
+    ts = spark.createDataFrame([("g", 0, "((a,b),(c,d),e);"), ("g", 1, "((a,b),c,(d,e));"), ("g", 10, "((a,c),(b,d),e);"), ("h", 2, "(a,a,b);"), ("h", 3, "(a,b,c);"), ("h", 4, None)], "grp string, id int, newick string")
+    s = N.splits(ts.where("grp = 'g'"), "id")
+    assert {(r.id1, r.id2): r.rf for r in treedist.all_distances(s).collect()} == {(0, 1): 2, (0, 10): 4, (1, 10): 4}
+    assert {(r.id, r.name, r.problem) for r in N.tip_problems(ts, "grp", "id").collect()} == {(2, "a", "repeated"), (2, "c", "missing")}
+    listing = {tuple(r.split): (r.weight, r.included) for r in C.split_listing(ts.where("id < 2"), "grp").collect()}
+    assert listing[("c", "d", "e")] == (2.0, True)
+    assert sorted(x for _, x in listing.values()) == [False, True, True]
