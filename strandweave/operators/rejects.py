@@ -55,12 +55,30 @@ def _fields(df: DataFrame, keep: list[str]) -> DataFrame:
     return df.select(*keep, *[field(F.col("record"), i).alias(f"f{i}") for i in range(5)])
 
 
+def _records(df: DataFrame, key: str, *texts: str) -> tuple[DataFrame, list[str]]:
+    """Distinct (offset, texts) and the columns that identify them.
+
+    The identifying columns hold no null, so that later joins on them are plain equalities, which keep the partitioning that making the rows distinct has
+    brought about: the texts are shuffled once, after copies have been put together within the tasks.
+    """
+    flat = {"_o": F.coalesce(F.col(key), F.lit(0)), "_on": F.col(key).isNull()}
+    for t in texts:
+        flat |= {f"_{t}": F.coalesce(F.col(t), F.lit("")), f"_{t}n": F.col(t).isNull()}
+    rows = df.select(*[c.alias(n) for n, c in flat.items()]).distinct()
+    back = lambda n: F.when(~F.col(f"{n}n"), F.col(n))
+    return rows.select(*flat, back("_o").alias("offset"), *[back(f"_{t}").alias(t) for t in texts]), list(flat)
+
+
+def _strict(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The rows (raw, …) that conform in every respect, with their fields."""
+    f = _fields(rows.withColumn("record", record_text(F.col("raw"))).where(F.col("record").rlike(_FIVE)), keep)
+    return f.where(id_ok(F.col("f0")) & (F.length("f1") > 0) & seq_ok(F.col("f3")) & qual_ok(F.col("f4"), F.col("f3")))
+
+
 def parse_strict(raw: DataFrame, key: str = "raw_id", text: str = "raw") -> DataFrame:
     """(offset, read_id BIGINT, name, comment, seq, qual) of the records that conform; an empty qual is null. One row for each distinct (offset, text)."""
-    rows = raw.select(F.col(key).alias("offset"), F.col(text).alias("raw")).distinct().withColumn("record", record_text(F.col("raw"))).where(F.col("record").rlike(_FIVE))
-    f = _fields(rows, ["offset", "raw"])
-    good = id_ok(F.col("f0")) & (F.length("f1") > 0) & seq_ok(F.col("f3")) & qual_ok(F.col("f4"), F.col("f3"))
-    return f.where(good).select("offset", "raw", F.col("f0").cast("bigint").alias("read_id"), F.col("f1").alias("name"), F.col("f2").alias("comment"), F.col("f3").alias("seq"), F.nullif("f4", F.lit("")).alias("qual"))
+    rows, _ = _records(raw.select(F.col(key).alias("key"), F.col(text).alias("raw")), "key", "raw")
+    return _strict(rows, ["offset"]).select("offset", F.col("f0").cast("bigint").alias("read_id"), F.col("f1").alias("name"), F.col("f2").alias("comment"), F.col("f3").alias("seq"), F.nullif("f4", F.lit("")).alias("qual"))
 
 
 def diagnose(remainder: DataFrame) -> DataFrame:
@@ -92,9 +110,8 @@ def rejected_raw(raw: DataFrame, key: str = "raw_id", text: str = "raw") -> Data
     A repeated record counts once. Should copies of one id differ, each is judged by itself, and the id comes out if one of them fails, with the first
     reason in order. A null id is an id like others. An empty table gives no row. Records of any length and number of quotes are judged whole.
     """
-    rows = raw.select(F.col(key).alias("offset"), F.col(text).alias("raw")).distinct()
-    loaded = parse_strict(raw, key, text).select(F.col("offset").alias("_o"), F.xxhash64("raw").alias("_h"))
-    rest = rows.withColumn("_g", F.xxhash64("raw")).join(loaded, F.col("offset").eqNullSafe(F.col("_o")) & (F.col("_g") == F.col("_h")), "left_anti")
+    rows, ids = _records(raw.select(F.col(key).alias("key"), F.col(text).alias("raw")), "key", "raw")
+    rest = rows.join(_strict(rows, ids), ids, "left_anti")
     return _first_reason(diagnose(rest.select("offset", "raw")), REASONS).withColumnRenamed("offset", "row_id")
 
 
@@ -105,10 +122,8 @@ def valid_reads(reads: DataFrame) -> DataFrame:
 
 def rejected_reads(reads: DataFrame) -> DataFrame:
     """(row_id, reason) of earlier-loaded reads that can't be used: seq or qual; one row for each distinct read_id, as rejected_raw."""
-    rows = reads.select(F.col("read_id").alias("offset"), "seq", "qual").distinct()
-    h = F.xxhash64(F.col("seq"), F.col("qual"), F.col("seq").isNull(), F.col("qual").isNull())
-    loaded = rows.where(seq_ok(F.col("seq")) & qual_ok(F.col("qual"), F.col("seq"))).select(F.col("offset").alias("_o"), h.alias("_h"))
-    rest = rows.withColumn("_g", h).join(loaded, F.col("offset").eqNullSafe(F.col("_o")) & (F.col("_g") == F.col("_h")), "left_anti")
+    rows, ids = _records(reads.select("read_id", "seq", "qual"), "read_id", "seq", "qual")
+    rest = rows.join(rows.where(seq_ok(F.col("seq")) & qual_ok(F.col("qual"), F.col("seq"))), ids, "left_anti")
     return _first_reason(rest.select("offset", F.when(~seq_ok(F.col("seq")), "seq").otherwise("qual").alias("reason")), REASONS).withColumnRenamed("offset", "row_id")
 
 
