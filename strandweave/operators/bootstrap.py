@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.formulas import distance, distance_error
 from strandweave.operators.treefit import Options, fit_tree
-from strandweave.plans.durable import durable
+from strandweave.plans.durable import durable, spread
 
 
 def row_numbers(df: DataFrame, *order: str) -> DataFrame:
@@ -63,7 +63,7 @@ def pattern_weights(patterns: DataFrame, replicates: int, seed: int, k: int | No
         return p[p.n > 0][[group, "replicate", "pattern", "n"]]
 
     reps = patterns.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return reps.groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, pattern array<string>, n bigint")
+    return spread(reps, group, "replicate").groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, pattern array<string>, n bigint")
 
 
 def hash_of(text: str | None) -> int:
@@ -107,7 +107,7 @@ def bootstrap_trees(patterns: DataFrame, replicates: int, seed: int, k: int, thi
         return pd.DataFrame([(p[group].iloc[0], p.replicate.iloc[0], fit_tree(names, d, k, options)[0])], columns=[group, "replicate", "newick"])
 
     reps = patterns.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return reps.groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, newick string")
+    return spread(reps, group, "replicate").groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, newick string")
 
 
 def pair_errors(pairs: DataFrame, tips: DataFrame, k: int, filtered: bool = False) -> DataFrame:
@@ -160,4 +160,4 @@ def parametric_trees(pairs: DataFrame, replicates: int, seed: int, k: int, optio
         return pd.DataFrame([(p.panel.iloc[0], p.replicate.iloc[0], fit_tree(names, x, k, options)[0])], columns=["panel", "replicate", "newick"])
 
     reps = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return reps.groupBy("panel", "replicate").applyInPandas(run, "panel string, replicate int, newick string")
+    return spread(reps, "panel", "replicate").groupBy("panel", "replicate").applyInPandas(run, "panel string, replicate int, newick string")

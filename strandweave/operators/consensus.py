@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.operators.newick import Node, render, splits
+from strandweave.plans.durable import durable
 
 METHODS = ("mre", "mr", "ml", "strict")
 
@@ -76,6 +77,7 @@ def consensus_trees(trees: DataFrame, group: str, method: str = "mre", fraction:
     """(group, newick, n_trees): one consensus for each group of trees (group, newick); interior lengths are supports, tips' are the number of trees.
 
     All trees of a group must have the same tips. Per group only the splits' supports, not the trees, meet in one task. Empty groups don't occur."""
+    trees = durable(trees.select(group, "newick"))  # they are read three times and may be dear to make
     tips = splits(trees, group).where(F.size("split") == 1).groupBy(group).agg(F.collect_set(F.col("split")[0]).alias("_tips"))
     n = trees.where("newick is not null").groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("newick").alias("_one"))
     support = split_support(trees, group).join(n, group).where(censored(F.col("weight"), F.col("_n"), method, fraction))
@@ -95,6 +97,7 @@ def consensus_trees(trees: DataFrame, group: str, method: str = "mre", fraction:
 
 def split_listing(trees: DataFrame, group: str, method: str = "mre", fraction: float = 0.5, rooted: bool = False) -> DataFrame:
     """(group, split, weight, included): every split of a group's trees with its support, and whether the consensus has it."""
+    trees = durable(trees.select(group, "newick"))
     support = split_support(trees, group).select(group, "split", "weight")
     chosen = splits(consensus_trees(trees, group, method, fraction, rooted), group, trivial=False).select(group, "split", F.lit(True).alias("included"))
     return support.join(chosen, [group, "split"], "left").fillna(False, ["included"])

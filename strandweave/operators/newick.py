@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.plans.durable import durable
+
 _TOKEN = re.compile(r"[(),;:]|\[|'(?:[^']|'')*'|[^\s(),;:\[\]]+")
 EDGES = "node int, parent int, name string, length double, is_tip boolean"
 
@@ -199,6 +201,7 @@ def splits(trees: DataFrame, *keep: str, trivial: bool = True) -> DataFrame:
 
 def tip_problems(trees: DataFrame, group: str, key: str) -> DataFrame:
     """(group, key, name, problem) of trees (group, key, newick): `repeated` for a name that a tree has more than once, `missing` for one that another tree of the group has and it hasn't."""
+    trees = durable(trees.select(group, key, "newick"))
     tips = edges(trees, group, key).where("is_tip").groupBy(group, key, "name").agg(F.count(F.lit(1)).alias("n"))
     repeated = tips.where("n > 1").select(group, key, "name", F.lit("repeated").alias("problem"))
     ids = trees.where("newick is not null").groupBy(group).agg(F.count_distinct(key).alias("_trees"))

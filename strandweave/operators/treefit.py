@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 
 from strandweave.functions.formulas import LEAST_DISTANCE
 from strandweave.operators.newick import Node, parse, render, split_table
+from strandweave.plans.durable import spread
 
 #: Fixed value: share of the best fit by which another must be better.
 BETTER = 1e-6
@@ -59,10 +60,30 @@ class Fit:
         return x, ss, float(x.sum()) if self.o.evolution else ss
 
 
+def _solve(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """gx = h; of least norm where g is singular."""
+    try:
+        x = np.linalg.solve(g, h)
+        if np.isfinite(x).all() and np.abs(g @ x - h).max(initial=0) <= 1e-9 * max(1e-300, np.abs(h).max(initial=0)):
+            return x
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(g, h, rcond=None)[0]
+
+
 def non_negative(g: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """The x >= 0 with least x'gx - 2h'x (Lawson and Hanson's active sets)."""
+    """The x >= 0 with least x'gx - 2h'x: Lawson and Hanson's active sets, begun at what is left of the unconstrained solution when its negative parts are fixed at 0."""
     n = len(h)
-    x, free = np.zeros(n), np.zeros(n, bool)
+    x, free = np.zeros(n), np.ones(n, bool)
+    while free.any():
+        at = np.flatnonzero(free)
+        y = _solve(g[np.ix_(at, at)], h[at])
+        if (y > 0).all():
+            x[at] = y
+            break
+        free[at[y <= 0]] = False
+    if free.all():
+        return x
     small = 1e-12 * max(1.0, float(np.abs(h).max(initial=0)))
     for _ in range(10 * n):
         slope = h - g @ x
@@ -73,7 +94,7 @@ def non_negative(g: np.ndarray, h: np.ndarray) -> np.ndarray:
         free[j] = True
         while True:
             at = np.flatnonzero(free)
-            y = np.linalg.lstsq(g[np.ix_(at, at)], h[at], rcond=None)[0]
+            y = _solve(g[np.ix_(at, at)], h[at])
             if (y > 0).all():
                 x[:] = 0
                 x[at] = y
@@ -229,4 +250,4 @@ def fit_trees(distances: DataFrame, group: str, k: int, options: Options | None
         return pd.DataFrame([(p[group].iloc[0], *fit_tree(names, d, k, options))], columns=[group, "newick", "ss", "percent_sd"])
 
     kind = dict(distances.dtypes)[group]
-    return distances.select(group, "s1", "s2", "d").groupBy(group).applyInPandas(run, f"{group} {kind}, {FIT}")
+    return spread(distances.select(group, "s1", "s2", "d"), group).groupBy(group).applyInPandas(run, f"{group} {kind}, {FIT}")

@@ -22,3 +22,9 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df hashed by keys into the session's number of shuffle partitions, for groups that are few bytes but much work: adaptive execution would join such
+    partitions by their size and fit all trees in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

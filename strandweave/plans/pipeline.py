@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.formulas import distance
 from strandweave.operators import bootstrap, consensus, counting, sharing, treefit
+from strandweave.plans.durable import durable
 
 
 def distances_of(shares: DataFrame, k: int) -> DataFrame:
     """(panel, s1, s2, nshare, n1, n2, d) of pairs s1 < s2 from pair_shares(); pairs that share nothing have no row and are at distance 1."""
+    shares = durable(shares)  # a row a pair, read three times
     own = shares.where("s1 = s2")
     n = lambda s, c: own.select("panel", F.col("s1").alias(s), F.col("nshare").alias(c))
     return shares.where("s1 < s2").join(n("s1", "n1"), ["panel", "s1"]).join(n("s2", "n2"), ["panel", "s2"]).select("panel", "s1", "s2", "nshare", "n1", "n2", distance(F.col("nshare"), F.col("n1"), F.col("n2"), k).alias("d"))

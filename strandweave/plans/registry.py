@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import formulas
 from strandweave.functions.dense import dense_ids
-from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement
+from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement, usable_kmers
 from strandweave.operators import bootstrap, consensus, counting, merging, newick, rejects, sharing, tips, treedist, treefit
 from strandweave.plans.pipeline import distances_of, panel_trees
 from strandweave.streaming.counts import counts_table, stream_counts, stream_reads
@@ -39,6 +39,11 @@ def _panels(s: SparkSession, d: str) -> DataFrame:
     return _counts(s, d).where(F.col("sample") == F.concat("panel", F.lit("."), F.element_at(F.split("sample", r"\."), -1)))
 
 
+def _held(s: SparkSession, d: str) -> DataFrame:
+    """(panel, sample, kmer), repeated: who holds what needs no counts."""
+    return usable_kmers(_t(s, d, "kmer_t"), "panel", "sample").where(F.col("sample") == F.concat("panel", F.lit("."), F.element_at(F.split("sample", r"\."), -1)))
+
+
 def _input(s: SparkSession, d: str, i: int) -> DataFrame:
     return _counts(s, d).where(F.col("sample") == F.concat("panel", F.lit(f".sp{i}")))
 
@@ -52,7 +57,7 @@ def _lane(s: SparkSession, d: str, i: int) -> DataFrame:
 
 
 def _shares(s: SparkSession, d: str) -> DataFrame:
-    return sharing.pair_shares(_panels(s, d))
+    return sharing.pair_shares(_held(s, d))
 
 
 def _distances(s: SparkSession, d: str) -> DataFrame:
@@ -63,7 +68,7 @@ def _masks(s: SparkSession, d: str) -> DataFrame:
     """(panel, split BIGINT, weight): presence patterns as bitmaps of sp1 to sp10, turned to the side without sp1, at least two samples on either side."""
     bits = F.aggregate(F.transform("pattern", lambda x: F.pow(F.lit(2.0), F.element_at(F.split(x, r"\.sp"), -1).cast("int") - 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     side = F.when(F.col("m").bitwiseAND(1) == 1, 1023 - F.col("m")).otherwise(F.col("m"))
-    p = sharing.patterns(_panels(s, d).select("panel", "sample", "kmer")).select("panel", bits.alias("m"), "n").select("panel", side.alias("split"), "n")
+    p = sharing.patterns(_held(s, d).distinct()).select("panel", bits.alias("m"), "n").select("panel", side.alias("split"), "n")
     return p.where(F.bit_count("split").between(2, 8)).groupBy("panel", "split").agg(F.sum("n").alias("weight"))
 
 
@@ -145,7 +150,7 @@ def _trimmed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(s: SparkSession, d: str) -> DataFrame:
-    return sharing.patterns(_panels(s, d).select("panel", "sample", "kmer"))
+    return sharing.patterns(_held(s, d).distinct())
 
 
 def _boot(s: SparkSession, d: str) -> DataFrame:
