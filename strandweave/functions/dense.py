@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from strandweave.plans.durable import durable
 
 
-def dense_ids(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
-    """Distinct non-null values of `column` with ids 0, 1, … in their string order, as (column, name BIGINT).
+def row_numbers(df: DataFrame, *order: str, name: str = "_row") -> DataFrame:
+    """df with `name` BIGINT = 0, 1, … in the given order.
 
-    Ids come from a range partitioning: each partition numbers its own rows and adds the number of rows before it; only the row counts of the
-    partitions reach the driver. The table is checkpointed, since a range partitioning may differ when it is computed again.
+    Each range partition numbers its own rows and adds the number of rows before it; only the partitions' sizes reach the driver, and their offsets, a row a
+    partition, are broadcast. The rows are checkpointed, since a range partitioning may differ when it is computed again. An empty table stays empty.
     """
-    local = F.monotonically_increasing_id()
-    rows = durable(df.select(column).where(F.col(column).isNotNull()).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, local.alias("_m")))
-    part = F.shiftright("_m", 33)
+    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33).cast("int")
     offsets, before = [], 0
     for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):
-        offsets += [F.lit(p), F.lit(before)]
+        offsets.append((p, before))
         before += n
-    start = F.create_map(*offsets)[part] if offsets else F.lit(0)
-    return rows.select(column, (start + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("bigint").alias(name))
+    start = df.sparkSession.createDataFrame(offsets, "_p int, _start bigint")
+    return rows.withColumn("_p", part).join(F.broadcast(start), "_p").withColumn(name, F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_p", "_start", "_m")
+
+
+def dense_ids(df: DataFrame, column: str, name: str = "idx") -> DataFrame:
+    """Distinct non-null values of `column` with ids 0, 1, … in their order, as (column, name BIGINT)."""
+    return row_numbers(df.select(column).where(F.col(column).isNotNull()).distinct(), column, name=name)

@@ -13,20 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions.dense import row_numbers
 from strandweave.functions.formulas import distance, distance_error
 from strandweave.operators.treefit import Options, fit_tree
-from strandweave.plans.durable import durable, spread
-
-
-def row_numbers(df: DataFrame, *order: str) -> DataFrame:
-    """df with `_row` = 0, 1, … in the given order: partitions are numbered by themselves and only their sizes reach the driver. Checkpointed, so stable."""
-    rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
-    part, start, before = F.shiftright("_m", 33), [], 0
-    for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):
-        start += [F.lit(p), F.lit(before)]
-        before += n
-    at = F.create_map(*start)[part] if start else F.lit(0)
-    return rows.withColumn("_row", (at + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("bigint")).drop("_m")
+from strandweave.plans.durable import spread
 
 
 def uniform(seed: int, *key: Column) -> Column:

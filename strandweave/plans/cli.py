@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandweave.functions.dense import row_numbers
 from strandweave.operators import bootstrap, consensus, counting, newick, sharing, treedist, treefit
 from strandweave.plans import pipeline
 from strandweave.sources.fastx import read_fastx
@@ -63,7 +64,7 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         if a.command == "trim":
             trim = F.udf(lambda t: newick.render(newick.trim_tips(newick.parse(t)[0], a.by)))
             return trees.select("tree_id", trim("newick").alias("newick"))
-        numbered = bootstrap.row_numbers(trees, "tree_id").select(F.col("_row").alias("id"), "newick")
+        numbered = row_numbers(trees, "tree_id").select(F.col("_row").alias("id"), "newick")
         return treedist.split_distance(newick.splits(numbered, "id"), treedist.pair_ids(numbered, "adjacent"))
     counts = _counts(spark, a.data, a.k, a.n)
     match a.command:
