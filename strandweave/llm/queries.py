@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.llm import bpe, cooccur, distinct, frequency, heavy, overlap, packing, quality
@@ -16,6 +16,12 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _signed_round(column: str, digits: int) -> Column:
+    """round() by magnitude that keeps the sign, also of what becomes zero: -0.0 still tells a pair seen less often than by chance."""
+    size = F.round(F.abs(column), digits)
+    return F.when(F.col(column).cast("string").startswith("-"), -size).otherwise(size)
+
+
 def queries() -> dict[str, Query]:
     k = lambda s, d: _table(s, d, "kmer_t")
     return {
@@ -24,7 +30,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: overlap.sample_overlaps(k(s, d), 48).select("s1", "s2"),
         "p2_overlap": lambda s, d: overlap.sample_overlaps(k(s, d)),
         "p3_found": lambda s, d: cooccur.more_than_chance(cooccur.sample_cooccurrence(k(s, d))).select("s1", "s2"),
-        "p3_cooccur": lambda s, d: cooccur.sample_cooccurrence(k(s, d)).withColumns({"lift": F.round("lift", 6), "llr": F.round("llr", 4)}),
+        "p3_cooccur": lambda s, d: cooccur.sample_cooccurrence(k(s, d)).withColumns({"lift": F.round("lift", 6), "llr": _signed_round("llr", 4)}),
         "p4_found": lambda s, d: frequency.kmer_frequencies(k(s, d)).where("mark is not null").select("kmer", "mark"),
         "p4_frequency": lambda s, d: frequency.kmer_frequencies(k(s, d)),
         "p5_found": lambda s, d: heavy.heaviest_kmers(k(s, d)).select("kmer"),
