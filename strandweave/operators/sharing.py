@@ -6,9 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Patterns that are multiplied together.
+TILE = 2048
+
 
 def shared_table(counts: DataFrame, least: int = 2) -> DataFrame:
     """Rows of a table (panel, sample, kmer, cnt) whose k-mer at least `least` samples of the panel hold: the T rule. One shuffle and no join-back."""
@@ -36,20 +40,40 @@ def patterns(held: DataFrame) -> DataFrame:
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Weighted product X'WX of each panel's 0/1 patterns in a batch, as its upper triangle."""
     for b in batches:
-        panels = np.array(b.column(0).to_pylist(), object)
-        rows, n = b.column(1).to_pylist(), b.column(2).to_numpy()
-        out: list[tuple] = []
-        for p in dict.fromkeys(panels.tolist()):
-            at = np.flatnonzero(panels == p) if p is not None else np.array([i for i, x in enumerate(panels) if x is None])
-            names = sorted({s for i in at for s in rows[i]})
-            place = {s: k for k, s in enumerate(names)}
-            x = np.zeros((len(at), len(names)), np.int64)
-            for r, i in enumerate(at):
-                x[r, [place[s] for s in rows[i]]] = 1
-            g = x.T @ (x * n[at][:, None])
-            out += [(p, names[i], names[j], int(g[i, j])) for i, j in zip(*np.nonzero(np.triu(g)), strict=True)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["panel", "s1", "s2", "n"])
+        held = b.column(1).flatten().dictionary_encode()
+        if not len(held):
+            continue
+        names = held.dictionary.to_pylist()
+        order = sorted(range(len(names)), key=names.__getitem__)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        names = pa.array([names[i] for i in order], pa.string())
+        panel = b.column(0).dictionary_encode(null_encoding="encode")
+        code, n = panel.indices.to_numpy(), b.column(2).to_numpy()
+        row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(1)).to_numpy())
+        col = rank[held.indices.to_numpy()]
+        by = np.argsort(code[row], kind="stable")
+        row, col = row[by], col[by]
+        ends = np.r_[np.flatnonzero(np.diff(code[row])) + 1, len(row)]
+        for lo, hi in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            at, c = np.unique(col[lo:hi], return_inverse=True)
+            i, j, cells = _product(row[lo:hi], c, n, len(at))
+            which = pa.array(np.full(len(cells), code[row[lo]]))
+            yield pa.RecordBatch.from_arrays([panel.dictionary.take(which), names.take(pa.array(at[i])), names.take(pa.array(at[j])), pa.array(cells)], ["panel", "s1", "s2", "n"])
+
+
+def _product(row: np.ndarray, col: np.ndarray, weight: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells above 0 of the upper triangle of X'WX, from the ones of X in order of rows; TILE rows are multiplied at a time, as doubles while these are exact."""
+    total = np.zeros((width, width), np.int64)
+    own, r = np.unique(row, return_inverse=True)
+    for k in range(0, len(own), TILE):
+        lo, hi = np.searchsorted(r, (k, k + TILE))
+        w = weight[own[k : k + TILE]]
+        x = np.zeros((len(w), width), np.float64 if w.sum(dtype=np.float64) < 2.0**52 else np.int64)
+        x[r[lo:hi] - k, col[lo:hi]] = 1
+        total += (x.T @ (x * w[:, None])).astype(np.int64)
+    i, j = np.nonzero(np.triu(total))
+    return i, j, total[i, j]
 
 
 def pair_shares(held: DataFrame) -> DataFrame:
