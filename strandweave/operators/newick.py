@@ -199,6 +199,24 @@ def splits(trees: DataFrame, *keep: str, trivial: bool = True) -> DataFrame:
     return trees.select(*keep, "newick").mapInPandas(run, f"{_ddl(trees, keep)}split array<string>, length double, weight double")
 
 
+def rerooted(trees: DataFrame, outgroup: str, *keep: str) -> DataFrame:
+    """(keep, newick) of trees (keep, newick, outgroup): each hung up at the node next to the tip named in the column `outgroup`.
+
+    A null text or outgroup, or one that isn't a tip of its tree, gives a null text."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            text = [_hung_at(t, o) for t, o in zip(p["newick"], p["_outgroup"], strict=True)]
+            yield p[list(keep)].assign(newick=pd.Series(text, index=p.index, dtype=object))
+
+    return trees.select(*keep, "newick", F.col(outgroup).alias("_outgroup")).mapInPandas(run, f"{_ddl(trees, keep)}newick string")
+
+
+def _hung_at(text: str | None, outgroup: str | None) -> str | None:
+    root = parse(text)[0] if text else None
+    return render(reroot(root, outgroup)) if root and outgroup in root.tips() else None
+
+
 def tip_problems(trees: DataFrame, group: str, key: str) -> DataFrame:
     """(group, key, name, problem) of trees (group, key, newick): `repeated` for a name that a tree has more than once, `missing` for one that another tree of the group has and it hasn't."""
     trees = durable(trees.select(group, key, "newick"))

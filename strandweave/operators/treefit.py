@@ -235,19 +235,42 @@ def _hung(table: dict[tuple[str, ...], float], names: list[str], o: Options) ->
     return reroot(assemble(table, sorted(names)), o.outgroup or names[0])
 
 
+def _matrix(p: pd.DataFrame) -> tuple[list[str], np.ndarray]:
+    """Names and matrix of pairs (s1, s2, d); missing pairs are at distance 1."""
+    names = sorted({*p.s1, *p.s2})
+    place = {s: i for i, s in enumerate(names)}
+    d = np.ones((len(names), len(names)))
+    i, j = p.s1.map(place).to_numpy(), p.s2.map(place).to_numpy()
+    d[i, j] = d[j, i] = p.d.to_numpy(float)
+    np.fill_diagonal(d, 0)
+    return names, d
+
+
 def fit_trees(distances: DataFrame, group: str, k: int, options: Options | None = None) -> DataFrame:
     """(group, newick, ss, percent_sd): one tree for each group of distances (group, s1, s2, d), each pair once or in both orders.
 
     A missing pair is at distance 1. A group is a matrix of samples, so its size doesn't grow with the reads. Groups run in parallel."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        names = sorted({*p.s1, *p.s2})
-        place = {s: i for i, s in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        i, j = p.s1.map(place).to_numpy(), p.s2.map(place).to_numpy()
-        d[i, j] = d[j, i] = p.d.to_numpy(float)
-        np.fill_diagonal(d, 0)
+        names, d = _matrix(p)
         return pd.DataFrame([(p[group].iloc[0], *fit_tree(names, d, k, options))], columns=[group, "newick", "ss", "percent_sd"])
 
     kind = dict(distances.dtypes)[group]
     return spread(distances.select(group, "s1", "s2", "d"), group).groupBy(group).applyInPandas(run, f"{group} {kind}, {FIT}")
+
+
+def fit_user_trees(distances: DataFrame, trees: DataFrame, group: str, k: int, options: Options | None = None) -> DataFrame:
+    """(group, tree, newick, ss, percent_sd): lengths fitted to given topologies, for each tree (group, tree, newick) of a group of distances.
+
+    A tree whose tips aren't the matrix' names, each once, has a null text and no fit; trees of groups without distances, and null texts, give no row.
+    Each pair (group, tree) is a task of its own."""
+    kinds = dict(trees.dtypes)
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        names, d = _matrix(p)
+        given = p.newick.iloc[0]
+        fits = sorted(parse(given)[0].tips()) == names
+        return pd.DataFrame([(p[group].iloc[0], p.tree.iloc[0], *(fit_tree(names, d, k, options, user_tree=given) if fits else (None, None, None)))], columns=[group, "tree", "newick", "ss", "percent_sd"])
+
+    rows = trees.where("newick is not null").select(group, "tree", "newick").join(distances.select(group, "s1", "s2", "d"), group)
+    return spread(rows, group, "tree").groupBy(group, "tree").applyInPandas(run, f"{group} {kinds[group]}, tree {kinds['tree']}, {FIT}")

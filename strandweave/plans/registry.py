@@ -13,6 +13,7 @@ from strandweave.functions.dense import dense_ids
 from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement, usable_kmers
 from strandweave.operators import bootstrap, consensus, counting, merging, newick, rejects, sharing, tips, treedist, treefit
 from strandweave.plans.pipeline import distances_of, panel_trees
+from strandweave.sources import tables
 from strandweave.streaming.counts import counts_table, stream_counts, stream_reads
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,10 +129,14 @@ def _totals(s: SparkSession, d: str) -> DataFrame:
     return counting.diversity(_counts(s, d), "panel", "sample")
 
 
-def _ph(s: SparkSession, d: str) -> DataFrame:
+def _copies(s: SparkSession, d: str) -> DataFrame:
+    """(panel, sample, copies): how often a k-mer occurs in its genome, by its count as a multiple of the sample's coverage."""
     c = _counts(s, d).join(_tips(s, d).select("panel", F.col("spname").alias("sample"), "coverage"), ["panel", "sample"]).where("coverage > 0")
-    copies = F.greatest(F.lit(1), F.least(F.lit(COPIES), F.round(F.col("cnt") / F.col("coverage")))).cast("int")
-    q = c.select("panel", "sample", copies.alias("c")).groupBy("panel", "sample").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg((F.col("c") == i).cast("int")) for i in range(1, COPIES + 1)]).alias("q"))
+    return c.select("panel", "sample", F.greatest(F.lit(1), F.least(F.lit(COPIES), F.round(F.col("cnt") / F.col("coverage")))).cast("int").alias("copies"))
+
+
+def _ph(s: SparkSession, d: str) -> DataFrame:
+    q = _copies(s, d).groupBy("panel", "sample").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg((F.col("copies") == i).cast("int")) for i in range(1, COPIES + 1)]).alias("q"))
     return tips.ph_curve(q, F.lit(K), F.col("size"), F.lit(GC), DISTANCE).select("panel", "sample", "size", F.round("ph", 9).alias("ph"))
 
 
@@ -157,8 +162,13 @@ def _boot(s: SparkSession, d: str) -> DataFrame:
     return bootstrap.bootstrap_trees(_patterns(s, d), REPLICATES, SEED, K)
 
 
-def _noisy(s: SparkSession, d: str) -> DataFrame:
-    e = bootstrap.pair_errors(_distances(s, d), _tips(s, d), K)
+def _user_trees(s: SparkSession, d: str) -> DataFrame:
+    """Lengths of each panel's resampled topologies, fitted to the panel's own distances."""
+    return treefit.fit_user_trees(_distances(s, d), _boot(s, d).withColumnRenamed("replicate", "tree"), "panel", K)
+
+
+def _noisy(s: SparkSession, d: str, filtered: bool = False) -> DataFrame:
+    e = bootstrap.pair_errors(_distances(s, d), _tips(s, d), K, filtered)
     return bootstrap.parametric_distances(e, REPLICATES, SEED)
 
 
@@ -195,6 +205,7 @@ def queries() -> dict[str, Query]:
         "gc_content": lambda s, d: round9(counting.read_statistics(r(s, d)).select("sample", "gc"), "gc"),
         "genome_size": _genome_size,
         "canonical_kmers": lambda s, d: _t(s, d, "kmer_t").where("kmer is not null").select(canonical(F.upper("kmer")).alias("kmer")).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")),
+        "fasta_records": lambda s, d: tables.fasta_text(_t(s, d, "seq_reads").select("read_id", "name", "comment", "seq").distinct()),
         "revcomp": lambda s, d: _t(s, d, "seq_reads").where("seq is not null").select("read_id", "seq").distinct().select("read_id", reverse_complement(F.upper("seq")).alias("rc")),
         "kmer_codes": lambda s, d: c(s, d).select("kmer").distinct().withColumn("code", encode_2bit("kmer")).withColumn("back", decode_2bit("code", K)),
         # tables of k-mers
@@ -221,6 +232,7 @@ def queries() -> dict[str, Query]:
         "fit_weights": lambda s, d: _distances(s, d).select("panel", "s1", "s2", F.round(formulas.fit_weight(F.col("d"), K), 9).alias("w")),
         "nshare_matrix": lambda s, d: sharing.share_matrix(_shares(s, d), SPS),
         "published_shares": lambda s, d: _t(s, d, "test_nshare").dropna(subset=["panel", "row_no"]).groupBy("panel", "row_no").agg(*[F.max(x).alias(x) for x in SPS]),
+        "coverage_bins": lambda s, d: _copies(s, d).groupBy("panel", "sample", "copies").agg(F.count(F.lit(1)).alias("n")),
         "ph_curve": _ph,
         # tips and errors
         "tip_lengths": lambda s, d: round9(_tip_lengths(s, d), "l", "tip", "tip_filtered"),
@@ -236,17 +248,27 @@ def queries() -> dict[str, Query]:
         "tree_distance_all": lambda s, d: treedist.all_distances(_mask_trees(s, d)),
         # trees, by iteration or at random: tested in tests/
         "tree_fit": _trees,
+        "tree_fit_evolution": lambda s, d: panel_trees(_distances(s, d), K, treefit.Options(evolution=True)),
+        "tree_fit_jumbled": lambda s, d: panel_trees(_distances(s, d), K, treefit.Options(everywhere=True, jumbles=3, seed=SEED)),
+        "tree_fit_negative": lambda s, d: panel_trees(_distances(s, d), K, treefit.Options(negative=True)),
+        "tree_user_lengths": _user_trees,
+        "tree_rerooted": lambda s, d: newick.rerooted(_trees(s, d).withColumn("tip", F.concat("panel", F.lit(".sp5"))), "tip", "panel"),
         "tree_edges": lambda s, d: newick.edges(_trees(s, d), "panel"),
         "tree_splits": lambda s, d: newick.splits(_trees(s, d), "panel"),
         "tip_trim": _trimmed,
         "tree_tip_problems": lambda s, d: newick.tip_problems(_boot(s, d), "panel", "replicate"),
         "consensus_listing": lambda s, d: consensus.split_listing(_boot(s, d), "panel"),
         "table_bootstrap": _boot,
+        "table_bootstrap_full": lambda s, d: bootstrap.bootstrap_trees(_patterns(s, d), REPLICATES, SEED, K, thin=False, poisson=False),
         "bootstrap_table_weights": lambda s, d: bootstrap.pattern_weights(_patterns(s, d), REPLICATES, SEED),
         "consensus_tree": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel"),
+        "consensus_majority": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel", "mr"),
+        "consensus_fraction": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel", "ml", 0.7),
+        "consensus_strict": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel", "strict"),
         "read_subsample": lambda s, d: bootstrap.subsample(r(s, d), 1000, SEED),
         "read_bootstrap": lambda s, d: bootstrap.bootstrap_reads(_t(s, d, "seq_reads").dropDuplicates(["read_id"]).select("read_id", "sample", "file", "seq"), SEED),
         "parametric_distances": _noisy,
+        "parametric_distances_filtered": lambda s, d: _noisy(s, d, True),
         "parametric_bootstrap": _noisy_trees,
         "parametric_bootstrap_correlated": lambda s, d: bootstrap.parametric_trees(bootstrap.pair_errors(_distances(s, d), _tips(s, d), K), REPLICATES, SEED, K),
     }
@@ -339,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "gc_content": f"with {_READS} select sample, round(sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / nullif(sum(length(replace(seq, 'N', ''))), 0), 9) as gc from r where seq is not null group by sample",
         "genome_size": f"with {_kmers(K)}, k as (select sample, sum(cnt) as kmers, count(*) as kinds from t group by all), b as (select sample, sum(length(seq)) as bp, sum(length(seq)) // count(*) as ml from r where seq is not null group by sample) select sample, round(bp / (kmers / kinds * ml / (ml - {K} + 1)), 4) as genome_size from b join k using (sample) where ml >= {K}",
         "canonical_kmers": f"select {_C} as kmer, count(*) as n from kmer_t where kmer is not null group by 1".replace("'ACGT', 'TGCA'", "'ACGTU', 'TGCAA'"),
+        "fasta_records": "select '>' || coalesce(name, '') || case when comment <> '' then ' ' || comment else '' end || chr(10) || seq as value from (select distinct read_id, name, comment, seq from seq_reads) where seq <> ''",
         "revcomp": "select distinct read_id, reverse(translate(upper(seq), 'ACGTU', 'TGCAA')) as rc from (select distinct read_id, seq from seq_reads where seq is not null)".replace("select distinct read_id, reverse", "select read_id, reverse"),
         "kmer_codes": f"with {_CNT} select distinct kmer, list_sum([(strpos('ACGT', substr(kmer, i::int, 1)) - 1)::bigint << (2 * (21 - i))::int for i in range(1, 22)])::bigint as code, kmer as back from c",
         "shared_kmer_table": f"with {_CNT}, s as (select panel, kmer from c group by all having count(*) >= 2) select panel, sample, kmer, cnt from c semi join s using (panel, kmer)",
@@ -362,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
         "fit_weights": f"with {_DIST} select panel, s1, s2, round(exp(-{K} * greatest(d, 1e-6)) / (1 - exp(-{K} * greatest(d, 1e-6))), 9) as w from e",
         "nshare_matrix": f"with {_PAIR}, z as (select panel, s1 as sample, s2 as o, nshare from p union all select panel, s2, s1, nshare from p union all select panel, sample, sample, n from n) select panel, sample, " + ", ".join(f"coalesce(max(nshare) filter (where o = panel || '.{x}'), 0) as {x}" for x in SPS) + " from z group by all",
         "published_shares": "select panel, row_no, " + ", ".join(f"max({x}) as {x}" for x in SPS) + " from test_nshare where panel is not null and row_no is not null group by all",
+        "coverage_bins": f"with {_CNT}, {_TIP} select c.panel, sample, greatest(1, least({COPIES}, round(cnt / coverage)))::int as copies, count(*) as n from c join ti on ti.panel = c.panel and spname = sample where coverage > 0 group by all",
         "ph_curve": f"""with {_CNT}, {_TIP}, k as (select c.panel, sample, greatest(1, least({COPIES}, round(cnt / coverage))) as x from c join ti on ti.panel = c.panel and spname = sample where coverage > 0),
 z as (select panel, sample, count(*) as size, exp(-{K} * {DISTANCE}) as e, 2 * pow(0.5 - {GC} + {GC} * {GC}, {K}) as same from k group by all),
 y as (select z.panel, z.sample, any_value(size) as size, any_value(e) as e, 1 - avg(pow(1 - e, x)) as ph1, any_value((1 - e) * (1 - pow(1 - same, size - {K} + 1))) as ph2, any_value(0.5 * e) * avg(pow(1 - pow(1 - same, size - {K} + 1), x)) as ph3 from k join z using (panel, sample) group by all)

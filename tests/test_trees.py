@@ -174,3 +174,26 @@ def test_all_distances_and_problems(spark):
     listing = {tuple(r.split): (r.weight, r.included) for r in C.split_listing(ts.where("id < 2"), "grp").collect()}
     assert listing[("c", "d", "e")] == (2.0, True)
     assert sorted(x for _, x in listing.values()) == [False, True, True]
+
+
+def test_user_trees_and_outgroups(spark):
+    names, text = "abcde", "((a:1,b:2):1,(c:1,d:3):2,e:1);"
+    path = {("a", "b"): 3, ("a", "c"): 5, ("a", "d"): 7, ("a", "e"): 3, ("b", "c"): 6, ("b", "d"): 8, ("b", "e"): 4, ("c", "d"): 4, ("c", "e"): 4, ("d", "e"): 6}
+    d = spark.createDataFrame([("g", *p, x / 100) for p, x in path.items()], "panel string, s1 string, s2 string, d double")
+    given = [("g", 1, "((a,b),(c,d),e);"), ("g", 2, "((a,c),(b,d),e);"), ("g", 3, "(a,b,c);"), ("g", 4, None), ("g", 5, "(a,a,b,c,d,e);"), ("none", 6, text)]
+    fits = {r.tree: r for r in T.fit_user_trees(d, spark.createDataFrame(given, "panel string, tree int, newick string"), "panel", 21).collect()}
+    assert set(fits) == {1, 2, 3, 5}
+    assert fits[3].newick is None and fits[5].ss is None
+    assert fits[1].ss < 1e-9 < fits[2].ss
+    want = N.split_table(N.parse(text)[0])
+    assert all(abs(x * 100 - want[s]) < 1e-2 for s, x in N.split_table(N.parse(fits[1].newick)[0]).items())
+
+    trees = spark.createDataFrame([(1, text, "d"), (2, text, "x"), (3, text, None), (4, None, "a"), (5, f"{text[:-1]};", "a")], "id int, newick string, tip string")
+    hung = {r.id: r.newick for r in N.rerooted(trees, "tip", "id").collect()}
+    assert [hung[i] for i in (2, 3, 4)] == [None] * 3
+    for i, tip in ((1, "d"), (5, "a")):
+        root = N.parse(hung[i])[0]
+        assert root.children[0].name == tip
+        assert N.split_table(root) == want
+        assert sorted(root.tips()) == list(names)
+    assert N.rerooted(trees.limit(0), "tip", "id").count() == 0
