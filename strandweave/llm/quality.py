@@ -197,10 +197,14 @@ def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
     """(key, STATISTICS) of every row, or only (key, not_running_share): the share of its lines with content that aren't running text.
 
     The whole corpus' document frequencies are counted first (see known_words); then pages are taken where they lie, without a shuffle. Null, empty and
-    blank texts have 0 everywhere. Common words of all languages count, since a page's `lang` may be missing or wrong. An empty table gives no row.
+    blank texts have 0 everywhere. Common words of all languages count, since a page's `lang` may be missing or wrong. An empty table gives no row. More than
+    MOST_COMMON common words are refused with a ValueError: none is left out.
     """
     known = known_words(documents, text)
-    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().limit(MOST_COMMON).collect())
+    listed = common_words.select(F.lower("word").alias("word")).where("word is not null").distinct().limit(MOST_COMMON + 1).collect()
+    if len(listed) > MOST_COMMON:
+        raise ValueError(f"more than {MOST_COMMON} common words")
+    common = frozenset(r[0] for r in listed)
     names = STATISTICS if statistics else STATISTICS[-1:]
     schema = documents.select(key).schema
     for n in names:
@@ -219,5 +223,5 @@ def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
     return documents.select(key, F.col(text)).mapInArrow(run, schema)
 
 
-#: The list of common words is a fixed list of a few hundred words; a longer one is an error of the caller's.
+#: The list of common words is a fixed list of a few hundred words; a longer one is an error of the caller's and refused.
 MOST_COMMON = 100_000

@@ -173,6 +173,18 @@ def test_nothing(spark):
     assert {tuple(r)[1:] for r in rows} == {(0, *[0.0] * 8)}
 
 
+def test_no_common_word_is_left_out(spark, monkeypatch):
+    _, df, common = pages(spark)
+    with monkeypatch.context() as m:
+        m.setattr(quality, "MOST_COMMON", 19)
+        with pytest.raises(ValueError, match="more than 19"):
+            quality.page_quality(df, common)
+    twice = common.unionByName(common.select("lang", F.upper("word").alias("word")))
+    row = {r.doc_id: r.common_word_share for r in quality.page_quality(df, twice).collect()}
+    assert row == {r.doc_id: r.common_word_share for r in quality.page_quality(df, common).collect()}
+    assert row[0] > 0.3
+
+
 def test_known_words_are_not_rearrangements(spark):
     df = frame(spark, ["the church"] * 40 + ["hte chruch"] * 4 + ["unique"] + ["iii rnrn"] * 9)
     assert quality.known_words(df, "text") == {"the", "church", "unique", "chruch"} - {"chruch"} or quality.known_words(df, "text") >= {"the", "church"}
