@@ -176,8 +176,8 @@ def test_nothing(spark):
 def test_no_common_word_is_left_out(spark, monkeypatch):
     _, df, common = pages(spark)
     with monkeypatch.context() as m:
-        m.setattr(quality, "MOST_COMMON", 19)
-        with pytest.raises(ValueError, match="more than 19"):
+        m.setattr(quality, "MOST_COMMON", 18)
+        with pytest.raises(ValueError, match="more than 18"):
             quality.page_quality(df, common)
     twice = common.unionByName(common.select("lang", F.upper("word").alias("word")))
     row = {r.doc_id: r.common_word_share for r in quality.page_quality(df, twice).collect()}
