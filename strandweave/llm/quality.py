@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.plans.durable import durable
@@ -23,6 +24,8 @@ from strandweave.plans.durable import durable
 KNOWN = 0.002
 #: Times a rearrangement of a word's letters must be as frequent for the word to count as disordered.
 DISORDER = 3
+#: Share of a page above which it consists of something.
+MOST = 0.5
 #: Distinct words that a task counts before it hands its counts on.
 HELD = 400_000
 
@@ -190,6 +193,12 @@ def _off(kinds: list[str]) -> float:
     return sum(k != "prose" for k in kinds) / len(kinds) if kinds else 0.0
 
 
+def is_boilerplate() -> Column:
+    """Of rows of page_quality(): more than half of a page's lines aren't running text, or more than half of its lines or paragraphs repeat earlier ones, or the
+    occurrences of one run of words cover more than half of its letters. A page of the same text twice has a share of one half only."""
+    return reduce(Column.__or__, [F.col(c) > MOST for c in ("not_running_share", "repeated_line_share", "repeated_paragraph_share", "dominant_run_share")])
+
+
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "repeated_line_share", "repeated_paragraph_share", "dominant_run_share", "not_running_share")
 
 

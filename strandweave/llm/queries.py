@@ -38,7 +38,7 @@ def queries() -> dict[str, Query]:
         "p7_ids": lambda s, d: bpe.encode_texts(_table(s, d, "documents"), "doc_id", "text"),
         "p8_found": lambda s, d: packing.divided(packing.pack_documents(_table(s, d, "documents"))),
         "p8_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents")),
-        "p9_found": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words"), statistics=False).where("not_running_share > 0.5").select("doc_id"),
+        "p9_found": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words")).where(quality.is_boilerplate()).select("doc_id"),
         "p9_quality": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words")),
     }
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.llm import bpe, packing, quality
+from strandweave.llm.queries import queries
 
 ALPHABET = "aAbé ’'s\t\n\r\x0b\x1c\x1d\x85\xa0　٣1½!?<|endoftext|>😀中ß ​'ll've"
 SCHEMA = "doc_id bigint, text string, ids string, n string, piece string, container string, words string"
@@ -189,3 +190,16 @@ def test_known_words_are_not_rearrangements(spark):
     df = frame(spark, ["the church"] * 40 + ["hte chruch"] * 4 + ["unique"] + ["iii rnrn"] * 9)
     assert quality.known_words(df, "text") == {"the", "church", "unique", "chruch"} - {"chruch"} or quality.known_words(df, "text") >= {"the", "church"}
     assert not quality.known_words(df, "text") & {"hte", "iii", "rnrn", "chruch"}
+
+
+def test_pages_whose_only_sign_is_repetition(spark, tmp_path):
+    line = "the quiet letter had not been received early"
+    other = ARTICLE.replace("\n", " ")
+    repeated = [f"{line}\n" * 5 + "they were praised for it", f"{line}\n\n" * 4 + "he had it", "they were not received " * 9, "\n".join(x for i in range(5) for x in (line, f"they attended the church {'abcde'[i]}"))]
+    xs = [ARTICLE] * 30 + repeated + [f"{ARTICLE}\n{ARTICLE}", other, LIST]
+    frame(spark, xs).write.parquet(str(tmp_path / "documents.parquet"))
+    pages(spark)[2].write.parquet(str(tmp_path / "common_words.parquet"))
+    off = {r.doc_id for r in queries()["p9_found"](spark, str(tmp_path)).collect()}
+    assert off == {30, 31, 32, len(xs) - 1}
+    shares = {r.doc_id: r.not_running_share for r in queries()["p9_quality"](spark, str(tmp_path)).collect()}
+    assert max(shares[i] for i in (30, 31, 32)) <= 0.5
