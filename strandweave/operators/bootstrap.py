@@ -6,6 +6,7 @@ of each presence pattern: a replicate costs as much as there are patterns, whate
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.dense import row_numbers
 from strandweave.functions.formulas import distance, distance_error
+from strandweave.operators.newick import parse, split_table
 from strandweave.operators.treefit import Options, fit_tree
 from strandweave.plans.durable import spread
 
@@ -111,11 +113,20 @@ def pair_errors(pairs: DataFrame, tips: DataFrame, k: int, filtered: bool = Fals
     return j.where(F.least("readlength1", "readlength2") >= k).select("panel", "s1", "s2", "d", "n", distance_error(F.col("d"), F.col("n"), of(True), of(False), k, filtered).alias("se"))
 
 
-def parametric_distances(errors: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """(panel, replicate, s1, s2, d): distances with normal noise of their standard error, at least 0."""
+def parametric_distances(errors: DataFrame, replicates: int, seed: int, *keep: str) -> DataFrame:
+    """(panel, replicate, s1, s2, d, keep): distances with normal noise of their standard error, at least 0."""
     r = errors.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     noise = normal(seed, F.col("panel"), F.col("replicate"), F.col("s1"), F.col("s2"))
-    return r.select("panel", "replicate", "s1", "s2", F.greatest(F.lit(0.0), F.col("d") + F.col("se") * noise).alias("d"))
+    return r.select("panel", "replicate", "s1", "s2", F.greatest(F.lit(0.0), F.col("d") + F.col("se") * noise).alias("d"), *keep)
+
+
+def cophenetic(newick: str, names: list[str]) -> np.ndarray:
+    """Lengths of the paths between the tips of a tree, in the order of names."""
+    d = np.zeros((len(names),) * 2)
+    for side, length in split_table(parse(newick)[0]).items():
+        held = np.isin(names, side)
+        d += length * (held[:, None] != held[None, :])
+    return d
 
 
 def shared_path_covariance(d: np.ndarray, pairs: list[tuple[int, int]], n: np.ndarray, k: int) -> np.ndarray:
@@ -128,8 +139,25 @@ def shared_path_covariance(d: np.ndarray, pairs: list[tuple[int, int]], n: np.nd
     return w / (k * k * np.sqrt(np.outer(n, n)))
 
 
+def with_correlated_noise(names: list[str], d: np.ndarray, n: np.ndarray, k: int, rng: np.random.Generator, options: Options | None = None) -> np.ndarray:
+    """d with normal noise, at least 0: by the lower Cholesky factor of the covariance over the paths of the tree that is fitted to d."""
+    o = options or Options()
+    paths = cophenetic(fit_tree(names, d, k, replace(o, decimals=max(12, o.decimals)))[0], names)
+    every = list(combinations(range(len(names)), 2))
+    if not every:
+        return d.copy()
+    i, j = (np.array(x) for x in zip(*every, strict=True))
+    cov = shared_path_covariance(paths, every, n[i, j], k)
+    values, vectors = np.linalg.eigh(cov)  # rounding may leave it slightly indefinite
+    low = np.linalg.cholesky(vectors @ np.diag(np.maximum(values, 1e-12 * max(values.max(), 1e-12))) @ vectors.T + 1e-15 * np.eye(len(cov)))
+    x = np.zeros_like(d)
+    x[i, j] = x[j, i] = np.maximum(0, d[i, j] + low @ rng.standard_normal(len(cov)))
+    return x
+
+
 def parametric_trees(pairs: DataFrame, replicates: int, seed: int, k: int, options: Options | None = None) -> DataFrame:
-    """(panel, replicate, newick) from (panel, s1, s2, d, n): distances with correlated noise, by the lower Cholesky factor of their covariance over the fitted tree's paths."""
+    """(panel, replicate, newick) from (panel, s1, s2, d, n, se), in two stages a replicate: parametric_distances() stand for the reads' error, and to these comes
+    the correlated noise of evolution, of which the covariance is that of the paths of the tree fitted to them. Without a column se the reads have no error."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         names = sorted({*p.s1, *p.s2})
@@ -139,15 +167,10 @@ def parametric_trees(pairs: DataFrame, replicates: int, seed: int, k: int, optio
         d[i, j] = d[j, i] = p.d
         n[i, j] = n[j, i] = p.n
         np.fill_diagonal(d, 0)
-        every = list(combinations(range(len(names)), 2))
-        i, j = (np.array(x) for x in zip(*every, strict=True))
-        cov = shared_path_covariance(d, every, n[i, j], k)
-        values, vectors = np.linalg.eigh(cov)  # rounding may leave it slightly indefinite
-        low = np.linalg.cholesky(vectors @ np.diag(np.maximum(values, 1e-12 * max(values.max(), 1e-12))) @ vectors.T + 1e-15 * np.eye(len(cov)))
         rng = np.random.default_rng([seed, int(p.replicate.iloc[0]), hash_of(p.panel.iloc[0])])
-        x = np.zeros_like(d)
-        x[i, j] = x[j, i] = np.maximum(0, d[i, j] + low @ rng.standard_normal(len(cov)))
+        x = with_correlated_noise(names, d, n, k, rng, options)
         return pd.DataFrame([(p.panel.iloc[0], p.replicate.iloc[0], fit_tree(names, x, k, options)[0])], columns=["panel", "replicate", "newick"])
 
-    reps = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    errors = pairs if "se" in pairs.columns else pairs.withColumn("se", F.lit(0.0))
+    reps = parametric_distances(errors, replicates, seed, "n")
     return spread(reps, "panel", "replicate").groupBy("panel", "replicate").applyInPandas(run, "panel string, replicate int, newick string")

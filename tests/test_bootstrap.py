@@ -60,3 +60,42 @@ def test_covariance_is_that_of_shared_paths():
     assert abs(c[0, 1]) < 1e-15
     assert c[2, 3] > 0
     assert np.allclose(c, c.T)
+
+
+def test_path_lengths_of_a_tree():
+    import numpy as np
+
+    d = B.cophenetic("((a:1,b:2):3,(d:4,c:5):0.5,e:6);", ["e", "a", "b", "c", "d"])
+    assert np.allclose(d, [[0, 10, 11, 11.5, 10.5], [10, 0, 3, 9.5, 8.5], [11, 3, 0, 10.5, 9.5], [11.5, 9.5, 10.5, 0, 9], [10.5, 8.5, 9.5, 9, 0]])
+    assert np.allclose(B.cophenetic("(a:1,b:2);", ["a", "b"]), [[0, 3], [3, 0]])
+
+
+def test_correlated_noise_is_that_of_the_fitted_trees_paths():
+    import numpy as np
+
+    names, k, n = list("abcd"), 21, np.full((4, 4), 1000.0)
+    # not additive: the paths of the fitted tree differ from the distances
+    d = np.array([[0, 2, 6, 5], [2, 0, 5, 7], [6, 5, 0, 2], [5, 7, 2, 0]]) / 50
+    got = B.with_correlated_noise(names, d, n, k, np.random.default_rng(4))
+    t = B.cophenetic(B.fit_tree(names, d, k, B.Options(decimals=12))[0], names)
+    assert np.abs(t - d).max() > 0.005
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    cov = np.zeros((6, 6))
+    for p, (a, b) in enumerate(pairs):
+        for q, (x, y) in enumerate(pairs):
+            shared = max(0, 0.5 * (2 * (t[a, b] + t[x, y]) - (t[a, y] + t[a, x] + t[x, b] + t[b, y])))
+            cov[p, q] = (np.exp(shared * k) - 1 + 2 * sum(np.exp(shared * m) - 1 for m in range(1, k))) / (k * k * 1000)
+    assert np.linalg.eigvalsh(cov).min() > -1e-12
+    e = np.linalg.cholesky(cov + 1e-12 * np.eye(6)) @ np.random.default_rng(4).standard_normal(6)
+    assert np.allclose([got[p] for p in pairs], np.maximum(0, np.array([d[p] for p in pairs]) + e), atol=1e-5)
+
+
+def test_correlated_bootstrap_has_the_reads_error(spark):
+    import numpy as np
+
+    pairs = spark.createDataFrame([("p", "a", "b", 0.3, 10**15, 0.01)], "panel string, s1 string, s2 string, d double, n bigint, se double")
+    got = [B.cophenetic(r.newick, ["a", "b"])[0, 1] for r in B.parametric_trees(pairs, 200, 1, 21).collect()]
+    assert abs(np.mean(got) - 0.3) < 0.003
+    assert abs(np.std(got) - 0.01) < 0.0015
+    noisy = {r.replicate: r.d for r in B.parametric_distances(pairs, 200, 1).collect()}
+    assert np.allclose(sorted(got), sorted(noisy.values()), atol=1e-4)
