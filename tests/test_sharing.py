@@ -6,7 +6,8 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from strandweave.operators import sharing
+from strandweave.operators import newick, sharing
+from strandweave.plans.pipeline import distances_of, panel_trees
 
 
 @pytest.mark.parametrize("large", [7, 1 << 51, 1 << 58])
@@ -32,3 +33,17 @@ def test_shares_of_panels_with_nulls(spark):
     t = spark.createDataFrame(rows, "panel string, sample string, kmer string")
     assert {tuple(r) for r in sharing.pair_shares(t).collect()} == {("p", "a", "a", 1), ("p", "a", "b", 1), ("p", "b", "b", 2), (None, "a", "a", 1), (None, "a", "b", 1), (None, "b", "b", 1), ("q", "c", "c", 1)}
     assert sharing.pair_shares(t.limit(0)).count() == 0
+
+
+def test_samples_that_share_nothing_stay_in_distances_and_trees(spark):
+    held = spark.createDataFrame([("p", x, c) for x, y in {"a": "123", "b": "234", "c": "345", "far": "89", "thin": "7"}.items() for c in y] + [("q", "x", "1"), ("q", "y", "2")], "panel string, sample string, kmer string")
+    d = distances_of(sharing.pair_shares(held), 21)
+    got = {(r.s1, r.s2): (r.nshare, r.n1, r.n2, r.d) for r in d.collect()}
+    assert len(got) == 11
+    assert got["a", "far"] == (0, 3, 2, 1.0)
+    assert got["far", "thin"] == (0, 2, 1, 1.0)
+    assert got["x", "y"] == (0, 1, 1, 1.0)
+    assert got["a", "c"][0] == 1
+    trees = {r.panel: r.newick for r in panel_trees(d, 21).collect()}
+    assert sorted(newick.parse(trees["p"])[0].tips()) == ["a", "b", "c", "far", "thin"]
+    assert sorted(newick.parse(trees["q"])[0].tips()) == ["x", "y"]
