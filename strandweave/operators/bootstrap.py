@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.dense import row_numbers
 from strandweave.functions.formulas import distance, distance_error
+from strandweave.operators.counting import count_kmers
 from strandweave.operators.newick import parse, split_table
-from strandweave.operators.treefit import Options, fit_tree
-from strandweave.plans.durable import spread
+from strandweave.operators.sharing import distances_of, pattern_shares, patterns
+from strandweave.operators.treefit import Options, fit_tree, fit_trees
+from strandweave.plans.durable import durable, spread
 
 
 def uniform(seed: int, *key: Column) -> Column:
@@ -36,12 +38,39 @@ def subsample(reads: DataFrame, m: int, seed: int, key: str = "read_id") -> Data
     return reads.withColumn("_u", uniform(seed, F.col(key))).orderBy("_u", key).limit(m).drop("_u")
 
 
-def bootstrap_reads(reads: DataFrame, seed: int, by: str = "file", key: str = "read_id") -> DataFrame:
-    """Each file's reads drawn as often as it has reads, with replacement: the drawn reads with `draws`, the times they came. Null files are one file."""
+def bootstrap_reads(reads: DataFrame, seed: int, by: str = "file", key: str = "read_id", replicates: int | None = None) -> DataFrame:
+    """Each file's reads drawn as often as it has reads, with replacement: the drawn reads with `draws`, the times they came. Null files are one file.
+
+    With replicates, so many resamples, told apart by a column `replicate` from 1."""
     numbered = row_numbers(reads.withColumn(by, F.coalesce(by, F.lit(""))), by, key)
     span = numbered.groupBy(by).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    drawn = numbered.select(by, "_row").join(span, by).select((F.col("_first") + F.floor(uniform(seed, F.col("_row")) * F.col("_n"))).cast("bigint").alias("_row"))
-    return numbered.join(drawn.groupBy("_row").agg(F.count(F.lit(1)).alias("draws")), "_row").drop("_row")
+    rows, keys = numbered.select(by, "_row"), ["_row"]
+    if replicates is not None:
+        rows, keys = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))), ["replicate", "_row"]
+    drawn = rows.join(span, by).select(*keys[:-1], (F.col("_first") + F.floor(uniform(seed, *map(F.col, keys)) * F.col("_n"))).cast("bigint").alias("_row"))
+    return numbered.join(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws")), "_row").drop("_row")
+
+
+def read_bootstrap_patterns(reads: DataFrame, replicates: int, seed: int, k: int, least: int = 1, by: str = "file", key: str = "read_id") -> DataFrame:
+    """patterns() of the k-mers of resampled reads (key, panel, sample, by, seq), of which each replicate draws each file's; a replicate of a panel is a panel of its own,
+    named by _named(). All are counted by one aggregation. least: smallest count of a k-mer that is kept."""
+    counts = count_kmers(bootstrap_reads(reads, seed, by, key, replicates), k, least, weight="draws", by=("panel", "replicate"))
+    return patterns(counts.select(F.to_json(F.struct("panel", "replicate")).alias("panel"), "sample", "kmer"))
+
+
+def _named(trees: DataFrame, *more: str | Column) -> DataFrame:
+    of = F.from_json("panel", "panel string, replicate int")
+    return trees.select(of["panel"].alias("panel"), of["replicate"].alias("replicate"), *more, "newick")
+
+
+def read_bootstrap_trees(reads: DataFrame, replicates: int, seed: int, k: int, tables: int = 1, least: int = 1, by: str = "file", key: str = "read_id", options: Options | None = None) -> DataFrame:
+    """(panel, replicate, resampled, newick) of reads (key, panel, sample, by, seq): both stages of the nonparametric bootstrap.
+
+    resampled = 0: the tree of a replicate's resampled reads. 1 to `tables`: trees of that replicate's table of k-mers, resampled with as many rows as it has."""
+    each = durable(read_bootstrap_patterns(reads, replicates, seed, k, least, by, key))
+    first = _named(fit_trees(distances_of(pattern_shares(each), k), "panel", k, options), F.lit(0).alias("resampled"))
+    second = bootstrap_trees(each, tables, seed + 1, k, thin=False, options=options).withColumnRenamed("replicate", "resampled")
+    return first.unionByName(_named(second, "resampled"))
 
 
 def pattern_weights(patterns: DataFrame, replicates: int, seed: int, k: int | None = None, group: str = "panel") -> DataFrame:

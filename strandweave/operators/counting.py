@@ -17,21 +17,23 @@ def distinct_reads(reads: DataFrame) -> DataFrame:
     return reads.where("sample is not null and read_id is not null").groupBy("read_id", "sample").agg(F.min("seq").alias("seq"))
 
 
-def count_kmers(reads: DataFrame, k: int, least: int = 1, cap: int = CAP, special: bool | None = None, with_complexity: bool = False, limit: int | None = None) -> DataFrame:
-    """(sample, kmer, cnt BIGINT[, complexity]): canonical k-mers of reads (sample, seq), counted, saturated at `cap` and filtered.
+def count_kmers(reads: DataFrame, k: int, least: int = 1, cap: int = CAP, special: bool | None = None, with_complexity: bool = False, limit: int | None = None, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, sample, kmer, cnt BIGINT[, complexity]): canonical k-mers of reads (sample, seq), counted, saturated at `cap` and filtered.
 
-    least: smallest count kept. special: True keeps well-mixed k-mers, False the others, None all. limit: the first k-mers of each sample in order. k from 3 to 63.
+    weight: a column of whole numbers, as often does a read count. by: columns that keep counts apart besides the sample. least: smallest count kept. special: True keeps well-mixed k-mers, False the others, None all. limit: the first k-mers of each sample in order. k from 3 to 63.
     Counting is one shuffle of map-side sums, so a sample that holds a third of all reads is spread over all tasks. Reads without a k-mer add nothing.
     """
     if not 3 <= k <= 63:
         raise ValueError("k must be from 3 to 63")
-    t = explode_kmers(reads.where("sample is not null"), "seq", k, "sample").groupBy("sample", "kmer").agg(F.least(F.count(F.lit(1)), F.lit(cap)).cast("bigint").alias("cnt"))
+    keys = (*by, "sample")
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    t = explode_kmers(reads.where("sample is not null"), "seq", k, *keys, *([weight] if weight else [])).groupBy(*keys, "kmer").agg(F.least(n, F.lit(cap)).cast("bigint").alias("cnt"))
     if least > 1:
         t = t.where(F.col("cnt") >= least)
     if special is not None:
         t = t.where(well_mixed("kmer", k) if special else ~well_mixed("kmer", k))
     if limit is not None:
-        t = t.withColumn("_n", F.row_number().over(W.partitionBy("sample").orderBy("kmer"))).where(F.col("_n") <= limit).drop("_n")
+        t = t.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("kmer"))).where(F.col("_n") <= limit).drop("_n")
     return t.withColumn("complexity", complexity("kmer", k)) if with_complexity else t
 
 

@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions.formulas import distance
+from strandweave.plans.durable import durable
+
 #: Patterns that are multiplied together.
 TILE = 2048
 
@@ -78,10 +81,26 @@ def _product(row: np.ndarray, col: np.ndarray, weight: np.ndarray, width: int) -
 
 def pair_shares(held: DataFrame) -> DataFrame:
     """(panel, s1, s2, nshare BIGINT) of pairs s1 <= s2 of one panel that share a k-mer; s1 = s2 gives the sample's own number. From (panel, sample, kmer), repeated or not."""
-    cells = patterns(held.select("panel", "sample", "kmer").distinct()).mapInArrow(_gram, "panel string, s1 string, s2 string, n bigint")
+    return pattern_shares(patterns(held.select("panel", "sample", "kmer").distinct()))
+
+
+def pattern_shares(counted: DataFrame) -> DataFrame:
+    """pair_shares() of patterns()."""
+    cells = counted.mapInArrow(_gram, "panel string, s1 string, s2 string, n bigint")
     return cells.groupBy("panel", "s1", "s2").agg(F.sum("n").alias("nshare"))
 
 
+def distances_of(shares: DataFrame, k: int) -> DataFrame:
+    """(panel, s1, s2, nshare, n1, n2, d) of all pairs s1 < s2 of a panel's samples, from pair_shares(); pairs that share nothing are at distance 1.
+
+    The panel's samples are those with a row s1 = s2. A panel of one sample has no pair."""
+    shares = durable(shares)  # a row a pair, read three times
+    own = shares.where("s1 = s2")
+    n = lambda s, c: own.select("panel", F.col("s1").alias(s), F.col("nshare").alias(c))
+    pairs = n("s1", "n1").join(n("s2", "n2"), "panel").where("s1 < s2").join(shares.where("s1 < s2"), ["panel", "s1", "s2"], "left")
+    return pairs.withColumn("nshare", F.coalesce("nshare", F.lit(0).cast("bigint"))).select("panel", "s1", "s2", "nshare", "n1", "n2", distance(F.col("nshare"), F.col("n1"), F.col("n2"), k).alias("d"))
+
+
 def singletons(counts: DataFrame, k: int) -> DataFrame:
     """(panel, sample, n): whole number of (k-mers of the sample that no other sample of its panel holds) / k."""
     alone = F.sum((F.col("n_samples") == 1).cast("bigint"))

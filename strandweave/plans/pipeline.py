@@ -5,20 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.formulas import distance
 from strandweave.operators import bootstrap, consensus, counting, sharing, treefit
-from strandweave.plans.durable import durable
-
-
-def distances_of(shares: DataFrame, k: int) -> DataFrame:
-    """(panel, s1, s2, nshare, n1, n2, d) of all pairs s1 < s2 of a panel's samples, from pair_shares(); pairs that share nothing are at distance 1.
-
-    The panel's samples are those with a row s1 = s2. A panel of one sample has no pair."""
-    shares = durable(shares)  # a row a pair, read three times
-    own = shares.where("s1 = s2")
-    n = lambda s, c: own.select("panel", F.col("s1").alias(s), F.col("nshare").alias(c))
-    pairs = n("s1", "n1").join(n("s2", "n2"), "panel").where("s1 < s2").join(shares.where("s1 < s2"), ["panel", "s1", "s2"], "left")
-    return pairs.withColumn("nshare", F.coalesce("nshare", F.lit(0).cast("bigint"))).select("panel", "s1", "s2", "nshare", "n1", "n2", distance(F.col("nshare"), F.col("n1"), F.col("n2"), k).alias("d"))
+from strandweave.operators.sharing import distances_of
 
 
 def panel_trees(distances: DataFrame, k: int, options: treefit.Options | None = None) -> DataFrame:

@@ -178,6 +178,11 @@ def _noisy_trees(s: SparkSession, d: str) -> DataFrame:
     return f.select(F.split("key", "#")[0].alias("panel"), F.split("key", "#")[1].cast("int").alias("replicate"), "newick")
 
 
+def _read_trees(s: SparkSession, d: str) -> DataFrame:
+    r = _t(s, d, "seq_reads").where(F.col("read_id").isNotNull() & F.col("sample").contains(".")).groupBy("read_id", "sample").agg(F.min("file").alias("file"), F.min("seq").alias("seq"))
+    return bootstrap.read_bootstrap_trees(r.withColumn("panel", F.substring_index("sample", ".", 1)), REPLICATES, SEED, K)
+
+
 def _stream(s: SparkSession, d: str) -> DataFrame:
     schema = "sample string, file string, read_id bigint, name string, comment string, seq string, qual string"
     return counts_table(stream_counts(stream_reads(s, f"{d}/seq_reads.parquet", schema), K))
@@ -267,6 +272,8 @@ def queries() -> dict[str, Query]:
         "consensus_strict": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel", "strict"),
         "read_subsample": lambda s, d: bootstrap.subsample(r(s, d), 1000, SEED),
         "read_bootstrap": lambda s, d: bootstrap.bootstrap_reads(_t(s, d, "seq_reads").dropDuplicates(["read_id"]).select("read_id", "sample", "file", "seq"), SEED),
+        "read_bootstrap_trees": _read_trees,
+        "read_bootstrap_consensus": lambda s, d: consensus.consensus_trees(_read_trees(s, d).where("resampled > 0"), "panel"),
         "parametric_distances": _noisy,
         "parametric_distances_filtered": lambda s, d: _noisy(s, d, True),
         "parametric_bootstrap": _noisy_trees,

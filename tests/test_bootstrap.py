@@ -99,3 +99,68 @@ def test_correlated_bootstrap_has_the_reads_error(spark):
     assert abs(np.std(got) - 0.01) < 0.0015
     noisy = {r.replicate: r.d for r in B.parametric_distances(pairs, 200, 1).collect()}
     assert np.allclose(sorted(got), sorted(noisy.values()), atol=1e-4)
+
+
+def some_reads():
+    """Reads of four samples of two panels: a and b are alike, and c and d."""
+    import random
+
+    r = random.Random(1)
+    out = []
+    for panel in "pq":
+        one = "".join(r.choice("ACGT") for _ in range(3000))
+        changed = lambda x, share: "".join(r.choice("ACGT") if r.random() < share else c for c in x)
+        two = changed(one, 0.1)
+        for sample, genome in zip("abcd", (one, changed(one, 0.02), two, changed(two, 0.02)), strict=True):
+            for _ in range(150):
+                at = r.randrange(2900)
+                out.append((len(out), panel, sample, f"{panel}{sample}{r.randrange(2)}", genome[at : at + 100]))
+    return out
+
+
+def brute(seqs, k):
+    from collections import Counter
+
+    windows = (s[i : i + k] for s in seqs for i in range(len(s) - k + 1))
+    return Counter(min(w, w.translate(str.maketrans("ACGT", "TGCA"))[::-1]) for w in windows)
+
+
+def test_counts_of_drawn_reads(spark):
+    from collections import Counter
+
+    from strandweave.operators.counting import count_kmers
+
+    reads = spark.createDataFrame(some_reads(), "read_id bigint, panel string, sample string, file string, seq string")
+    drawn = B.bootstrap_reads(reads, 5, replicates=3).cache()
+    n = {(r.replicate, r.file): r.n for r in drawn.groupBy("replicate", "file").agg(F.sum("draws").alias("n")).collect()}
+    size = Counter(r[3] for r in some_reads())
+    assert n == {(i, f): m for i in (1, 2, 3) for f, m in size.items()}
+    want = Counter()
+    for r in drawn.collect():
+        for kmer, c in brute([r.seq], 9).items():
+            want[r.replicate, r["sample"], kmer] += c * r.draws
+    got = {(r.replicate, r["sample"], r.kmer): r.cnt for r in count_kmers(drawn, 9, weight="draws", by=("replicate",)).collect()}
+    assert got == dict(want)
+    per = [sorted((r.read_id, r.draws) for r in drawn.where(f"replicate = {i}").collect()) for i in (1, 2, 3)]
+    assert per[0] != per[1] != per[2]
+
+
+def test_trees_of_resampled_reads(spark):
+    import numpy as np
+
+    from strandweave.operators import consensus, newick
+
+    reads = spark.createDataFrame(some_reads(), "read_id bigint, panel string, sample string, file string, seq string")
+    trees = B.read_bootstrap_trees(reads, 4, 5, 9, tables=2).collect()
+    assert sorted((r.panel, r.replicate, r.resampled) for r in trees) == [(p, i, j) for p in "pq" for i in (1, 2, 3, 4) for j in (0, 1, 2)]
+    assert all(sorted(newick.parse(r.newick)[0].tips()) == list("abcd") for r in trees)
+    assert len({r.newick for r in trees if r.panel == "p"}) > 8
+    drawn = B.bootstrap_reads(reads, 5, replicates=4).where("panel = 'p' and replicate = 2").collect()
+    held = {s: set(brute([r.seq for r in drawn if r["sample"] == s], 9)) for s in "abcd"}
+    d = np.array([[-np.log(len(held[a] & held[b]) / min(len(held[a]), len(held[b]))) / 9 for b in "abcd"] for a in "abcd"])
+    assert next(r.newick for r in trees if (r.panel, r.replicate, r.resampled) == ("p", 2, 0)) == B.fit_tree(list("abcd"), d, 9)[0]
+    again = B.read_bootstrap_trees(reads.repartition(5), 4, 5, 9, tables=2)
+    assert sorted(map(tuple, trees)) == sorted(map(tuple, again.collect()))
+    got = consensus.consensus_trees(again.where("resampled > 0"), "panel").collect()
+    assert {(r.panel, r.n_trees) for r in got} == {("p", 8), ("q", 8)}
+    assert all(("c", "d") in newick.split_table(newick.parse(r.newick)[0]) for r in got)
