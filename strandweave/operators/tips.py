@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandweave.functions.formulas import kmer_coverage, tip_length
@@ -24,8 +25,6 @@ def tip_average(lengths: DataFrame, totals: DataFrame, value: str = "tip", order
     """(panel, n_samples, tip_ave): over a panel's pairs, the tip of the sample with fewer k-mers, added up and divided by n(n-1), or by half of it.
 
     A sample's tip counts once for each sample after it in the order of k-mers, so no pairs are formed. Ties by name."""
-    from pyspark.sql import Window as W
-
     t = lengths.join(totals, (lengths.panel == totals.panel) & (lengths.spname == totals["sample"])).select(lengths.panel, "spname", value, "ntotal")
     w = W.partitionBy("panel")
     later = t.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("after", F.col("n") - F.row_number().over(w.orderBy("ntotal", "spname")))
@@ -44,3 +43,15 @@ def ph_curve(abundances: DataFrame, k: Column, size: Column, gc: Column, d: floa
     ph2 = (1 - shared) * once
     ph3 = 0.5 * shared * total(once)
     return abundances.withColumn("ph", ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2) * ph3)
+
+
+def ph_of_groups(groups: DataFrame, keys: list[str], k: int, gc: float, d: float = 0.1) -> DataFrame:
+    """(keys, size, ph): ph_curve() of a table (keys, copies, n) of how many k-mers occur so often in a genome, however often that is."""
+    size = F.sum("n").over(W.partitionBy(*keys))
+    shared = F.exp(F.lit(-k * d))
+    once = 1 - F.pow(F.lit(1 - 2 * (0.5 - gc + gc * gc) ** k), F.col("size") - k + 1)
+    t = groups.withColumn("size", size).withColumn("once", once)
+    total = lambda base: F.sum(F.pow(base, F.col("copies")) * F.col("n") / F.col("size"))
+    g = t.groupBy(*keys, "size", "once").agg(total(1 - shared).alias("a"), total(F.col("once")).alias("b"))
+    ph1, ph2, ph3 = 1 - F.col("a"), (1 - shared) * F.col("once"), 0.5 * shared * F.col("b")
+    return g.select(*keys, "size", (ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2) * ph3).alias("ph"))

@@ -129,10 +129,15 @@ def _totals(s: SparkSession, d: str) -> DataFrame:
     return counting.diversity(_counts(s, d), "panel", "sample")
 
 
-def _copies(s: SparkSession, d: str) -> DataFrame:
-    """(panel, sample, copies): how often a k-mer occurs in its genome, by its count as a multiple of the sample's coverage."""
+def _copies(s: SparkSession, d: str, most: int | None = COPIES) -> DataFrame:
+    """(panel, sample, copies): how often a k-mer occurs in its genome, by its count as a multiple of the sample's coverage; at most `most`, if given."""
     c = _counts(s, d).join(_tips(s, d).select("panel", F.col("spname").alias("sample"), "coverage"), ["panel", "sample"]).where("coverage > 0")
-    return c.select("panel", "sample", F.greatest(F.lit(1), F.least(F.lit(COPIES), F.round(F.col("cnt") / F.col("coverage")))).cast("int").alias("copies"))
+    n = F.round(F.col("cnt") / F.col("coverage"))
+    return c.select("panel", "sample", F.greatest(F.lit(1), n if most is None else F.least(F.lit(most), n)).cast("int").alias("copies"))
+
+
+def _bins(s: SparkSession, d: str) -> DataFrame:
+    return _copies(s, d, None).groupBy("panel", "sample", "copies").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _ph(s: SparkSession, d: str) -> DataFrame:
@@ -239,6 +244,8 @@ def queries() -> dict[str, Query]:
         "published_shares": lambda s, d: _t(s, d, "test_nshare").dropna(subset=["panel", "row_no"]).groupBy("panel", "row_no").agg(*[F.max(x).alias(x) for x in SPS]),
         "coverage_bins": lambda s, d: _copies(s, d).groupBy("panel", "sample", "copies").agg(F.count(F.lit(1)).alias("n")),
         "ph_curve": _ph,
+        "coverage_bins_all": _bins,  # without the cap of coverage_bins and ph_curve, which their SQL has
+        "ph_curve_all": lambda s, d: round9(tips.ph_of_groups(_bins(s, d), ["panel", "sample"], K, GC, DISTANCE), "ph"),
         # tips and errors
         "tip_lengths": lambda s, d: round9(_tip_lengths(s, d), "l", "tip", "tip_filtered"),
         "tip_average": lambda s, d: round9(tips.tip_average(_tip_lengths(s, d), _totals(s, d)), "tip_ave"),

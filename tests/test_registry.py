@@ -38,3 +38,25 @@ def test_entry_and_names(spark):
 @pytest.mark.parametrize("name", ["tree_fit", "consensus_tree", "parametric_bootstrap_correlated", "tip_trim"])
 def test_iterative(spark, name):
     assert registry.queries()[name](spark, D).count() > 0
+
+
+def test_copies_have_no_cap(spark):
+    from collections import Counter, defaultdict
+
+    coverage = {(r.panel, r.spname): r.coverage for r in registry._tips(spark, D).collect() if r.coverage and r.coverage > 0}
+    held = defaultdict(Counter)
+    for r in registry._counts(spark, D).collect():
+        if c := coverage.get((r.panel, r["sample"])):
+            held[r.panel, r["sample"]][max(1, int(r.cnt / c + 0.5))] += 1
+    got = {(r.panel, r["sample"], r.copies): r.n for r in registry.queries()["coverage_bins_all"](spark, D).collect()}
+    assert got == {(*key, x): n for key, h in held.items() for x, n in h.items()}
+    assert max(x for _, _, x in got) > 1000
+    ph = {(r.panel, r["sample"]): (r.size, r.ph) for r in registry.queries()["ph_curve_all"](spark, D).collect()}
+    assert ph.keys() == held.keys()
+    for key, h in held.items():
+        size, e = sum(h.values()), 2.718281828459045**-2.1
+        once = 1 - (1 - 2 * (0.5 - 0.38 + 0.38**2) ** 21) ** (size - 20)
+        ph1 = 1 - sum((1 - e) ** x * n for x, n in h.items()) / size
+        ph2, ph3 = (1 - e) * once, 0.5 * e * sum(once**x * n for x, n in h.items()) / size
+        assert ph[key][0] == size
+        assert abs(ph[key][1] - (ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2) * ph3)) < 2e-9
