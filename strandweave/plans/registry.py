@@ -12,6 +12,7 @@ from strandweave.functions import formulas
 from strandweave.functions.dense import dense_ids
 from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement, usable_kmers
 from strandweave.operators import bootstrap, consensus, counting, merging, newick, rejects, sharing, tips, treedist, treefit
+from strandweave.plans.durable import durable
 from strandweave.plans.pipeline import distances_of, panel_trees
 from strandweave.sources import tables
 from strandweave.streaming.counts import counts_table, stream_counts, stream_reads
@@ -109,6 +110,34 @@ def _tree_distance(scheme: str) -> Query:
     return q
 
 
+def _compatibility_all(s: SparkSession, d: str) -> DataFrame:
+    t = durable(_masks(s, d))
+    j = t.select("panel", F.col("split").alias("a")).join(t.select("panel", F.col("split").alias("b")), "panel").where("a < b")
+    return j.withColumn("ok", consensus.compatible_masks(F.col("a"), F.col("b"), F.lit(1023)))
+
+
+def _fitted_distance(scheme: str) -> Query:
+    """Distances of resampled trees of one panel, with their replicates: of all pairs, of those that follow one another, or of each with the panel's fitted tree (replicate 0)."""
+
+    def q(s: SparkSession, d: str) -> DataFrame:
+        t = _boot(s, d)
+        if scheme == "corresponding":
+            t = t.unionByName(_trees(s, d).select("panel", F.lit(0).alias("replicate"), "newick"))
+        t = durable(t)
+        span = REPLICATES + REPLICATES % 2 + 2  # even, so that no pair of neighbours is of two panels
+        numbered = durable(t.join(dense_ids(t, "panel", "p"), "panel").select("panel", "replicate", "newick", (F.col("p") * span + F.col("replicate") - (0 if scheme == "corresponding" else 1)).alias("id")))
+        splits = newick.splits(numbered, "panel", "id")
+        if scheme == "all":
+            out = treedist.all_distances(splits, group="panel").drop("panel")
+        else:
+            pairs = treedist.pair_ids(numbered, "adjacent") if scheme == "adjacent" else numbered.where("replicate > 0").select((F.col("id") - F.col("replicate")).alias("id1"), F.col("id").alias("id2"))
+            out = treedist.split_distance(splits, pairs.select("id1", "id2")).withColumn("branch_score", F.round("branch_score", 9))
+        of = lambda i: numbered.select(F.col("id").alias(f"id{i}"), *(["panel"] if i == 1 else []), F.col("replicate").alias(f"replicate{i}"))
+        return out.join(of(1), "id1").join(of(2), "id2").drop("id1", "id2")
+
+    return q
+
+
 def _genome_size(s: SparkSession, d: str) -> DataFrame:
     r = _reads(s, d)
     c = counting.count_kmers(r, K).groupBy("sample").agg(F.sum("cnt").alias("kmers"), F.count(F.lit(1)).alias("kinds"))
@@ -235,6 +264,7 @@ def queries() -> dict[str, Query]:
         "merge_numeric": lambda s, d: merging.merge_tables([_t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_totalprice").alias("v")), _t(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"))], ["k"], "v", "AA", "n"),
         "merge_enum": lambda s, d: merging.merge_tables([_t(s, d, "orders").where(F.col("o_orderstatus") == x).select("o_custkey", "o_orderpriority", "o_orderkey") for x in "OF"], ["o_custkey", "o_orderpriority"], "o_orderkey", "EE", "ne", order=PRIORITIES),
         "merge_descending_order": lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2)], ["panel", "kmer"], "cnt", "TT").orderBy(*merging.sort_order(["kmer", "panel"], "Ss")).limit(1000),
+        "merge_descending_order_all": lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2)], ["panel", "kmer"], "cnt", "TT").orderBy(*merging.sort_order(["kmer", "panel"], "Ss")),
         "merge_one_to_many": lambda s, d: merging.merge_rows(_tips(s, d).select("panel", F.col("spname").alias("sample"), "coverage"), c(s, d), ["panel", "sample"]).groupBy("panel", "sample", "coverage").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")),
         # pairs and distances
         "pair_shared_counts": lambda s, d: _shares(s, d).where("s1 < s2"),
@@ -254,10 +284,14 @@ def queries() -> dict[str, Query]:
         # splits
         "splits_frequency": _masks,
         "split_compatibility": _compatibility,
+        "split_compatibility_all": _compatibility_all,
         "consensus_censor": _censored,
         "tree_distance_adjacent": _tree_distance("adjacent"),
         "tree_distance_corresponding": _tree_distance("corresponding"),
         "tree_distance_all": lambda s, d: treedist.all_distances(_mask_trees(s, d)),
+        "fitted_tree_distance_adjacent": _fitted_distance("adjacent"),
+        "fitted_tree_distance_corresponding": _fitted_distance("corresponding"),
+        "fitted_tree_distance_all": _fitted_distance("all"),
         # trees, by iteration or at random: tested in tests/
         "tree_fit": _trees,
         "tree_fit_evolution": lambda s, d: panel_trees(_distances(s, d), K, treefit.Options(evolution=True)),

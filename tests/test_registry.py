@@ -60,3 +60,37 @@ def test_copies_have_no_cap(spark):
         ph2, ph3 = (1 - e) * once, 0.5 * e * sum(once**x * n for x, n in h.items()) / size
         assert ph[key][0] == size
         assert abs(ph[key][1] - (ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2) * ph3)) < 2e-9
+
+
+def test_no_merged_row_and_no_split_is_left_out(spark):
+    a, b = ({(r.panel, r.kmer): r.cnt for r in registry._input(spark, D, i).collect()} for i in (1, 2))
+    rows = registry.queries()["merge_descending_order_all"](spark, D).collect()
+    want = sorted(a.keys() & b.keys(), key=lambda x: (x[1], x[0]))
+    assert sorted(((r.panel, r.kmer) for r in rows), key=lambda x: (x[1], x[0])) == want
+    kmers = [r.kmer for r in rows]
+    assert kmers == sorted(kmers, reverse=True)
+    by = {}
+    for r in registry._masks(spark, D).collect():
+        by.setdefault(r.panel, []).append(r.split)
+    got = {(r.panel, r.a, r.b): r.ok for r in registry.queries()["split_compatibility_all"](spark, D).collect()}
+    assert max(map(len, by.values())) > 12
+    assert got == {(p, x, y): x & y in (0, x, y) or x | y == 1023 for p, m in by.items() for x in m for y in m if x < y}
+
+
+def test_distances_of_fitted_trees(spark):
+    from strandweave.operators.newick import parse, split_table
+
+    q = registry.queries()
+    tables = {(r.panel, r.replicate): split_table(parse(r.newick)[0]) for r in q["table_bootstrap"](spark, D).collect()}
+    tables |= {(r.panel, 0): split_table(parse(r.newick)[0]) for r in q["tree_fit"](spark, D).collect()}
+    panels = {p for p, _ in tables}
+    n = registry.REPLICATES
+    pairs = {"adjacent": [(i, i + 1) for i in range(1, n, 2)], "corresponding": [(0, i) for i in range(1, n + 1)], "all": [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)]}
+    for scheme, want in pairs.items():
+        got = {(r.panel, r.replicate1, r.replicate2): r for r in q[f"fitted_tree_distance_{scheme}"](spark, D).collect()}
+        assert got.keys() == {(p, *x) for p in panels for x in want}
+        for (p, i, j), r in got.items():
+            x, y = tables[p, i], tables[p, j]
+            assert r.rf == len(x.keys() ^ y.keys())
+            if scheme != "all":
+                assert abs(r.branch_score - sum((x.get(k, 0) - y.get(k, 0)) ** 2 for k in x.keys() | y.keys()) ** 0.5) < 1e-8
