@@ -265,15 +265,15 @@ def repeated_days(kmer_t: DataFrame, days: int = 30, m: int = REGISTERS) -> Data
     return sure.select(F.date_format("count_day", "yyyy-MM-dd").alias("count_day"), "sample")
 
 
-def distinct_rollup(kmer_t: DataFrame, m: int = REGISTERS) -> DataFrame:
-    """Estimated numbers of distinct canonical k-mers by day, sample, panel, panel and day, and in all.
+def distinct_rollup(kmer_t: DataFrame, m: int = REGISTERS, sample_days: bool = False) -> DataFrame:
+    """Estimated numbers of distinct canonical k-mers by day, sample, panel, panel and day, in all, and by sample and day if sample_days.
 
     Columns: level, count_day, panel, sample (null where the level hasn't them), n_est, n_low, n_high (95 % interval), rse (relative standard error).
     A row with a null day or panel counts in the levels without it. An empty table gives no row.
     """
     rows = usable_kmers(kmer_t, "panel", "sample", "count_day").withColumn("h", F.xxhash64("kmer"))
     fine = durable(merge_sketches(build_sketches(rows, ["panel", "sample", "count_day"], "h", m), ["panel", "sample", "count_day"]))
-    levels = {"day": ["count_day"], "sample": ["sample"], "panel": ["panel"], "panel_day": ["panel", "count_day"], "all": []}
+    levels = {"day": ["count_day"], "sample": ["sample"], "panel": ["panel"], "panel_day": ["panel", "count_day"], "all": []} | ({"sample_day": ["sample", "count_day"]} if sample_days else {})
     out = None
     for level, keys in levels.items():
         part = fine

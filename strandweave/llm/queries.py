@@ -26,7 +26,7 @@ def queries() -> dict[str, Query]:
     k = lambda s, d: _table(s, d, "kmer_t")
     return {
         "p1_found": lambda s, d: distinct.repeated_days(k(s, d)),
-        "p1_distinct": lambda s, d: distinct.distinct_rollup(k(s, d)),
+        "p1_distinct": lambda s, d: distinct.distinct_rollup(k(s, d), sample_days=True),
         "p2_found": lambda s, d: overlap.sample_overlaps(k(s, d), 48).select("s1", "s2"),
         "p2_overlap": lambda s, d: overlap.sample_overlaps(k(s, d)),
         "p3_found": lambda s, d: cooccur.more_than_chance(cooccur.sample_cooccurrence(k(s, d))).select("s1", "s2"),

@@ -237,6 +237,8 @@ def queries() -> dict[str, Query]:
         "kmer_special_filter": lambda s, d: counting.count_kmers(r(s, d), K, special=True),
         "kmer_special_filter_inverse": lambda s, d: counting.count_kmers(r(s, d), K, special=False),
         "kmer_complexity": lambda s, d: counting.count_kmers(r(s, d), 9).select("kmer").distinct().withColumn("complexity", complexity("kmer", 9)),
+        "kmer_filter_n2_long": lambda s, d: counting.count_kmers(r(s, d), K, least=2),
+        "kmer_complexity_long": lambda s, d: counting.count_kmers(r(s, d), K).select("kmer").distinct().withColumn("complexity", complexity("kmer", K)),
         "kmer_limit": lambda s, d: counting.count_kmers(r(s, d), K, limit=100),
         "kmer_histogram": lambda s, d: counting.abundance(c(s, d)),
         "kmer_stream": _stream,

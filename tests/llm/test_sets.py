@@ -242,3 +242,13 @@ def test_few_items_ties_and_nulls(spark):
     df = spark.createDataFrame([("a", 2, 1), ("a", 2, 1), ("b", 2, 2), ("c", None, 3), ("d", -5, 4), (None, 9, 5), ("e", 7, None), ("e", 7, None)], "i string, n int, d int")
     got = {r["item"]: r.total for r in heavy.heaviest(df, "i", "n", "d", 3).collect()}
     assert got == {"e": 14, "a": 2, "b": 2}
+
+
+def test_rollup_by_sample_and_day(table, rows):
+    exact = defaultdict(set)
+    for _, s, k, _, d in usable(rows):
+        if d is not None:
+            exact[s, d].add(k)
+    got = {(r["sample"], r.count_day): r for r in distinct.distinct_rollup(table, sample_days=True).where("level = 'sample_day'").collect()}
+    assert got.keys() == exact.keys()
+    assert max(abs(got[k].n_est / len(v) - 1) / got[k].rse for k, v in exact.items()) < 4.5

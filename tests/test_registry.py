@@ -94,3 +94,13 @@ def test_distances_of_fitted_trees(spark):
             assert r.rf == len(x.keys() ^ y.keys())
             if scheme != "all":
                 assert abs(r.branch_score - sum((x.get(k, 0) - y.get(k, 0)) ** 2 for k in x.keys() | y.keys()) ** 0.5) < 1e-8
+
+
+def test_long_kmers(spark):
+    q = registry.queries()
+    counts = {(r["sample"], r.kmer): r.cnt for r in q["kmer_counts"](spark, D).collect()}
+    assert {(r["sample"], r.kmer): r.cnt for r in q["kmer_filter_n2_long"](spark, D).collect()} == {k: n for k, n in counts.items() if n >= 2}
+    got = {r.kmer: r.complexity for r in q["kmer_complexity_long"](spark, D).collect()}
+    assert got.keys() == {k for _, k in counts}
+    some = sorted(got)[:: max(1, len(got) // 200)]
+    assert all(got[k] == len({k[i:j] for i in range(21) for j in range(i + 1, 22)}) for k in some)
