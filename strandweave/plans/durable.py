@@ -8,16 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared checkpoint folder; only a session without one (tests on one machine) gets a temporary folder."""
+    """The session's checkpoint folder, which all executors share.
+
+    Only a session on one machine (master local or local[…]) that names none gets a temporary folder; on a cluster a missing spark.checkpoint.dir is a
+    RuntimeError, since a folder of one machine would be lost with it. With spark.cleaner.referenceTracking.cleanCheckpoints Spark removes files that are no longer used."""
     sc = spark.sparkContext
     now = sc._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not where:
+        if not is_one_machine(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(where)
     return where
 
 
+def is_one_machine(master: str) -> bool:
+    """local and local[…], but not local-cluster[…]."""
+    return master == "local" or master.startswith("local[")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df, computed once and written to the shared checkpoint folder."""
     checkpoint_dir(df.sparkSession)
