@@ -2,8 +2,8 @@
 
 Identifiers are rows and sets are columns of an incidence matrix A; A'A holds the number of shared identifiers of each pair of sets and, on its
 diagonal, each set's own number. Identifiers are hash-partitioned, so A'A is the sum of the partitions' products. Within a task identifiers are put
-in order of the rarest set that holds them, so that a tile of some hundred identifiers touches few columns and only those are multiplied. Results are
-summed in blocks of BLOCK x BLOCK integers, which are shuffled compressed and added up as a stream.
+in order of the rarest set that holds them, so that a tile of some hundred identifiers touches few columns and only those are multiplied, a pair of blocks
+of columns at a time. Results are summed in blocks of BLOCK x BLOCK integers, which are shuffled compressed and added up as a stream.
 """
 
 from __future__ import annotations
@@ -17,34 +17,51 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.dense import dense_ids
 from strandweave.functions.kmers import encode_2bit, usable_kmers
+from strandweave.llm.distinct import chunks
 from strandweave.plans.durable import durable
 
 BLOCK, TILE, WIDE = 256, 512, 64
 #: Incidences that a task arranges together, and blocks that it holds before it hands them on (each 256 KB).
 CHUNK, HELD = 400_000, 600
+#: Names of sets (some 50 bytes each) that are broadcast with their numbers; more are joined by a shuffle.
+BROADCAST = 100_000
 
 
 def pair_counts(incidence: DataFrame, item: str, column: str) -> DataFrame:
     """(i, j, n BIGINT) with i <= j and n > 0: identifiers that sets i and j share; i = j gives the set's own number.
 
     incidence: identifier BIGINT in `item`, set number (dense from 0) in `column`; rows with a null in either are left out, repeated rows count once.
+    Copies of a row fall away in the tasks that read them, so an identifier of which there are very many rows brings few to the one shuffle; what is left
+    of them falls away behind it, where all rows of an identifier are side by side.
     """
-    return _pair_counts(incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col")).dropna().distinct())
+    rows = incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col")).dropna()
+    once = rows.mapInArrow(_once, "item bigint, col int")
+    blocks = once.repartition("item").sortWithinPartitions("item", "col").mapInArrow(_products, "bi int, bj int, cells binary")
+    return blocks.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_sums, "i bigint, j bigint, n bigint")
 
 
-def _pair_counts(rows: DataFrame) -> DataFrame:
-    """pair_counts of distinct rows (item, col) without nulls."""
-    blocks = rows.repartition("item").sortWithinPartitions("item").mapInArrow(_products, "bi int, bj int, cells binary")
-    return blocks.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_sums, "i bigint, j bigint, n bigint")
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row once for CHUNK rows read."""
+    for t in chunks(batches, CHUNK):
+        item, col = t.column(0).to_numpy(), t.column(1).to_numpy()
+        order = np.lexsort((col, item))
+        item, col = _distinct(item[order], col[order])
+        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(col)], ["item", "col"])
+
+
+def _distinct(items: np.ndarray, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rows without their copies."""
+    new = np.r_[True, (items[1:] != items[:-1]) | (cols[1:] != cols[:-1])] if len(items) else np.zeros(0, bool)
+    return items[new], cols[new]
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[tuple[int, int], np.ndarray] = {}
     for items, cols in _whole_items(batches):
-        _add_chunk(held, items, cols)
-        if len(held) > HELD:
-            yield _packed(held)
-            held = {}
+        for _ in _add_chunk(held, *_distinct(items, cols)):
+            if len(held) > HELD:
+                yield _packed(held)
+                held.clear()
     if held:
         yield _packed(held)
 
@@ -66,12 +83,14 @@ def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray
         yield np.concatenate(items), np.concatenate(cols)
 
 
-def _add_chunk(held: dict[tuple[int, int], np.ndarray], items: np.ndarray, cols: np.ndarray) -> None:
+def _add_chunk(held: dict[tuple[int, int], np.ndarray], items: np.ndarray, cols: np.ndarray) -> Iterator[None]:
+    """Adds the products of the chunk's tiles to the held blocks; pauses after each row of blocks, when they may be handed on."""
     own = np.bincount(cols)
     some = np.flatnonzero(own)
     for b in np.unique(some // BLOCK):
         x = some[some // BLOCK == b]
         _block(held, b, b)[x % BLOCK, x % BLOCK] += own[x]
+    yield
     starts = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
     degree = np.diff(np.r_[starts, len(items)])
     row = np.repeat(np.arange(len(starts)), degree)
@@ -94,12 +113,14 @@ def _add_chunk(held: dict[tuple[int, int], np.ndarray], items: np.ndarray, cols:
         at, c = np.unique(cols[lo:hi], return_inverse=True)
         tile = np.zeros((min(TILE, len(order) - k), len(at)), np.float32)
         tile[row[lo:hi] - k, c] = 1
-        g = np.triu((tile.T @ tile).astype(np.int32), 1)
         edges = np.r_[np.flatnonzero(np.r_[True, at[1:] // BLOCK != at[:-1] // BLOCK]), len(at)]
         for x in range(len(edges) - 1):
+            left, r = tile[:, edges[x] : edges[x + 1]].T, at[edges[x] : edges[x + 1]]
             for y in range(x, len(edges) - 1):
-                r, s = at[edges[x] : edges[x + 1]], at[edges[y] : edges[y + 1]]
-                _block(held, r[0] // BLOCK, s[0] // BLOCK)[np.ix_(r % BLOCK, s % BLOCK)] += g[edges[x] : edges[x + 1], edges[y] : edges[y + 1]]
+                s = at[edges[y] : edges[y + 1]]
+                g = (left @ tile[:, edges[y] : edges[y + 1]]).astype(np.int32)
+                _block(held, r[0] // BLOCK, s[0] // BLOCK)[np.ix_(r % BLOCK, s % BLOCK)] += np.triu(g, 1) if x == y else g
+            yield
 
 
 def _block(held: dict[tuple[int, int], np.ndarray], i: int, j: int) -> np.ndarray:
@@ -138,9 +159,10 @@ def sample_overlaps(kmer_t: DataFrame, least_percent: int = 0) -> DataFrame:
     least_percent keeps only pairs with share >= least_percent / 100, compared in whole numbers. Usable rows and canonical k-mers; repeated rows,
     files and days count once; pairs that share nothing have no row; an empty table gives none.
     """
-    rows = usable_kmers(kmer_t, "sample").distinct()
+    rows = usable_kmers(kmer_t, "sample")
     ids = dense_ids(kmer_t.select("sample"), "sample", "sid")
-    cells = durable(_pair_counts(rows.join(ids, "sample").select(encode_2bit("kmer").alias("item"), F.col("sid").cast("int").alias("col"))))
+    near = F.broadcast(ids) if ids.count() <= BROADCAST else ids  # without the hint the checkpointed ids have no known size, and the rows would be shuffled for them
+    cells = durable(pair_counts(rows.join(near, "sample").select(encode_2bit("kmer").alias("item"), "sid"), "item", "sid"))
     own = cells.where("i = j").join(ids, F.col("i") == F.col("sid")).select("sid", "sample", "n")
     a, b = own.select(F.col("sid").alias("i"), F.col("sample").alias("s1"), F.col("n").alias("n1")), own.select(F.col("sid").alias("j"), F.col("sample").alias("s2"), F.col("n").alias("n2"))
     pairs = cells.where("i < j").withColumnRenamed("n", "shared").join(a, "i").join(b, "j")
