@@ -108,3 +108,18 @@ def test_read_statistics(spark):
     assert (got["s"].n_reads, got["s"].total_bp, got["s"].mean_len, got["s"].gc) == (2, 9, 4, 0.5)
     assert "t" not in got
     assert got["u"].gc is None
+
+
+def test_codes_of_usable_rows(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["s", "t", None]), "".join(rnd.choice("ACGTacgt") for _ in range(rnd.choice([20, 21, 21, 21, 22])))) for _ in range(400)]
+    rows += [("s", x) for x in ("T" * 21, "a" * 21, "ACGTN" + "A" * 16, "A" * 20 + "\n", "", None, "é" * 21, "C" * 5000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "sample string, kmer string, code string")
+    want = kmers.usable_kmers(df, "sample").select("sample", kmers.encode_2bit("kmer").alias("code"), "kmer")
+    got = kmers.usable_codes(df, "sample").withColumn("kmer", kmers.decode_2bit("code", 21))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.count() > 150
+    for k in (1, 4, 15, 31):
+        text = "".join(rnd.choice("ACGT") for _ in range(k))
+        r = spark.createDataFrame([("s", text)], "sample string, kmer string").select(kmers.decode_2bit(kmers.reverse_complement_code(kmers.encode_2bit("kmer"), k), k), kmers.reverse_complement("kmer")).first()
+        assert r[0] == r[1]
