@@ -30,7 +30,7 @@ def queries() -> dict[str, Query]:
         "p2_found": lambda s, d: overlap.sample_overlaps(k(s, d), 48).select("s1", "s2"),
         "p2_overlap": lambda s, d: overlap.sample_overlaps(k(s, d)),
         "p3_found": lambda s, d: cooccur.more_than_chance(cooccur.sample_cooccurrence(k(s, d))).select("s1", "s2"),
-        "p3_cooccur": lambda s, d: cooccur.sample_cooccurrence(k(s, d)).withColumns({"lift": F.round("lift", 6), "llr": _signed_round("llr", 4)}),
+        "p3_cooccur": lambda s, d: cooccur.sample_cooccurrence(k(s, d)).withColumns({"lift": F.round("lift", 6), "llr": _signed_round("llr", 4), "p_value": F.round("p_value", 6)}),
         "p4_found": lambda s, d: frequency.kmer_frequencies(k(s, d)).where("mark is not null").select("kmer", "mark"),
         "p4_frequency": lambda s, d: frequency.kmer_frequencies(k(s, d)),
         "p5_found": lambda s, d: heavy.heaviest_kmers(k(s, d)).select("kmer"),
@@ -54,6 +54,8 @@ p as (select a.panel, a.sample as s1, b.sample as s2, count(*) as n12 from k a j
 q as (select p.panel, s1, s2, n12, x.n as n1, y.n as n2, t.n as n from p join n x on p.panel = x.panel and s1 = x.sample join n y on p.panel = y.panel and s2 = y.sample join t on t.panel = p.panel)"""
 _TERM = "case when {k} > 0 then {k} * ln({k}::double * n / ({r}::double * {c})) else 0 end"
 _G2 = "greatest(0, 2 * (" + " + ".join(_TERM.format(k=k, r=r, c=c) for k, r, c in (("n12", "n1", "n2"), ("(n1 - n12)", "n1", "(n - n2)"), ("(n2 - n12)", "(n - n1)", "n2"), ("(n - n1 - n2 + n12)", "(n - n1)", "(n - n2)"))) + "))"
+_T = "(1 / (1 + sqrt(g / 2) / 2))"
+_P = f"{_T} * exp(" + "".join(f"{c} + {_T} * (" for c in cooccur.ERFC[:-1]) + f"{cooccur.ERFC[-1]}" + ")" * (len(cooccur.ERFC) - 1) + " - g / 2)"
 _FREQUENCY = f"""{_USABLE}, f as (select kmer, coalesce(sum(cnt), 0)::bigint as occurrences, count(distinct sample) as records from u group by kmer),
 m as (select *, case when records = 1 and occurrences <= 1 then 'rare' when records * 2 >= (select count(distinct sample) from u) then 'common' end as mark from f)"""
 
@@ -66,7 +68,7 @@ select strftime(count_day, '%Y-%m-%d') as count_day, sample from o group by 1, 2
         "p2_found": f"with {_PAIRS} select s1, s2 from q where shared * 100 >= least(n1, n2) * 48",
         "p2_overlap": f"with {_PAIRS} select s1, s2, shared, n1, n2, shared / least(n1, n2) as share from q",
         "p3_found": f"with {_TOGETHER} select s1, s2 from q where n12::hugeint * n * 100 >= n1::hugeint * n2 * 175",
-        "p3_cooccur": f"with {_TOGETHER}, r as (select *, n12::double * n / (n1::double * n2) as l, {_G2} as g from q) select panel, s1, s2, n12, n1, n2, n, round(l, 6) as lift, round(case when l < 1 then -g else g end, 4) as llr from r",
+        "p3_cooccur": f"with {_TOGETHER}, r as (select *, n12::double * n / (n1::double * n2) as l, {_G2} as g from q) select panel, s1, s2, n12, n1, n2, n, round(l, 6) as lift, round(case when l < 1 then -g else g end, 4) as llr, round({_P}, 6) as p_value, l >= 1 and g >= {cooccur.critical_value(cooccur.LEVEL)!r} as significant from r",
         "p4_found": f"with {_FREQUENCY} select kmer, mark from m where mark is not null",
         "p4_frequency": f"with {_FREQUENCY} select kmer, occurrences, records, mark from m",
         "p5_found": f"with {_USABLE} select kmer from u group by kmer order by coalesce(sum(cnt), 0) desc, kmer limit 20",

@@ -1,5 +1,6 @@
 """Distinct counts, overlaps, co-occurrence, frequencies and heavy items against brute force, with dirty rows."""
 
+import math
 import random
 from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
@@ -182,9 +183,21 @@ def test_cooccurrence(table, rows, empty, monkeypatch):
         g = 2 * sum(x * np.log(x / y) for x, y in zip(o.ravel(), e.ravel(), strict=True) if x)
         assert abs(abs(r.llr) - g) < 1e-6
         assert (r.llr < -1e-9) <= (r.lift < 1)
+        assert abs(r.p_value - math.erfc(math.sqrt(abs(r.llr) / 2))) <= 1.3e-7 * r.p_value
+        assert r.significant == (r.lift >= 1 and math.erfc(math.sqrt(g / 2)) <= cooccur.LEVEL)
     want = {k for k, r in got.items() if 100 * r.n12 * r.n >= 175 * r.n1 * r.n2}
     assert {(r.panel, r.s1, r.s2) for r in cooccur.more_than_chance(cooccur.sample_cooccurrence(table)).collect()} == want
     assert cooccur.sample_cooccurrence(empty).count() == 0
+    first = {tuple(r) for r in cooccur.sample_cooccurrence(table).collect()}
+    for name, value in (("WIDE", 2), ("HELD", 20), ("BROADCAST", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(cooccur, name, value)
+            assert {tuple(r) for r in cooccur.sample_cooccurrence(table).collect()} == first
+
+
+def test_level_of_significance():
+    assert abs(cooccur.critical_value(0.05) - 3.841459) < 1e-6
+    assert abs(cooccur.critical_value(0.001) - 10.827566) < 1e-6
 
 
 def test_wide_records_and_nulls(spark):
@@ -215,11 +228,12 @@ def test_frequencies(table, rows, empty):
     assert frequency.kmer_frequencies(empty).count() == 0
 
 
-def test_terms_with_nulls_and_one_salt(spark):
+def test_terms_with_nulls_and_any_number_of_parts(spark, monkeypatch):
     rows = [("a", "r1", 1, 1), ("a", "r1", 1, 1), ("a", "r1", 2, None), ("a", "r1", 3, None), ("a", "r2", None, 5), (None, "r", 1, 6), ("b", None, 1, 7), ("c", "r1", None, 8)]
     df = spark.createDataFrame(rows, "w string, r string, n int, id int")
-    for salt in (1, 16):
-        got = {r.term: (r.occurrences, r.records) for r in frequency.term_frequencies(df, "w", "r", "n", "id", salt).collect()}
+    for parts, chunk in ((1, 400_000), (16, 1), (None, 3)):
+        monkeypatch.setattr(frequency, "CHUNK", chunk)
+        got = {r.term: (r.occurrences, r.records) for r in frequency.term_frequencies(df.repartition(2), "w", "r", "n", "id", parts).collect()}
         assert got == {"a": (6, 2), "c": (0, 1)}
 
 
@@ -231,11 +245,32 @@ def test_heaviest(table, rows, empty):
     assert heavy.heaviest_kmers(empty).count() == 0
 
 
-def test_even_amounts_end_the_descent_early(spark, monkeypatch):
-    monkeypatch.setattr(heavy, "MOST", 1 << 14)
+def test_even_amounts_are_asked_of_the_sketch(spark, monkeypatch):
     df = spark.range(30_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("i"), F.when(F.col("id") < 3, 4).otherwise(3).alias("n"), F.col("id").alias("d"))
-    got = {(r["item"], r.total) for r in heavy.heaviest(df, "i", "n", "d", 5).collect()}
-    assert got == {("k0", 4), ("k1", 4), ("k2", 4), ("k10", 3), ("k100", 3)}
+    want = {("k0", 4), ("k1", 4), ("k2", 4), ("k10", 3), ("k100", 3)}
+    first = heavy.heaviest(df, "i", "n", "d", 5).collect()
+    assert {(r["item"], r.total) for r in first} == want
+    monkeypatch.setattr(heavy, "MOST", 1 << 14)
+    assert sorted(heavy.heaviest(df, "i", "n", "d", 5).collect()) == sorted(first)
+
+
+def test_listed_candidates_are_those_of_the_sketch(table, rows, monkeypatch):
+    first = heavy.heaviest_kmers(table).collect()
+    for name in ("MAX_BROADCAST", "MOST"):
+        with monkeypatch.context() as m:
+            m.setattr(heavy, name, 10)
+            assert sorted(heavy.heaviest_kmers(table).collect()) == sorted(first)
+    rnd = np.random.default_rng(1)
+    sketch = np.rint(rnd.normal(0, 30, (len(heavy.LEVELS), heavy.DEPTH, heavy.WIDTH)))
+    h = rnd.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    for x in h[:40]:
+        for i, bits in enumerate(heavy.LEVELS):
+            for r in range(heavy.DEPTH):
+                at, sign = heavy.slots(np.array([x >> np.uint64(64 - bits)]), bits, r)
+                sketch[i, r, at] += sign * 5000
+    p = heavy.heavy_prefixes(sketch, 3000.0)
+    assert len(p) >= 40
+    assert (heavy.is_heavy(sketch, 3000.0, h) == np.isin(h >> np.uint64(64 - heavy.LEVELS[-1]), p)).all()
 
 
 def test_few_items_ties_and_nulls(spark):
