@@ -53,7 +53,8 @@ def reverse_complement_code(code: Column | str, k: int) -> Column:
 def usable_codes(kmer_t: DataFrame, *keep: str, k: int = 21) -> DataFrame:
     """usable_kmers() with the canonical k-mer as its 2-bit code: the columns `keep` and `code` BIGINT, in the order of the strings. k of at most 31.
 
-    No text is made but that of the code's digits, so this costs less than usable_kmers() and what is shuffled is 8 bytes a k-mer."""
+    No text is made but that of the code's digits, so this costs less than usable_kmers() and what is shuffled is 8 bytes a k-mer. A filter on something derived from `code` is
+    pushed below its expression, which is then made over and over: filter in Arrow batches, or after an aggregation or a shuffle."""
     ok = F.col("sample").isNotNull() & (F.length("kmer") == k) & F.col("kmer").rlike(f"^[ACGTacgt]{{{k}}}")
     rows = kmer_t.where(ok).select(*keep, F.conv(F.translate("kmer", "ACGTacgt", "01230123"), 4, 10).cast("bigint").alias("_code"))
     return rows.select(*keep, F.least("_code", reverse_complement_code("_code", k)).alias("code"))
