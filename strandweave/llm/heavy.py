@@ -3,20 +3,23 @@
 An item is its 64-bit hash. For each of a few prefix lengths, each task keeps a count-sketch (DEPTH rows of WIDTH signed counters) of the amounts by
 prefix; sketches are added up, so their memory depends on neither the rows nor the distinct items. Starting with all prefixes of the shortest length,
 the descent extends those prefixes whose estimate (median over the rows) can still reach the k-th largest, given the sketch's error. Items under the
-longest heavy prefixes are candidates; a second scan adds up their amounts exactly. If the exact k-th sum shows that the descent's
-threshold was too high to be sure of the answer, the descent starts again with a lower one.
+longest heavy prefixes are candidates; a second scan adds up their amounts exactly. Where the amounts are so even that the candidates' prefixes are too many to
+be listed, the second scan asks the sketch itself whether an item's prefixes are all heavy: the candidates are the same, and no list of them exists anywhere. If
+the exact k-th sum shows that the descent's threshold was too high to be sure of the answer, the descent starts again with a lower one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.functions.kmers import usable_kmers
+from strandweave.functions.kmers import decode_2bit, usable_codes
 from strandweave.llm.distinct import chunks
 from strandweave.plans.durable import durable
 
@@ -24,8 +27,8 @@ DEPTH, WIDTH = 5, 1 << 16
 LEVELS = (12, 18, 24, 30, 36, 42)
 #: Standard errors that an estimate is allowed to be wrong by.
 SURE = 4.0
-#: Prefixes that a level of the descent may look at.
-MOST = 1 << 22
+#: Prefixes that a level of the descent may look at on the driver, and listed candidates (8 bytes each) that are broadcast; beyond these the sketch takes the list's place.
+MOST, MAX_BROADCAST = 1 << 22, 100_000
 #: Share of the k-th largest estimate that the descent goes down to at first: estimates also hold what was delivered again, so the exact k-th sum lies below.
 FIRST = 0.75
 #: Counters of a sketch row that make one row of the shuffle.
@@ -49,6 +52,9 @@ def build(hashes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, some = np.zeros((len(LEVELS), DEPTH, WIDTH)), False
         for t in chunks(batches, 1 << 16):
+            t = t.filter(pc.is_valid(t["hash"]))
+            if not t.num_rows:
+                continue
             h, back = np.unique(t.column(0).to_numpy().view(np.uint64), return_inverse=True)
             amount = np.bincount(back, weights=t.column(1).to_numpy())
             some = True
@@ -96,27 +102,49 @@ def estimate(sketch: np.ndarray, level: int, prefixes: np.ndarray) -> np.ndarray
 
 
 def noise(sketch: np.ndarray, level: int) -> float:
-    """Standard error of one row's estimate, from the counters' median magnitude: a few heavy items, which the median over rows ignores, don't raise it."""
-    return float(np.median(np.abs(sketch[level]))) / 0.6745
+    """Standard error of one row's estimate, from quantiles of the counters' magnitude: a few heavy items, which the median over rows ignores, don't raise it. The largest of
+    the quantiles' answers counts, as most counters are 0 where there are fewer items than counters."""
+    return max(float(np.quantile(np.abs(sketch[level]), q)) / NormalDist().inv_cdf((1 + q) / 2) for q in (0.5, 0.75, 0.9))
 
 
-def descend(sketch: np.ndarray, least: float) -> tuple[int, np.ndarray, np.ndarray]:
-    """Prefix length, prefixes and estimates: those whose estimate and those of all shorter prefixes are within SURE errors of `least` or above.
+def heavy_prefixes(sketch: np.ndarray, least: float) -> np.ndarray | None:
+    """Prefixes of the last level whose estimates, and those of all their shorter prefixes, are within SURE errors of `least` or above; None if a level would have more than MOST to look at."""
+    p = np.zeros(1, np.uint64)
+    for i, bits in enumerate(LEVELS):
+        more = bits - (LEVELS[i - 1] if i else 0)
+        if len(p) << more > MOST:
+            return None
+        p = ((p[:, None] << np.uint64(more)) | np.arange(1 << more, dtype=np.uint64)[None, :]).ravel()
+        p = p[estimate(sketch, i, p) >= least - SURE * noise(sketch, i)]
+    return p
 
-    The descent ends early where the next level would have more than MOST prefixes, as over amounts that are all alike: the second scan then has more
-    candidates under shorter prefixes to add up, and the driver's memory stays bounded."""
-    p = np.arange(1 << LEVELS[0], dtype=np.uint64)
-    est = np.zeros(0)
+
+def is_heavy(sketch: np.ndarray, least: float, hashes: np.ndarray) -> np.ndarray:
+    """Of hashes (uint64) those whose prefixes of all levels are heavy: exactly the items under heavy_prefixes()."""
+    at = np.arange(len(hashes))
     for i, bits in enumerate(LEVELS):
-        if i:
-            more = bits - LEVELS[i - 1]
-            if len(p) << more > MOST:
-                return LEVELS[i - 1], p, est
-            p = ((p[:, None] << np.uint64(more)) | np.arange(1 << more, dtype=np.uint64)[None, :]).ravel()
-        est = estimate(sketch, i, p)
-        keep = est >= least - SURE * noise(sketch, i)
-        p, est = p[keep], est[keep]
-    return LEVELS[-1], p, est
+        at = at[estimate(sketch, i, hashes[at] >> np.uint64(64 - bits)) >= least - SURE * noise(sketch, i)]
+    out = np.zeros(len(hashes), bool)
+    out[at] = True
+    return out
+
+
+def candidates(hashed: DataFrame, sketch: np.ndarray, least: float) -> DataFrame:
+    """The rows (item, amount, delivery, hash) of candidates, picked where they lie: by a broadcast list of at most MAX_BROADCAST prefixes or else by the broadcast sketch, which is of fixed size; in both ways the same rows."""
+    p = heavy_prefixes(sketch, least)
+    listed = p is not None and len(p) <= MAX_BROADCAST
+    spread = hashed.sparkSession.sparkContext.broadcast(np.sort(p) if listed else sketch)
+
+    def heavy(h: np.ndarray) -> np.ndarray:
+        return np.isin(h >> np.uint64(64 - LEVELS[-1]), spread.value) if listed else is_heavy(spread.value, least, h)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column("hash")))
+            if b.num_rows:
+                yield b.filter(pa.array(heavy(b.column("hash").to_numpy().view(np.uint64))))
+
+    return hashed.mapInArrow(run, hashed.schema)
 
 
 def threshold(sketch: np.ndarray, k: int) -> float:
@@ -138,30 +166,28 @@ def heaviest(rows: DataFrame, item: str, amount: str, delivery: str, k: int = 20
 
     The first scan adds up every row, deliveries repeated or not, and counts negative amounts as 0: its sums are upper bounds, so no item of the answer
     is missed on their account. The second scan keeps only rows of candidates, counts rows of one delivery once (a null delivery is one of its own) and is
-    exact. `approx` is the sketch's estimate from the first scan. Null items are left out, a null amount adds nothing, fewer than k items give
+    exact. `approx` is the sketch's estimate of the item's own longest prefix. Null items are left out, a null amount adds nothing, fewer than k items give
     them all (with sums of at least 1 if there are more than the descent can tell from 0), an empty table gives none.
     """
-    d = rows.select(F.col(item).alias("item"), F.col(amount).cast("bigint").alias("amount"), F.col(delivery).alias("delivery")).where("item is not null")
-    hashed = d.withColumn("hash", F.xxhash64("item"))
+    d = rows.select(F.col(item).alias("item"), F.col(amount).cast("bigint").alias("amount"), F.col(delivery).alias("delivery"))
+    hashed = d.withColumn("hash", F.when(F.col("item").isNotNull(), F.xxhash64("item")))  # null items, of null hash, fall away in the tasks: a filter would make the item twice
     sketch = build(hashed.select("hash", F.greatest(F.coalesce("amount", F.lit(0)), F.lit(0)).alias("amount")))
     least = max(1.0, FIRST * threshold(sketch, k))
     while True:
-        bits, p, est = descend(sketch, least)
-        top = rows.sparkSession.createDataFrame(pa.table({"prefix": pa.array(p.view(np.int64)), "approx": pa.array(np.rint(est).astype(np.int64))}))
-        found = hashed.withColumn("prefix", F.shiftrightunsigned("hash", 64 - bits)).join(F.broadcast(top) if len(p) <= MAX_BROADCAST else top, "prefix")
-        once = found.groupBy("item", "delivery", "approx").agg(F.max("amount").alias("one"), F.sum("amount").alias("each"))
+        once = candidates(hashed, sketch, least).groupBy("item", "hash", "delivery").agg(F.max("amount").alias("one"), F.sum("amount").alias("each"))
         total = F.sum(F.coalesce(F.when(F.col("delivery").isNull(), F.col("each")).otherwise(F.col("one")), F.lit(0))).alias("total")
-        best = durable(once.groupBy("item").agg(F.max("approx").alias("approx"), total).orderBy(F.desc("total"), "item").limit(k))
-        last = [r[0] for r in best.select("total").orderBy("total").collect()]  # k rows
-        if (len(last) == k and last[0] >= least) or least <= 1.0:
-            return best
-        least = max(1.0, min(least / 2, float(last[0]) if len(last) == k else 1.0))
-
-
-#: Candidate prefixes (16 bytes each) that are broadcast; more are joined by a shuffle.
-MAX_BROADCAST = 100_000
+        best = durable(once.groupBy("item", "hash").agg(total).orderBy(F.desc("total"), "item").limit(k))
+        found = [(r.hash, r.total) for r in best.select("hash", "total").orderBy("total").collect()]  # k rows
+        if (len(found) == k and found[0][1] >= least) or least <= 1.0:
+            break
+        least = max(1.0, min(least / 2, float(found[0][1]) if len(found) == k else 1.0))
+    h = np.array([x for x, _ in found], np.int64)
+    approx = np.rint(estimate(sketch, len(LEVELS) - 1, h.view(np.uint64) >> np.uint64(64 - LEVELS[-1]))).astype(np.int64)
+    own = rows.sparkSession.createDataFrame(pa.table({"hash": pa.array(h), "approx": pa.array(approx)}))
+    return best.join(F.broadcast(own.distinct()), "hash").select("item", "approx", "total")
 
 
 def heaviest_kmers(kmer_t: DataFrame, k: int = 20) -> DataFrame:
     """(kmer, approx, total): the k canonical k-mers with the largest sums of cnt over distinct rec_id, of the usable rows."""
-    return heaviest(usable_kmers(kmer_t, "rec_id", "cnt"), "kmer", "cnt", "rec_id", k).withColumnRenamed("item", "kmer")
+    best = heaviest(usable_codes(kmer_t, "rec_id", "cnt"), "code", "cnt", "rec_id", k)
+    return best.select(decode_2bit("item", 21).alias("kmer"), "approx", "total")
