@@ -10,21 +10,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from datetime import timedelta
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.functions.kmers import usable_kmers
+from strandweave.functions.kmers import usable_codes
 from strandweave.plans.durable import durable
 
 REGISTERS = 400
 #: Rows that are hashed together, and sketches held by a task before it hands them on.
 CHUNK, HELD = 32_768, 4_096
 Z = 4.9
-#: Days in doubt (some 40 bytes each) that are broadcast to be counted exactly; more are joined by a shuffle, over SALT parts a sample.
-BROADCAST, SALT = 50_000, 32
+#: Days in doubt of which the days within reach (at most 31 of some 40 bytes each) are broadcast; see new_members().
+BROADCAST = 50_000
 
 
 def multipliers(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,39 +249,78 @@ def repeated_days(kmer_t: DataFrame, days: int = 30, m: int = REGISTERS) -> Data
     Sketches decide every day whose interval lies on one side of one half; the few in doubt are counted exactly. Usable rows only; rows with a
     null day are left out, repeated rows change nothing, a first day is never a case, and an empty table gives no row.
     """
-    rows = usable_kmers(kmer_t, "sample", "count_day")
-    told = durable(novelty(build_sketches(rows.withColumn("h", F.xxhash64("kmer")), ["sample", "count_day"], "h", m), days).where(F.col("share_low") < 0.5))
+    rows = usable_codes(kmer_t, "sample", "count_day")
+    told = durable(novelty(build_sketches(rows.withColumn("h", F.xxhash64("code")), ["sample", "count_day"], "h", m), days).where(F.col("share_low") < 0.5))
     sure, doubt = told.where(F.col("share_high") < 0.5).select("sample", "count_day"), told.where(F.col("share_high") >= 0.5).select("sample", "count_day")
     n = doubt.count()
     if n:
-        d = doubt.select(F.col("sample").alias("_s"), F.col("count_day").alias("_d"))
-        here = (F.col("sample") == F.col("_s")) & F.col("count_day").between(F.date_sub("_d", days), F.col("_d"))
-        if n <= BROADCAST:
-            near = rows.join(F.broadcast(d), here)
-        else:  # a sample that holds a third of all rows is spread over the parts, each with its own copy of the days in doubt
-            parts = d.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-            near = rows.withColumn("part", F.pmod(F.xxhash64("kmer"), F.lit(SALT))).join(parts, here & (F.col("part") == F.col("_part")))
-        seen = near.groupBy("_s", "_d", "kmer").agg(F.max((F.col("count_day") == F.col("_d")).cast("int")).alias("now"), F.max((F.col("count_day") < F.col("_d")).cast("int")).alias("before"))
-        exact = seen.where("now = 1").groupBy("_s", "_d").agg(F.sum(1 - F.col("before")).alias("new"), F.count(F.lit(1)).alias("n"))
-        sure = sure.unionByName(exact.where(2 * F.col("new") < F.col("n")).select(F.col("_s").alias("sample"), F.col("_d").alias("count_day")))
+        sure = sure.unionByName(new_members(rows, doubt, n, days).where("2 * new < n").select("sample", "count_day"))
     return sure.select(F.date_format("count_day", "yyyy-MM-dd").alias("count_day"), "sample")
 
 
-def distinct_rollup(kmer_t: DataFrame, m: int = REGISTERS, sample_days: bool = False) -> DataFrame:
+def new_members(rows: DataFrame, wanted: DataFrame, n_wanted: int, days: int = 30) -> DataFrame:
+    """(sample, count_day, n, new BIGINT) of the wanted days (sample, count_day): exact numbers of distinct k-mers of rows (sample, count_day, code) and of those that are new.
+
+    A k-mer is new on a day if the day before on which the sample holds it is out of reach. Days within reach of at most BROADCAST wanted ones are broadcast, to
+    leave out other rows; with more all rows are counted: the result is the same. Rows are combined by (sample, day, k-mer) before any shuffle, and a sample that holds
+    a third of all rows is spread by its k-mers."""
+    held = rows.select("sample", "count_day", "code").where("sample is not null and count_day is not null")
+    if n_wanted <= BROADCAST:
+        reach = wanted.select("sample", F.explode(F.sequence(F.date_sub("count_day", days), F.col("count_day"))).alias("count_day")).distinct()
+        held = held.join(F.broadcast(reach), ["sample", "count_day"], "left_semi")
+    before = F.lag("count_day").over(W.partitionBy("sample", "code").orderBy("count_day"))
+    each = held.distinct().select("sample", "count_day", F.coalesce(F.datediff("count_day", before) > days, F.lit(True)).alias("new"))
+    by_day = each.groupBy("sample", "count_day").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("new").cast("bigint")).alias("new"))
+    return by_day.join(wanted, ["sample", "count_day"], "left_semi")
+
+
+LEVELS = {"day": ["count_day"], "sample": ["sample"], "panel": ["panel"], "panel_day": ["panel", "count_day"], "sample_day": ["sample", "count_day"], "all": []}
+
+
+def _level(df: DataFrame, level: str, *more: str) -> DataFrame:
+    keys = LEVELS[level]
+    return df.select(F.lit(level).alias("level"), *[(F.col(c) if c in keys else F.lit(None).cast(t)).alias(c) for c, t in (("count_day", "date"), ("panel", "string"), ("sample", "string"))], *more)
+
+
+def _held_keys(df: DataFrame, level: str) -> DataFrame:
+    for k in LEVELS[level]:
+        df = df.where(F.col(k).isNotNull())
+    return df
+
+
+def distinct_rollup(kmer_t: DataFrame, m: int = REGISTERS, sample_days: bool = False, z: float = 1.96) -> DataFrame:
     """Estimated numbers of distinct canonical k-mers by day, sample, panel, panel and day, in all, and by sample and day if sample_days.
 
-    Columns: level, count_day, panel, sample (null where the level hasn't them), n_est, n_low, n_high (95 % interval), rse (relative standard error).
+    Columns: level, count_day, panel, sample (null where the level hasn't them), n_est, n_low, n_high (interval at z deviations: 95 %), rse (relative standard error).
     A row with a null day or panel counts in the levels without it. An empty table gives no row.
     """
-    rows = usable_kmers(kmer_t, "panel", "sample", "count_day").withColumn("h", F.xxhash64("kmer"))
+    rows = usable_codes(kmer_t, "panel", "sample", "count_day").withColumn("h", F.xxhash64("code"))
     fine = durable(merge_sketches(build_sketches(rows, ["panel", "sample", "count_day"], "h", m), ["panel", "sample", "count_day"]))
-    levels = {"day": ["count_day"], "sample": ["sample"], "panel": ["panel"], "panel_day": ["panel", "count_day"], "all": []} | ({"sample_day": ["sample", "count_day"]} if sample_days else {})
     out = None
-    for level, keys in levels.items():
-        part = fine
-        for k in keys:
-            part = part.where(F.col(k).isNotNull())
-        e = estimates(merge_sketches(part.withColumn("level", F.lit(level)), ["level", *keys]), ["level", *keys], m)
-        e = e.select("level", *[(F.col(c) if c in keys else F.lit(None).cast(t)).alias(c) for c, t in (("count_day", "date"), ("panel", "string"), ("sample", "string"))], "n_est", "n_low", "n_high")
+    for level in LEVELS:
+        if level == "sample_day" and not sample_days:
+            continue
+        keys = ["level", *LEVELS[level]]
+        e = estimates(merge_sketches(_held_keys(fine, level).withColumn("level", F.lit(level)), keys), keys, m, z)
+        e = _level(e, level, "n_est", "n_low", "n_high")
         out = e if out is None else out.unionByName(e)
     return out.withColumn("rse", F.lit(float(1 / np.sqrt(m - 2))))
+
+
+def distinct_exact(kmer_t: DataFrame) -> DataFrame:
+    """(level, count_day, panel, sample, n BIGINT): the numbers that distinct_rollup() with sample_days estimates, counted. For tables whose sets can be held: each level shuffles its distinct k-mers."""
+    rows = usable_codes(kmer_t, "panel", "sample", "count_day")
+    out = None
+    for level, keys in LEVELS.items():
+        e = _level(_held_keys(rows, level).select(*keys, "code").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), level, "n")
+        e = e.where("n > 0")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def interval_check(kmer_t: DataFrame, m: int = REGISTERS, z: float = Z) -> DataFrame:
+    """(level, count_day, panel, sample, n, inside): exact numbers, and whether the estimate's interval at z deviations holds them. Null where one of both has no row."""
+    keys = ["level", "count_day", "panel", "sample"]
+    e, n = distinct_rollup(kmer_t, m, True, z), distinct_exact(kmer_t)
+    same = reduce(Column.__and__, [e[k].eqNullSafe(n[k]) for k in keys])
+    return n.join(e, same, "full").select(*[F.coalesce(n[k], e[k]).alias(k) for k in keys], n["n"], F.col("n").between(F.col("n_low"), F.col("n_high")).alias("inside"))
