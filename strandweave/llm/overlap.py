@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.dense import dense_ids
-from strandweave.functions.kmers import encode_2bit, usable_kmers
+from strandweave.functions.kmers import usable_codes
 from strandweave.llm.distinct import chunks
 from strandweave.plans.durable import durable
 
@@ -34,7 +34,7 @@ def pair_counts(incidence: DataFrame, item: str, column: str) -> DataFrame:
     Copies of a row fall away in the tasks that read them, so an identifier of which there are very many rows brings few to the one shuffle; what is left
     of them falls away behind it, where all rows of an identifier are side by side.
     """
-    rows = incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col")).dropna()
+    rows = incidence.select(F.col(item).alias("item"), F.col(column).cast("int").alias("col"))
     once = rows.mapInArrow(_once, "item bigint, col int")
     blocks = once.repartition("item").sortWithinPartitions("item", "col").mapInArrow(_products, "bi int, bj int, cells binary")
     return blocks.repartition("bi", "bj").sortWithinPartitions("bi", "bj").mapInArrow(_sums, "i bigint, j bigint, n bigint")
@@ -43,6 +43,7 @@ def pair_counts(incidence: DataFrame, item: str, column: str) -> DataFrame:
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row once for CHUNK rows read."""
     for t in chunks(batches, CHUNK):
+        t = t.drop_null()
         item, col = t.column(0).to_numpy(), t.column(1).to_numpy()
         order = np.lexsort((col, item))
         item, col = _distinct(item[order], col[order])
@@ -159,10 +160,10 @@ def sample_overlaps(kmer_t: DataFrame, least_percent: int = 0) -> DataFrame:
     least_percent keeps only pairs with share >= least_percent / 100, compared in whole numbers. Usable rows and canonical k-mers; repeated rows,
     files and days count once; pairs that share nothing have no row; an empty table gives none.
     """
-    rows = usable_kmers(kmer_t, "sample")
+    rows = usable_codes(kmer_t, "sample")
     ids = dense_ids(kmer_t.select("sample"), "sample", "sid")
     near = F.broadcast(ids) if ids.count() <= BROADCAST else ids  # without the hint the checkpointed ids have no known size, and the rows would be shuffled for them
-    cells = durable(pair_counts(rows.join(near, "sample").select(encode_2bit("kmer").alias("item"), "sid"), "item", "sid"))
+    cells = durable(pair_counts(rows.join(near, "sample").select(F.col("code").alias("item"), "sid"), "item", "sid"))
     own = cells.where("i = j").join(ids, F.col("i") == F.col("sid")).select("sid", "sample", "n")
     a, b = own.select(F.col("sid").alias("i"), F.col("sample").alias("s1"), F.col("n").alias("n1")), own.select(F.col("sid").alias("j"), F.col("sample").alias("s2"), F.col("n").alias("n2"))
     pairs = cells.where("i < j").withColumnRenamed("n", "shared").join(a, "i").join(b, "j")
