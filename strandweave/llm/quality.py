@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.llm.bpe import _groups
 from strandweave.plans.durable import durable
 
 #: A known word occurs in this share of the pages with text, so there are at most (mean distinct words a page) / KNOWN of them, whatever the corpus' size.
@@ -92,8 +93,8 @@ class Words(dict):
         return c
 
 
-def line_kinds(text: str, words_of: Words) -> list[str]:
-    """Kind of each line with content: prose, marks, table, list or nowords.
+def line_kinds(text: str, words_of: Words) -> tuple[list[str], list[str]]:
+    """Kind of each line with content: prose, marks, table, list or nowords; and the text's words in order.
 
     Evidence of a line are its words of at least two letters, but for capitalised ones (they may be names; the first word may be a common word). A line
     without evidence goes with the two lines on either side, and one with little evidence leans on them.
@@ -102,8 +103,10 @@ def line_kinds(text: str, words_of: Words) -> list[str]:
     score: list[tuple[int, int]] = []
     leads: list[bool] = []
     heads: list[bool] = []
+    every: list[str] = []
     for x in text.splitlines():
         words = _WORD.findall(x)
+        every += words
         if not words:
             if x.strip():
                 kinds.append("marks")
@@ -148,45 +151,65 @@ def line_kinds(text: str, words_of: Words) -> list[str]:
                 fits = 2 * good + g > 1.2 * (2 * bad + b) if good + bad > 1 else g > 1.2 * b
                 kind = "prose" if fits and g + b > 0 else "nowords" if b else "list"
         out.append(kind)
-    return out
+    return out, every
 
 
-def _repetition(lines: list[str], paragraphs: list[str], words: list[str]) -> tuple[float, float, float]:
-    """Shares of lines and of paragraphs that repeat an earlier one, and the share of the letters that the occurrences of the weightiest run of 2, 3 or 4 words cover."""
-    share = lambda xs: 1 - len(set(xs)) / len(xs) if xs else 0.0
-    letters, most = sum(map(len, words)), 0
+def _repeated(xs: list[str]) -> float:
+    """Share that repeats an earlier one."""
+    return 1 - len(set(xs)) / len(xs) if xs else 0.0
+
+
+def dominant_runs(pages: list[list[str]]) -> list[int]:
+    """For each page's words the letters that the occurrences of its weightiest run of 2, 3 or 4 words cover, 0 if no run comes twice.
+
+    A run's weight is its occurrences times its letters, of equal ones that which begins first counts; occurrences may overlap. All pages are counted together: a run of n + 1 words
+    can only come twice where the run of its first n words does, so after the pairs few places are left."""
+    number: dict[str, int] = {}
+    counts = [len(p) for p in pages]
+    ids = np.array([number.setdefault(w, len(number)) for p in pages for w in p], np.int64)
+    page = np.repeat(np.arange(len(pages)), counts)
+    length = np.array([len(w) for w in number], np.int64)[ids] if len(ids) else ids
+    before = np.r_[0, np.cumsum(length)]
+    end = np.cumsum(counts)[page] if len(ids) else ids
+    most = np.zeros(len(pages), np.int64)
+    at = np.arange(len(ids))
+    code = np.unique(page * len(number) + ids, return_inverse=True)[1] if len(ids) else ids  # of a page and its run of words so far
     for n in (2, 3, 4):
-        runs = Counter(zip(*(words[i:] for i in range(n)), strict=False))
-        if runs:
-            run, k = max(runs.items(), key=lambda r: (r[1] > 1) * r[1] * sum(map(len, r[0])))
-            if k > 1:
-                most = max(most, _covered(words, run))
-    return share(lines), share(paragraphs), most / letters if letters else 0.0
-
-
-def _covered(words: list[str], run: tuple[str, ...]) -> int:
-    """Letters of the words that lie in an occurrence of the run; occurrences may overlap."""
-    n, letters, at = len(run), 0, 0
-    for i in range(len(words) - n + 1):
-        if words[i] == run[0] and tuple(words[i : i + n]) == run:
-            letters += sum(map(len, words[max(at, i) : i + n]))
-            at = i + n
-    return letters
-
-
-def page_statistics(text: str | None, words_of: Words) -> tuple:
-    """words, mean word length, share of symbols, of lines that end in punctuation, of common words, of repeated lines, of repeated paragraphs, of the dominant
-    run of words, and of lines that aren't running text. Shares of nothing are 0; a null text is an empty one."""
+        stay = at + n <= end[at]
+        at, code = at[stay], code[stay]
+        _, code, k = np.unique(code * max(1, len(number)) + ids[at + n - 1], return_inverse=True, return_counts=True)
+        stay = k[code] > 1
+        at, code = at[stay], code[stay]
+        if not len(at):
+            break
+        order = np.argsort(code, kind="stable")  # occurrences of a run side by side, in order
+        where, run = at[order], code[order]
+        first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+        begin = where.copy()
+        begin[1:] = np.where(run[1:] == run[:-1], np.maximum(where[1:], where[:-1] + n), where[1:])
+        covered = np.add.reduceat(before[where + n] - before[begin], first)
+        head = where[first]
+        weight = k[run[first]] * (before[head + n] - before[head])
+        best = np.lexsort((head, -weight, page[head]))
+        best = best[np.r_[True, page[head][best][1:] != page[head][best][:-1]]]
+        np.maximum.at(most, page[head][best], covered[best])
+    return most.tolist()
+
+
+def page_statistics(text: str | None, words_of: Words) -> tuple[list, list[str], int]:
+    """words, mean word length, share of symbols, of lines that end in punctuation, of common words, of repeated lines, of repeated paragraphs, and of lines that
+    aren't running text; the words in lower case; and the number of their letters. Shares of nothing are 0; a null text is an empty one."""
     text = text or ""
-    words = [w.lower() for w in _WORD.findall(text)]
+    kinds, words = line_kinds(text, words_of)
+    words = "\n".join(words).lower().split("\n") if words else words
     lines = [x for y in text.splitlines() if (x := y.strip())]
     solid = sum(map(len, "".join(lines).split()))
-    symbols = solid - sum(c.isalnum() for c in text)
+    symbols = solid - sum(map(str.isalnum, text))
     ends = sum(x.rstrip(_CLOSING).endswith(_ENDS) for x in lines)
-    n = len(words)
-    repeated = _repetition(lines, [p.strip() for p in _PARAGRAPH.split(text) if p.strip()], words)
-    kinds = line_kinds(text, words_of)
-    return (n, sum(map(len, words)) / n if n else 0.0, symbols / solid if solid else 0.0, ends / len(lines) if lines else 0.0, sum(w in words_of.common for w in words) / n if n else 0.0, *repeated, _off(kinds))
+    n, letters, common = len(words), sum(map(len, words)), words_of.common
+    paragraphs = [p.strip() for p in _PARAGRAPH.split(text) if p.strip()]
+    shares = [n, letters / n if n else 0.0, symbols / solid if solid else 0.0, ends / len(lines) if lines else 0.0, sum(w in common for w in words) / n if n else 0.0, _repeated(lines), _repeated(paragraphs), _off(kinds)]
+    return shares, words, letters
 
 
 def _off(kinds: list[str]) -> float:
@@ -202,8 +225,8 @@ def is_boilerplate() -> Column:
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "punctuated_line_share", "common_word_share", "repeated_line_share", "repeated_paragraph_share", "dominant_run_share", "not_running_share")
 
 
-def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text", statistics: bool = True) -> DataFrame:
-    """(key, STATISTICS) of every row, or only (key, not_running_share): the share of its lines with content that aren't running text.
+def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, STATISTICS) of every row; not_running_share is the share of its lines with content that aren't running text.
 
     The whole corpus' document frequencies are counted first (see known_words); then pages are taken where they lie, without a shuffle. Null, empty and
     blank texts have 0 everywhere. Common words of all languages count, since a page's `lang` may be missing or wrong. An empty table gives no row. More than
@@ -214,9 +237,8 @@ def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
     if len(listed) > MOST_COMMON:
         raise ValueError(f"more than {MOST_COMMON} common words")
     common = frozenset(r[0] for r in listed)
-    names = STATISTICS if statistics else STATISTICS[-1:]
     schema = documents.select(key).schema
-    for n in names:
+    for n in STATISTICS:
         schema = schema.add(n, "long" if n == "n_words" else "double")
     spread = documents.sparkSession.sparkContext.broadcast((known, common))
 
@@ -224,10 +246,12 @@ def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
         words_of = Words(*spread.value)
         for b in batches:
             texts = b.column(1).to_pylist()
-            rows = [page_statistics(t, words_of) for t in texts] if statistics else [(_off(line_kinds(t or "", words_of)),) for t in texts]
-            if rows:
-                columns = [pa.array(np.array(c, np.int64 if n == "n_words" else np.float64)) for n, c in zip(names, zip(*rows, strict=True), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *columns], [key, *names])
+            for i, j in _groups(texts):
+                rows, words, letters = zip(*[page_statistics(t, words_of) for t in texts[i:j]], strict=True)
+                runs = [c / n if n else 0.0 for c, n in zip(dominant_runs(list(words)), letters, strict=True)]
+                *most, last = zip(*rows, strict=True)
+                columns = [pa.array(np.array(c, np.int64 if n == "n_words" else np.float64)) for n, c in zip(STATISTICS, (*most, runs, last), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *columns], [key, *STATISTICS])
 
     return documents.select(key, F.col(text)).mapInArrow(run, schema)
 
