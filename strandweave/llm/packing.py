@@ -117,3 +117,16 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = V
 def divided(packed: DataFrame) -> DataFrame:
     """Keys of the items that had to be divided, once each."""
     return packed.where("piece = 1").drop("piece", "first", "n", "container")
+
+
+def coverage(packed: DataFrame, sizes: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """(key, covered): whether an item's pieces, numbered from 0 and full but for the last, cover its whole size, from (key, n) of all items; keys occur once."""
+    pieces = packed.groupBy(key).agg(F.min(F.col("first") == F.col("piece") * F.lit(capacity).cast("bigint")).alias("_even"), F.count(F.lit(1)).alias("_pieces"), F.max("piece").alias("_last"), F.sum("n").alias("_sum"), F.max(F.col("first") + F.col("n")).alias("_end"))
+    whole = F.col("_even") & (F.col("_pieces") == F.col("_last") + 1) & (F.col("_sum") == F.col("n")) & (F.col("_end") == F.col("n")) & ((F.col("_pieces") == 1) | (F.col("n") > capacity))
+    return sizes.select(key, "n").join(pieces, key, "full").select(key, F.coalesce(whole, F.lit(False)).alias("covered"))
+
+
+def fullness(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(containers, least, over BIGINT), one row: containers that hold something, as many as their contents need at least, and those beyond the capacity."""
+    fill = packed.groupBy("container").agg(F.sum("n").alias("fill")).where("fill > 0")
+    return fill.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.coalesce(F.sum("fill"), F.lit(0)) / capacity).alias("least"), F.count(F.when(F.col("fill") > capacity, 1)).alias("over"))

@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: distinct.repeated_days(k(s, d)),
         "p1_distinct": lambda s, d: distinct.distinct_rollup(k(s, d), sample_days=True),
+        "p1_intervals": lambda s, d: distinct.interval_check(k(s, d)),
         "p2_found": lambda s, d: overlap.sample_overlaps(k(s, d), 48).select("s1", "s2"),
         "p2_overlap": lambda s, d: overlap.sample_overlaps(k(s, d)),
         "p3_found": lambda s, d: cooccur.more_than_chance(cooccur.sample_cooccurrence(k(s, d))).select("s1", "s2"),
@@ -35,11 +36,15 @@ def queries() -> dict[str, Query]:
         "p4_frequency": lambda s, d: frequency.kmer_frequencies(k(s, d)),
         "p5_found": lambda s, d: heavy.heaviest_kmers(k(s, d)).select("kmer"),
         "p5_heavy": lambda s, d: heavy.heaviest_kmers(k(s, d)),
+        "p5_totals": lambda s, d: heavy.heaviest_kmers(k(s, d)).select("kmer", "total"),
         "p7_ids": lambda s, d: bpe.encode_texts(_table(s, d, "documents"), "doc_id", "text"),
         "p8_found": lambda s, d: packing.divided(packing.pack_documents(_table(s, d, "documents"))),
         "p8_packing": lambda s, d: packing.pack_documents(_table(s, d, "documents")),
+        "p8_coverage": lambda s, d: packing.coverage(packing.pack_documents(_table(s, d, "documents")), packing.token_counts(_table(s, d, "documents"), "doc_id", "text")),
+        "p8_fullness": lambda s, d: packing.fullness(packing.pack_documents(_table(s, d, "documents"))).select((F.col("containers") <= F.ceil(F.col("least") * 1.02)).alias("tight"), "over"),
         "p9_found": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words")).where(quality.is_boilerplate()).select("doc_id"),
         "p9_quality": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words")),
+        "p9_statistics": lambda s, d: quality.page_quality(_table(s, d, "documents"), _table(s, d, "common_words")).select("doc_id", "n_words", *[F.round(c, 9).alias(c) for c in quality.STATISTICS[1:7]]),
     }
 
 
@@ -60,8 +65,30 @@ _FREQUENCY = f"""{_USABLE}, f as (select kmer, coalesce(sum(cnt), 0)::bigint as
 m as (select *, case when records = 1 and occurrences <= 1 then 'rare' when records * 2 >= (select count(distinct sample) from u) then 'common' end as mark from f)"""
 
 
+_LEVELS = " union all ".join(
+    f"select '{level}' as level, " + ", ".join(f"{c if c in keys else f'null::{t}'} as {c}" for c, t in (("count_day", "date"), ("panel", "varchar"), ("sample", "varchar"))) + f", count(distinct kmer) as n, true as inside from u where {' and '.join([f'{k} is not null' for k in keys] or ['true'])} group by all having count(*) > 0"
+    for level, keys in distinct.LEVELS.items()
+)
+_SPACE = r"\s\x0b\x1c-\x1f\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
+_QUALITY = rf"""d as (select doc_id, coalesce(text, '') as t from documents),
+l as (select doc_id, t, [x for x in [regexp_replace(regexp_replace(y, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '') for y in regexp_split_to_array(t, '{_BREAK}')] if x <> ''] as ls,
+  [x for x in [regexp_replace(regexp_replace(y, '^[{_SPACE}]+', ''), '[{_SPACE}]+$', '') for y in regexp_split_to_array(t, '\n[{_SPACE}]*\n')] if x <> ''] as ps,
+  [lower(w) for w in regexp_extract_all(t, '[\p{{L}}\p{{Nl}}\p{{No}}]+')] as ws, length(regexp_replace(t, '[{_SPACE}]+', '', 'g')) as solid, length(regexp_replace(t, '[^\p{{L}}\p{{N}}]+', '', 'g')) as alnum from d),
+c as (select list(distinct lower(word)) as cs from common_words where word is not null)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_intervals": f"with {_USABLE} {_LEVELS}",
+        "p5_totals": f"with {_USABLE} select kmer, coalesce(sum(cnt), 0)::bigint as total from u group by kmer order by total desc, kmer limit 20",
+        "p8_coverage": "select doc_id, true as covered from documents",
+        "p8_fullness": "select true as tight, 0::bigint as over",
+        "p9_statistics": rf"""with {_QUALITY} select doc_id, len(ws) as n_words, round(case when len(ws) > 0 then list_sum([length(w) for w in ws]) / len(ws) else 0 end, 9) as mean_word_length,
+round(case when solid > 0 then (solid - alnum) / solid else 0 end, 9) as symbol_share,
+round(case when len(ls) > 0 then len([x for x in ls if regexp_matches(x, '[.!?:;,…]["''”’»)]*$')]) / len(ls) else 0 end, 9) as punctuated_line_share,
+round(case when len(ws) > 0 then len([w for w in ws if list_contains(cs, w)]) / len(ws) else 0 end, 9) as common_word_share,
+round(case when len(ls) > 0 then 1 - len(list_distinct(ls)) / len(ls) else 0 end, 9) as repeated_line_share, round(case when len(ps) > 0 then 1 - len(list_distinct(ps)) / len(ps) else 0 end, 9) as repeated_paragraph_share from l, c""",
         "p1_found": f"""with {_USABLE}, d as (select distinct sample, count_day, kmer from u where count_day is not null),
 o as (select sample, count_day, coalesce(count_day - lag(count_day) over (partition by sample, kmer order by count_day) <= 30, false) as old from d)
 select strftime(count_day, '%Y-%m-%d') as count_day, sample from o group by 1, 2 having count(*) filter (where not old) * 2 < count(*)""",

@@ -147,7 +147,7 @@ def pages(spark):
 
 def test_articles_lists_tables_and_debris(spark):
     xs, df, common = pages(spark)
-    got = {r.doc_id: r.not_running_share for r in quality.page_quality(df, common, statistics=False).collect()}
+    got = {r.doc_id: r.not_running_share for r in quality.page_quality(df, common).collect()}
     assert len(got) == len(xs)
     off = {i for i, s in got.items() if s > 0.5}
     assert off == {xs.index(LIST), xs.index(TABLE), xs.index(SHUFFLED), xs.index(MARKS), len(xs) - 2}
@@ -203,3 +203,101 @@ def test_pages_whose_only_sign_is_repetition(spark, tmp_path):
     assert off == {30, 31, 32, len(xs) - 1}
     shares = {r.doc_id: r.not_running_share for r in queries()["p9_quality"](spark, str(tmp_path)).collect()}
     assert max(shares[i] for i in (30, 31, 32)) <= 0.5
+
+
+def test_dominant_runs_against_plain_counting():
+    from collections import Counter
+
+    def plain(words):
+        most = 0
+        for n in (2, 3, 4):
+            k = Counter(zip(*(words[i:] for i in range(n)), strict=False))
+            begins = {}
+            for i in range(len(words) - n + 1):
+                begins.setdefault(tuple(words[i : i + n]), i)
+            often = [r for r in k if k[r] > 1]
+            if often:
+                run = min(often, key=lambda r: (-k[r] * sum(map(len, r)), begins[r]))
+                inside = {j for i in range(len(words) - n + 1) if tuple(words[i : i + n]) == run for j in range(i, i + n)}
+                most = max(most, sum(len(words[j]) for j in inside))
+        return most
+
+    rnd = random.Random(8)
+    pages = [[rnd.choice(["a", "bb", "ccc", "dddd", "eeeee"][: rnd.randint(1, 5)]) for _ in range(rnd.randint(0, 30))] for _ in range(400)] + [[], ["x"], ["a"] * 500]
+    assert quality.dominant_runs(pages) == [plain(p) for p in pages]
+    assert quality.dominant_runs([]) == []
+    assert quality.dominant_runs([[], []]) == [0, 0]
+
+
+# --- 260 invented pages with their labels
+
+COMMON = "the of and to a in that it was he for on they but were not had been from with his at by which as be is this her would their all one we there".split()
+
+
+class Invented:
+    """Pages made at random from invented words; what a page is, is known."""
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+        self.words = [self.word() for _ in range(350)]
+        self.names = [self.word().capitalize() for _ in range(200)]
+
+    def word(self):
+        return "".join(self.r.choice("bdfglmnprstvk") + self.r.choice("aeiou") + self.r.choice(["", "", "n", "r", "st"]) for _ in range(self.r.randint(1, 3)))
+
+    def misread(self, w):
+        i = self.r.randrange(len(w))
+        return w[:i] + self.r.choice("crnliq1") + w[i + 1 :]
+
+    def sentence(self):
+        ws = [self.r.choice(COMMON) if self.r.random() < 0.5 else self.r.choice(self.words) for _ in range(self.r.randint(7, 20))]
+        ws = [self.misread(w) if self.r.random() < 0.06 else self.r.choice(self.names) if self.r.random() < 0.04 else w for w in ws]
+        return ws[0].capitalize() + " " + " ".join(ws[1:]) + "."
+
+    def prose(self, lines):
+        text, out = " ".join(self.sentence() for _ in range(lines)), []
+        while text and len(out) < lines:
+            cut = text.rfind(" ", 0, self.r.randint(44, 58))
+            out.append(text[:cut])
+            text = text[cut + 1 :]
+        return out
+
+    def listing(self, lines):
+        entry = lambda i: f"{i + 1}. {self.r.choice(self.names)}, {self.r.choice('ABGJW')}., {self.r.choice(self.words)}"
+        return ["LIST OF NAMES", *[entry(i) for i in range(lines)]]
+
+    def table(self, lines):
+        row = lambda: f"{self.r.choice(self.words)} {'.' * self.r.randint(4, 14)} {self.r.randint(1, 90)}{self.r.choice('¼½¾ ')} .. {self.r.randint(1, 90)}"
+        return [row() for _ in range(lines)]
+
+    def debris(self, lines):
+        letter = lambda: "".join(self.r.choice("bcdfghjklmnpqrstvwxz>^»■/°[|~*") for _ in range(self.r.randint(1, 6)))
+        return [" ".join(letter() for _ in range(self.r.randint(1, 7))) for _ in range(lines)]
+
+    def boilerplate(self, lines):
+        one = self.prose(1)[0]
+        return [one] * lines + self.prose(2)
+
+
+def invented_pages():
+    v, out = Invented(11), []
+    for i in range(260):
+        n = v.r.randint(8, 30)
+        kind = ["prose", "prose", "prose", "listing", "table", "debris", "boilerplate", "mostly", "partly"][i % 9]
+        if kind == "mostly":  # a table inside of an article
+            text = v.prose(2 * n) + v.table(n // 2) + v.prose(n)
+        elif kind == "partly":  # a few sentences over a list
+            text = v.prose(n // 4) + v.listing(n)
+        else:
+            text = getattr(v, kind)(n)
+        out.append(("\r\n" if v.r.random() < 0.1 else "\n", text, kind not in ("prose", "mostly")))
+    return [(end.join(text), off) for end, text, off in out]
+
+
+def test_labelled_pages(spark):
+    labelled = invented_pages()
+    common = spark.createDataFrame([("en", w) for w in COMMON], "lang string, word string")
+    found = {r.doc_id for r in quality.page_quality(frame(spark, [t for t, _ in labelled]), common).where(quality.is_boilerplate()).collect()}
+    true = {i for i, (_, off) in enumerate(labelled) if off}
+    assert len(found & true) >= 0.99 * len(true), [labelled[i][0][:300] for i in sorted(true - found)[:3]]
+    assert len(found & true) >= 0.99 * len(found), [labelled[i][0][:300] for i in sorted(found - true)[:3]]
