@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.plans.durable import durable
+from strandweave.plans.durable import durable, is_planning
 
 
 def row_numbers(df: DataFrame, *order: str, name: str = "_row") -> DataFrame:
@@ -15,6 +15,8 @@ def row_numbers(df: DataFrame, *order: str, name: str = "_row") -> DataFrame:
     partition, are broadcast. The rows are checkpointed, since a range partitioning may differ when it is computed again. An empty table stays empty.
     """
     rows = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
+    if is_planning():
+        return rows.withColumnRenamed("_m", name)
     part = F.shiftright("_m", 33).cast("int")
     offsets, before = [], 0
     for p, n in sorted((r[0], r[1]) for r in rows.groupBy(part.alias("p")).count().collect()):

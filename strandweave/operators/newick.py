@@ -212,6 +212,18 @@ def rerooted(trees: DataFrame, outgroup: str, *keep: str) -> DataFrame:
     return trees.select(*keep, "newick", F.col(outgroup).alias("_outgroup")).mapInPandas(run, f"{_ddl(trees, keep)}newick string")
 
 
+def trimmed(trees: DataFrame, by: str | float, *keep: str) -> DataFrame:
+    """(keep, newick) of trees (keep, newick): every tip's branch shortened by a number or by the column `by`; a null text stays null, and a null number leaves the text as it is."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            text = [render(trim_tips(parse(t)[0], x)) if t and not pd.isna(x) else t for t, x in zip(p["newick"], p["_by"], strict=True)]
+            yield p[list(keep)].assign(newick=pd.Series(text, index=p.index, dtype=object))
+
+    shorten = F.col(by) if isinstance(by, str) else F.lit(float(by))
+    return trees.select(*keep, "newick", shorten.cast("double").alias("_by")).mapInPandas(run, f"{_ddl(trees, keep)}newick string")
+
+
 def _hung_at(text: str | None, outgroup: str | None) -> str | None:
     root = parse(text)[0] if text else None
     return render(reroot(root, outgroup)) if root and outgroup in root.tips() else None

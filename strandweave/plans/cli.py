@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandweave.functions.dense import row_numbers
-from strandweave.operators import bootstrap, consensus, counting, newick, sharing, treedist, treefit
+from strandweave.operators import bootstrap, consensus, counting, merging, newick, sharing, tips, treedist, treefit
 from strandweave.plans import pipeline
+from strandweave.plans.durable import planning
 from strandweave.sources.fastx import read_fastx
-from strandweave.sources.tables import phylip_lines, read_trees, write_counts
+from strandweave.sources.tables import phylip_lines, read_counts, read_tip_info, read_trees, write_counts
 
 
 COMMANDS = {
@@ -24,6 +25,9 @@ COMMANDS = {
     "bootstrap": "consensus of the trees of resampled tables",
     "consensus": "consensus of a file of trees",
     "treedist": "distances between trees that follow one another in a file",
+    "genomesize": "genome sizes by the k-mers' mean count",
+    "merge": "k-mer tables (tab-separated, a file or folder each, parted by commas) merged by --rules",
+    "tip": "tip lengths of a file of tip information",
     "trim": "a file of trees with tips shortened by --by",
 }
 
@@ -43,6 +47,7 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--fraction", type=float, default=0.5, help="support that method ml asks for")
         c.add_argument("--outgroup", help="tip at which trees are hung up")
         c.add_argument("--by", type=float, default=0.0)
+        c.add_argument("--rules", default="", help="a letter of A, N, E, O, T for each table of a merge; T for all by default")
         c.add_argument("-s", "--plan", action="store_true", help="only show the plan")
     return p
 
@@ -57,13 +62,19 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """The table that a command writes."""
     if a.command == "stats":
         return counting.read_statistics(read_fastx(spark, a.data))
+    if a.command == "genomesize":
+        return pipeline.genome_sizes(read_fastx(spark, a.data), a.k, a.n)
+    if a.command == "merge":
+        inputs = [read_counts(spark, p) for p in a.data.split(",")]
+        return merging.merge_tables(inputs, ["kmer"], "cnt", a.rules or "T" * len(inputs), default=0)
+    if a.command == "tip":
+        return tips.tip_lengths(tips.tip_table(read_tip_info(spark, a.data).withColumn("panel", F.lit("all"))), a.k).drop("panel")
     if a.command in ("consensus", "treedist", "trim"):
         trees = read_trees(spark, a.data).withColumn("grp", F.lit("all"))
         if a.command == "consensus":
             return consensus.consensus_trees(trees, "grp", a.method, a.fraction)
         if a.command == "trim":
-            trim = F.udf(lambda t: newick.render(newick.trim_tips(newick.parse(t)[0], a.by)))
-            return trees.select("tree_id", trim("newick").alias("newick"))
+            return newick.trimmed(trees, a.by, "tree_id")
         numbered = row_numbers(trees, "tree_id").select(F.col("_row").alias("id"), "newick")
         return treedist.split_distance(newick.splits(numbered, "id"), treedist.pair_ids(numbered, "adjacent"))
     counts = _counts(spark, a.data, a.k, a.n)
@@ -78,16 +89,19 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
             return phylip_lines(pipeline.distances_of(sharing.pair_shares(counts), a.k))
         case "phylogeny":
             return pipeline.phylogeny(counts, a.k, treefit.Options(outgroup=a.outgroup))
-    patterns = sharing.patterns(counts.select("panel", "sample", "kmer").distinct())
+    patterns = sharing.patterns(counts)
     return consensus.consensus_trees(bootstrap.bootstrap_trees(patterns, a.replicates, a.seed, a.k), "panel", a.method, a.fraction)
 
 
 def main(args: list[str] | None = None) -> None:
     a = _parser().parse_args(args)
-    out = result(SparkSession.builder.appName("strandweave").getOrCreate(), a)
+    spark = SparkSession.builder.appName("strandweave").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     if a.plan:
-        out.explain("formatted")
-    elif a.command == "count":
+        with planning():  # nothing runs
+            result(spark, a).explain("formatted")
+        return
+    out = result(spark, a)
+    if a.command == "count":
         write_counts(out, a.out)
         counting.diversity(out).write.mode("overwrite").parquet(f"{a.out}.diversity")
     else:

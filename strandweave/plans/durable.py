@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +33,27 @@ def is_one_machine(master: str) -> bool:
     return master == "local" or master.startswith("local[")
 
 
+_planning: ContextVar[bool] = ContextVar("planning", default=False)
+
+
+@contextmanager
+def planning() -> Iterator[None]:
+    """Within this block nothing is computed: durable() leaves frames as they are, so that their whole plan can be shown."""
+    token = _planning.set(True)
+    try:
+        yield
+    finally:
+        _planning.reset(token)
+
+
+def is_planning() -> bool:
+    return _planning.get()
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df, computed once and written to the shared checkpoint folder."""
+    """df, computed once and written to the shared checkpoint folder; see planning()."""
+    if is_planning():
+        return df
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

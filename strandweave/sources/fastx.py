@@ -1,29 +1,40 @@
 """FASTA and FASTQ files as a Spark data source, plain, gzip or bzip2.
 
 `spark.read.format("fastx").load(folder)` gives (sample, file, read_id, name, comment, seq, qual). A folder below the data folder is a sample; a loose
-file is a sample of its own. Every file is a partition (compressed ones can't be split), the format is told by each file's first character, and a file is read
-as a stream of records, never whole.
+file is a sample of its own. Plain files are cut by offsets, so that a large file is read by many tasks; compressed ones are a partition each, as they can't be
+cut. The format is told by each file's first character, and records come as a stream of Arrow batches, never a file as a whole. The folder must be mounted
+under the same path on all machines.
 """
 
 from __future__ import annotations
 
 import bz2
 import gzip
-import hashlib
 import os
 from collections.abc import Iterator
+from itertools import chain, islice
 from pathlib import Path
-from typing import TextIO
+from typing import BinaryIO
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "sample string, file string, read_id bigint, name string, comment string, seq string, qual string"
+ARROW = pa.schema([("sample", pa.string()), ("file", pa.string()), ("read_id", pa.int64()), ("name", pa.string()), ("comment", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
+#: Bytes of a plain file that a task reads, and records of an Arrow batch.
+SPLIT, BATCH = 128 << 20, 4096
+#: read_ids are the partition's number and the record's within it.
+IDS = 40
 
 
-def opened(path: str) -> TextIO:
+def opened(path: str) -> BinaryIO:
     how = gzip.open if path.endswith(".gz") else bz2.open if path.endswith(".bz2") else open
-    return how(path, "rt", encoding="utf-8", errors="replace", newline="")
+    return how(path, "rb")
+
+
+def is_compressed(path: str) -> bool:
+    return path.endswith((".gz", ".bz2"))
 
 
 def sample_of(path: Path, root: Path, naming: str = "pair") -> str:
@@ -48,61 +59,109 @@ def discover(root: str, naming: str = "pair") -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def records(lines: Iterator[str]) -> Iterator[tuple[str, str, str, str | None]]:
-    """(name, comment, seq, qual): qual is null for FASTA. Empty FASTA records and a FASTQ record that the file's end cuts off are left out; line ends of any kind fall away."""
-    lines = (x.rstrip("\r\n") for x in lines)
-    first = next((x for x in lines if x.strip()), None)
-    if first is None:
-        return
+Line = tuple[int, str]
+
+
+def lines_from(f: BinaryIO, start: int) -> Iterator[Line]:
+    """(offset, line) of every line that begins at or after `start`, without its end of whatever kind."""
+    at = start
+    if start:
+        f.seek(start - 1)
+        at = start - 1 + len(f.readline())
+    for x in f:
+        yield at, x.decode("utf-8", "replace").rstrip("\r\n")
+        at += len(x)
+
+
+def records(lines: Iterator[Line], end: float = float("inf"), kind: str | None = None) -> Iterator[tuple[str, str, str, str | None]]:
+    """(name, comment, seq, qual) of the records that begin before `end`; qual is null for FASTA. Empty FASTA records and a FASTQ record that the file's end cuts off are left out.
+
+    kind: the file's first character, for lines that needn't begin with a record; those before the first are left to whoever reads what lies before."""
+    if kind is None:
+        first = next((x for x in lines if x[1].strip()), None)
+        if first is None:
+            return
+        kind, lines = first[1][0], chain([first], lines)
+    elif kind == ">":
+        lines = _skipped(lines, lambda w: w[0][1].startswith(">"))
+    elif kind == "@":  # a quality line may begin like a header, but what comes two lines after a header begins with a plus
+        lines = _skipped(lines, lambda w: w[0][1].startswith("@") and len(w) > 2 and w[2][1].startswith("+"))
     head = lambda x: (*x[1:].split(None, 1), "", "")[:2]
-    if first[0] == ">":
-        name, parts = head(first), []
-        for x in lines:
+    if kind == ">":
+        name, parts = None, []
+        for at, x in lines:
             if x.startswith(">"):
                 if parts:
                     yield (*name, "".join(parts), None)
+                if at >= end:
+                    return
                 name, parts = head(x), []
             elif x:
                 parts.append(x)
         if parts:
             yield (*name, "".join(parts), None)
-    elif first[0] == "@":
-        at: str | None = first
-        while at is not None:
+    elif kind == "@":
+        while (first := next((x for x in lines if x[1]), None)) is not None and first[0] < end:
             seq = next(lines, None)
-            for x in lines:
+            for _, x in lines:
                 if x.startswith("+"):
                     break
             qual = next(lines, None)
             if seq is None or qual is None:
                 return
-            yield (*head(at), seq, qual)
-            at = next((x for x in lines if x), None)
+            yield (*head(first[1]), seq[1], qual[1])
     else:
         raise ValueError("neither FASTA nor FASTQ")
 
 
-class _File(InputPartition):
-    def __init__(self, sample: str, path: str) -> None:
-        self.sample, self.path = sample, path
+def _skipped(lines: Iterator[Line], begins: object) -> Iterator[Line]:
+    """The lines from the first on at which a record begins, by it and the two after it."""
+    w = list(islice(lines, 3))
+    while w and not begins(w):
+        w = [*w[1:], *islice(lines, 1)]
+    return chain(w, lines)
+
+
+def first_character(path: str) -> str | None:
+    with opened(path) as f:
+        return next((x[1].lstrip()[0] for x in lines_from(f, 0) if x[1].strip()), None)
+
+
+class _Part(InputPartition):
+    def __init__(self, number: int, sample: str, path: str, start: int, end: float) -> None:
+        self.number, self.sample, self.path, self.start, self.end = number, sample, path, start, end
+
+
+def parts_of(files: list[tuple[str, str]], split: int = SPLIT) -> list[_Part]:
+    out: list[_Part] = []
+    for sample, path in files:
+        size = os.path.getsize(path)
+        cuts = [0] if is_compressed(path) else list(range(0, max(size, 1), split))
+        out += [_Part(len(out) + i, sample, path, c, e) for i, (c, e) in enumerate(zip(cuts, [*cuts[1:], float("inf")], strict=True))]
+    return out
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.root, self.naming = options["path"], options.get("naming", "pair")
+        self.root, self.naming, self.split = options["path"], options.get("naming", "pair"), int(options.get("split", SPLIT))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(s, p) for s, p in discover(self.root, self.naming)]
+        return parts_of(discover(self.root, self.naming), self.split)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        base = int.from_bytes(hashlib.blake2b(partition.path.encode(), digest_size=3).digest()) << 39
+    def read(self, partition: _Part) -> Iterator[pa.RecordBatch]:
+        kind = first_character(partition.path) if partition.start else None
         with opened(partition.path) as f:
-            for i, r in enumerate(records(iter(f))):
-                yield (partition.sample, os.path.basename(partition.path), base + i, *r)
+            found = records(lines_from(f, partition.start), partition.end, kind)
+            n = partition.number << IDS
+            while some := list(islice(found, BATCH)):
+                columns = [pa.array(c, pa.string()) for c in zip(*some, strict=True)]
+                same = [pa.array([x] * len(some), pa.string()) for x in (partition.sample, os.path.basename(partition.path))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(range(n, n + len(some)), pa.int64()), *columns], schema=ARROW)
+                n += len(some)
 
 
 class FastxSource(DataSource):
-    """Options: path, naming (pair or stem)."""
+    """Options: path, naming (pair or stem), split (bytes of a plain file that a task reads)."""
 
     @classmethod
     def name(cls) -> str:
@@ -115,6 +174,6 @@ class FastxSource(DataSource):
         return _Reader(dict(self.options))
 
 
-def read_fastx(spark: SparkSession, path: str, naming: str = "pair") -> DataFrame:
+def read_fastx(spark: SparkSession, path: str, naming: str = "pair", split: int = SPLIT) -> DataFrame:
     spark.dataSource.register(FastxSource)
-    return spark.read.format("fastx").option("naming", naming).load(path)
+    return spark.read.format("fastx").option("naming", naming).option("split", split).load(path)

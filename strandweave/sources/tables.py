@@ -12,13 +12,17 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_counts(counts: DataFrame, path: str) -> None:
-    """Tab-separated k-mers and counts in k-mer order, a folder a sample, compressed."""
-    counts.repartition("sample").sortWithinPartitions("sample", "kmer").write.mode("overwrite").partitionBy("sample").csv(path, sep="\t", compression="gzip")
+    """Tab-separated k-mers and counts in k-mer order, a folder a sample, compressed. A sample of many k-mers is several files, each a range of them, so that no task writes a whole hot sample."""
+    counts.repartitionByRange("sample", "kmer").sortWithinPartitions("sample", "kmer").write.mode("overwrite").partitionBy("sample").csv(path, sep="\t", compression="gzip")
 
 
 def read_header(spark: SparkSession, path: str) -> dict:
-    """k, n and the samples of a matrix's header in either dialect: `#sampleN: name` lines, or a line `kmer`, tab, names."""
-    head = [r[0] for r in spark.read.text(path).limit(4000).collect()]
+    """k, n and the samples of a matrix's header in either dialect: `#sampleN: name` lines, or a line `kmer`, tab, names. Header lines are found by how they begin, however many there are;
+    as many as samples reach the driver. Samples are in the order of their numbers."""
+    lines = spark.read.text(path)
+    is_head = F.col("value").startswith("#") | F.col("value").startswith("kmer\t")
+    number = F.regexp_extract("value", r"^#sample(\d+)", 1).try_cast("int")
+    head = [r[0] for r in lines.where(is_head).orderBy(F.asc_nulls_first(number)).collect()] + [r[0] for r in lines.where(~is_head).limit(1).collect()]
     out: dict = {"k": None, "n": None, "samples": [], "kmers": False}
     for x in head:
         if x.startswith("#-k"):
@@ -51,6 +55,22 @@ def read_matrix(spark: SparkSession, path: str, k: int | None = None) -> DataFra
     return t.select("row", kmer.alias("kmer"), F.explode(pairs).alias("p")).select("row", "kmer", F.col("p.sample").alias("sample"), F.col("p.cnt").alias("cnt")).where("cnt <> 0")
 
 
+def matrix_text(counts: DataFrame, samples: list[str], k: int, least: int = 1) -> DataFrame:
+    """(value): lines of the matrix of a table (sample, kmer, cnt) for a text sink, the header first and then a line a k-mer in order: read_matrix()'s second dialect."""
+    cells = [F.coalesce(F.max(F.when(F.col("sample") == s, F.col("cnt"))), F.lit(0)).cast("string") for s in samples]
+    rows = counts.where(F.col("sample").isin(samples)).groupBy("kmer").agg(F.concat_ws("\t", *cells).alias("cells")).select(F.lit(1).alias("_part"), "kmer", F.concat_ws("\t", "kmer", "cells").alias("value"))
+    head = counts.sparkSession.createDataFrame([(0, str(i), x) for i, x in enumerate([f"#-k {k}", f"#-n {least}", "kmer\t" + "\t".join(samples)])], "_part int, kmer string, value string")
+    return head.unionByName(rows).orderBy("_part", "kmer").select("value")
+
+
+def share_csv_text(matrix: DataFrame, columns: list[str], group: str = "panel", order: str = "sample") -> DataFrame:
+    """(group, text): each group's share matrix as read_share_csv() takes it, from rows (group, order, columns); rows in the order of the columns' names in `order`'s last part."""
+    place = F.array_position(F.array(*map(F.lit, columns)), F.element_at(F.split(order, r"\."), -1))
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in columns])
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), line.alias("x")))), lambda r: r["x"])
+    return matrix.where(place > 0).groupBy(group).agg(F.concat(F.lit(",".join(columns) + "\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+
+
 def read_diversity(spark: SparkSession, path: str) -> DataFrame:
     """(label, ntotal BIGINT) of lines `Total: n kmers` or `sample: n`."""
     t = spark.read.text(path)

@@ -27,6 +27,10 @@ def test_fastx(spark, data):
     assert got == {("sp1", "a.fa", "r1", "first > read", "ACGTACGT", None), ("sp1", "a.fa", "r2", "", "TTGG", None), ("sp1", "b.fq.gz", "q1", "x y", "ACGT", "@III"), ("sp1", "b.fq.gz", "q2", "", "NN", "!!"), ("loose_one", "loose.one.fa.bz2", "z", "", "GATTACA", None)}
     assert df.select("read_id").distinct().count() == 5
     assert {r["sample"] for r in counting.count_kmers(df, 3).collect()} == {"sp1", "loose_one"}
+    for split in (1, 3, 7, 20):  # plain files cut anywhere
+        again = fastx.read_fastx(spark, str(data), split=split)
+        assert {(r["sample"], r.file, r.name, r.comment, r.seq, r.qual) for r in again.collect()} == got
+        assert again.select("read_id").distinct().count() == again.count() == 5
     (data / "sp1/bad.fa").write_text("neither")
     with pytest.raises(PySparkException):
         fastx.read_fastx(spark, str(data)).collect()
@@ -36,6 +40,33 @@ def test_fastx(spark, data):
         fastx.discover(str(data), "stem")
 
 
+def test_plain_fastq_is_cut_between_records(spark, tmp_path):
+    reads = [(f"@r{i} c", "ACGT" * (i % 5 + 1), ("@+>I" * (i % 5 + 1))) for i in range(200)]
+    (tmp_path / "s.fq").write_text("".join(f"{h}\n{s}\n+{h[1:] if i % 2 else ''}\n{q}\n" for i, (h, s, q) in enumerate(reads)))
+    for split in (11, 97, 1 << 20):
+        df = fastx.read_fastx(spark, str(tmp_path), split=split)
+        assert sorted((f"@{r.name} {r.comment}", r.seq, r.qual) for r in df.collect()) == sorted(reads)
+        assert df.select("read_id").distinct().count() == 200
+
+
+def test_tables_as_text(spark, tmp_path):
+    c = spark.createDataFrame([("x", "ACG", 3), ("y", "CCG", 2), ("x", "CCG", 1)], "sample string, kmer string, cnt int")
+    tables.matrix_text(c, ["x", "y"], 3).coalesce(1).write.text(str(tmp_path / "m"))
+    assert {(r.kmer, r["sample"], r.cnt) for r in tables.read_matrix(spark, str(tmp_path / "m"), 3).collect()} == {("ACG", "x", 3), ("CCG", "x", 1), ("CCG", "y", 2)}
+    m = spark.createDataFrame([("p", "p.sp2", 1, 4), ("p", "p.sp1", 5, 1)], "panel string, sample string, sp1 int, sp2 int")
+    (tmp_path / "n.csv").write_text(tables.share_csv_text(m, ["sp1", "sp2"]).first().text)
+    assert {(r.s1, r.s2, r.nshare) for r in tables.read_share_csv(spark, str(tmp_path / "n.csv")).collect()} == {("sp1", "sp1", 5.0), ("sp1", "sp2", 1.0), ("sp2", "sp1", 1.0), ("sp2", "sp2", 4.0)}
+
+
+def test_header_of_many_samples(spark, tmp_path):
+    names = [f"s{i}" for i in range(5000)]
+    (tmp_path / "m").write_text("#-k 21\n" + "".join(f"#sample{i + 1}: {x}\n" for i, x in enumerate(names)) + "\t".join(["1"] * 5000) + "\n")
+    h = tables.read_header(spark, str(tmp_path / "m"))
+    assert h["samples"] == names
+    assert h["k"] == 21 and not h["kmers"]
+    assert tables.read_matrix(spark, str(tmp_path / "m")).count() == 5000
+
+
 def test_matrix_of_either_dialect(spark, tmp_path):
     a, b = tmp_path / "a.dat", tmp_path / "b.dat"
     a.write_text("#-k 21\n#-n 1\n#sample1: x\n#sample2: y\n3\t0\n1\t2\n")
@@ -95,12 +126,25 @@ def test_stream_counts_as_batch(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in counting.count_kmers(reads, 3).collect()}
 
 
+def test_stream_counts_copies_once_and_saturates(spark, tmp_path):
+    schema = "read_id bigint, sample string, seq string"
+    reads = spark.createDataFrame([(1, "s", "ACGTACG"), (1, "s", "ACGTACG"), (2, "s", "ACGT"), (None, "s", "ACG"), (3, "t", "GGGGGG")], schema)
+    for i, part in enumerate(("read_id = 1", "read_id is null or read_id > 1", "true")):  # everything comes twice
+        reads.where(part).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    got = counts_table(stream_counts(stream_reads(spark, str(tmp_path / "in"), schema, 1), 3, cap=2, once=True), str(tmp_path / "out"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in counting.count_kmers(counting.distinct_reads(reads), 3, cap=2).collect()}
+    late = spark.createDataFrame([("s", "ACGT")], "sample string, seq string").selectExpr("*", "timestamp'2009-01-05 10:00:00' as at")
+    late.write.parquet(str(tmp_path / "days"))
+    days = counts_table(stream_counts(stream_reads(spark, str(tmp_path / "days"), "sample string, seq string, at timestamp"), 3, day="at"), str(tmp_path / "out2"))
+    assert {(r.kmer, r.cnt, str(r.day.start)) for r in days.collect()} == {("ACG", 2, "2009-01-05 00:00:00")}
+
+
 def test_fasta_text(spark):
     df = spark.createDataFrame([("a", "x y", "ACGT"), ("b", "", "AC"), ("c", None, "")], "name string, comment string, seq string")
     assert [r.value for r in tables.fasta_text(df).collect()] == [">a x y\nACGT", ">b\nAC"]
 
 
-def test_trees_and_commands(spark, tmp_path, data):
+def test_trees_and_commands(spark, tmp_path, data, capsys):
     from strandweave.plans import cli
 
     f = tmp_path / "trees"
@@ -119,5 +163,17 @@ def test_trees_and_commands(spark, tmp_path, data):
     (tmp_path / "back").rmdir()
     for command in ("count", "histogram", "singletons", "stats", "distance", "phylogeny"):
         assert run(command, "-d", str(tmp_path), "-k", "3")
+    for command in ("phylogeny", "bootstrap", "count"):
+        cli.main([command, "-d", str(tmp_path), "-k", "3", "-o", str(tmp_path / "none"), "-s"])
+    assert "Scan" in capsys.readouterr().out
+    assert not (tmp_path / "none").exists()
+    assert {r["sample"] for r in run("genomesize", "-d", str(tmp_path), "-k", "3")} == {"sp1", "loose_one"}
+    (tmp_path.parent / "t1").write_text("ACG\t3\nCCC\t1\n")
+    (tmp_path.parent / "t2").write_text("ACG\t2\n")
+    both = f"{tmp_path.parent}/t1,{tmp_path.parent}/t2"
+    assert [tuple(r) for r in run("merge", "-d", both)] == [("ACG", 3, 2)]
+    assert {tuple(r) for r in run("merge", "-d", both, "--rules", "AE")} == {("ACG", 3, 2), ("CCC", 1, 0)}
+    (tmp_path.parent / "tips").write_text("spname coverage readlength errorrate\nsp1 3.95 76 0.01\n")
+    assert [r.spname for r in run("tip", "-d", str(tmp_path.parent / "tips"))] == ["sp1"]
     cli.main(["count", "-d", str(tmp_path), "-o", str(tmp_path.parent / "out"), "-k", "3"])
     assert spark.read.parquet(str(tmp_path.parent / "out.diversity")).count() == 2
