@@ -34,8 +34,25 @@ def normal(seed: int, *key: Column) -> Column:
 
 
 def subsample(reads: DataFrame, m: int, seed: int, key: str = "read_id") -> DataFrame:
-    """m reads without replacement, all if there are no more: those with the smallest hashes of key and seed."""
-    return reads.withColumn("_u", uniform(seed, F.col(key))).orderBy("_u", key).limit(m).drop("_u")
+    """m reads without replacement, all if there are no more: those with the smallest hashes of key and seed.
+
+    The hash up to which reads are taken is found from counts of its leading bits, twice 65,536 numbers on the driver; only reads that share its first 32 bits are ever ordered in one task."""
+    h = reads.withColumn("_u", F.xxhash64(F.lit(seed), F.col(key)))
+    bits = lambda skip: F.shiftrightunsigned("_u", 48 - skip).bitwiseAND(65535)
+    rest, edge, taken = h, m, None
+    for skip in (0, 16):
+        cut = None
+        for b, n in sorted((r[0], r[1]) for r in rest.groupBy(bits(skip).alias("b")).count().collect()):
+            if n > edge:
+                cut = b
+                break
+            edge -= n
+        below = rest if cut is None else rest.where(bits(skip) < cut)
+        taken = below if taken is None else taken.unionByName(below)
+        if cut is None or not edge:
+            return taken.drop("_u")
+        rest = rest.where(bits(skip) == cut)
+    return taken.unionByName(rest.orderBy("_u", key).limit(edge)).drop("_u")
 
 
 def bootstrap_reads(reads: DataFrame, seed: int, by: str = "file", key: str = "read_id", replicates: int | None = None) -> DataFrame:

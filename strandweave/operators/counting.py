@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandweave.functions.kmers import complexity, explode_kmers, usable_kmers, well_mixed
+from strandweave.functions.kmers import complexity, decode_2bit, explode_kmers, usable_codes, well_mixed
 
 #: Fixed value: counts saturate here.
 CAP = 16383
 
 
 def distinct_reads(reads: DataFrame) -> DataFrame:
-    """Reads with a sample, one row a read_id; where copies of a read_id differ, the smallest sequence counts."""
-    return reads.where("sample is not null and read_id is not null").groupBy("read_id", "sample").agg(F.min("seq").alias("seq"))
+    """(read_id, sample, seq) of reads with a sample and an id, each once. Copies whose sequences differ are reads by themselves. Nothing is sorted: the rows are combined by hash."""
+    return reads.where("sample is not null and read_id is not null").select("read_id", "sample", "seq").distinct()
 
 
 def count_kmers(reads: DataFrame, k: int, least: int = 1, cap: int = CAP, special: bool | None = None, with_complexity: bool = False, limit: int | None = None, weight: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
@@ -41,8 +41,9 @@ def summed_counts(kmer_t: DataFrame, cap: int = CAP) -> DataFrame:
     """(panel, sample, kmer, cnt): counts of the usable rows of a table of counts by file and day, added up and saturated.
 
     Rows with the same rec_id count once, a null cnt adds nothing. The k-mer is held even if its sum is 0."""
-    once = usable_kmers(kmer_t, "panel", "sample", "rec_id", "cnt").groupBy("panel", "sample", "kmer", "rec_id").agg(F.max("cnt").alias("cnt"))
-    return once.groupBy("panel", "sample", "kmer").agg(F.least(F.coalesce(F.sum("cnt"), F.lit(0)), F.lit(cap)).cast("bigint").alias("cnt"))
+    once = usable_codes(kmer_t, "panel", "sample", "rec_id", "cnt").groupBy("panel", "sample", "code", "rec_id").agg(F.max("cnt").alias("cnt"))
+    sums = once.groupBy("panel", "sample", "code").agg(F.least(F.coalesce(F.sum("cnt"), F.lit(0)), F.lit(cap)).cast("bigint").alias("cnt"))
+    return sums.select("panel", "sample", decode_2bit("code", 21).alias("kmer"), "cnt")
 
 
 def diversity(counts: DataFrame, *keys: str) -> DataFrame:

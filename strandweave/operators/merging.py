@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 RULES = "ANEOT"
@@ -46,19 +47,37 @@ def presence(seen: list[Column], rules: str) -> Column:
     return reduce(lambda a, b: a & b, ok, F.lit(True))
 
 
-def merge_tables(inputs: list[DataFrame], keys: list[str], value: str, rules: str, kinds: str | None = None, default: str | int | None = None, order: tuple[str, ...] = (), marks: bool = False) -> DataFrame:
-    """(keys, v1, v2, …): one row for each key that the rules admit, with each input's value, or `default` where it doesn't hold the key.
+def merge_long(rows: DataFrame, keys: list[str], value: str, number: str, rules: str, default: str | int | None = None, marks: bool = False, paired: bool = False) -> DataFrame:
+    """(keys, v1, v2, …): merge of the inputs 1, 2, … of one long table, told apart by `number`: one row for each key that the rules admit, with each input's value, or `default` where it doesn't hold the key.
 
-    kinds: a letter for each key, see normal_key. An input's rows of one key are one (the largest value); null keys meet one another. marks adds b1, b2, … with
-    whether each input holds the key. Inputs may have further columns, which are left out. Empty inputs hold no key.
+    The table is read and shuffled once, however many inputs there are; rows of a number beyond the rules or null are left out. An input's rows of one key are one (the largest value), or, if
+    paired, the first meets the first of other inputs, the second the second and so on, from the largest value down, and the rules hold for each row of the result by itself.
+    Null keys meet one another. marks adds b1, b2, … with whether each input holds the key. Inputs without rows hold no key.
     """
+    n = range(1, len(rules) + 1)
+    t = rows.select(*keys, F.col(value).alias("_v"), F.col(number).alias("_i")).where(F.col("_i").between(1, len(rules)))
+    by = [*keys]
+    if paired:
+        t = t.withColumn("_r", F.row_number().over(W.partitionBy("_i", *keys).orderBy(F.desc_nulls_last("_v"))))
+        by.append("_r")
+    g = t.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"v{i}") for i in n], *[F.max(F.col("_i") == i).alias(f"b{i}") for i in n])
+    g = g.where(presence([F.col(f"b{i}") for i in n], rules))
+    value_of = lambda i: F.col(f"v{i}") if default is None else F.when(F.col(f"b{i}"), F.col(f"v{i}")).otherwise(F.lit(default))
+    return g.select(*keys, *[value_of(i).alias(f"v{i}") for i in n], *([f"b{i}" for i in n] if marks else []))
+
+
+def merge_tables(inputs: list[DataFrame], keys: list[str], value: str, rules: str, kinds: str | None = None, default: str | int | None = None, order: tuple[str, ...] = (), marks: bool = False, paired: bool = False) -> DataFrame:
+    """merge_long() of separate inputs. kinds: a letter for each key, see normal_key. Inputs may have further columns, which are left out."""
+    if len(inputs) != len(rules):
+        raise ValueError("one rule of A, N, E, O, T for each input")
     kinds = kinds or "s" * len(keys)
-    tagged = [t.select(*[normal_key(k, x, order).alias(k) for k, x in zip(keys, kinds, strict=True)], F.col(value).alias("_v"), F.lit(i).alias("_i")) for i, t in enumerate(inputs)]
-    n = range(len(inputs))
-    g = reduce(DataFrame.unionByName, tagged).groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"v{i + 1}") for i in n], *[F.max(F.col("_i") == i).alias(f"b{i + 1}") for i in n])
-    g = g.where(presence([F.col(f"b{i + 1}") for i in n], rules))
-    value_of = lambda i: F.col(f"v{i + 1}") if default is None else F.when(F.col(f"b{i + 1}"), F.col(f"v{i + 1}")).otherwise(F.lit(default))
-    return g.select(*keys, *[value_of(i).alias(f"v{i + 1}") for i in n], *([f"b{i + 1}" for i in n] if marks else []))
+    tagged = [t.select(*[normal_key(k, x, order).alias(k) for k, x in zip(keys, kinds, strict=True)], F.col(value).alias("_value"), F.lit(i + 1).alias("_number")) for i, t in enumerate(inputs)]
+    return merge_long(reduce(DataFrame.unionByName, tagged), keys, "_value", "_number", rules, default, marks, paired)
+
+
+def present(counts: DataFrame, least: int, count: str = "cnt") -> DataFrame:
+    """Adds present INT: whether a table's count is at least `least`; a null count isn't."""
+    return counts.withColumn("present", F.coalesce(F.col(count) >= least, F.lit(False)).cast("int"))
 
 
 def sort_order(keys: list[str], kinds: str) -> list[Column]:

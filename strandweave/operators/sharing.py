@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions.formulas import distance
@@ -34,10 +35,10 @@ def wide_matrix(counts: DataFrame, columns: list[str], column: str = "sp", defau
 
 
 def patterns(held: DataFrame) -> DataFrame:
-    """(panel, pattern ARRAY<STRING>, n): how many k-mers of a panel exactly the samples of the pattern hold, from distinct (panel, sample, kmer).
+    """(panel, pattern ARRAY<STRING>, n): how many k-mers of a panel exactly the samples of the pattern hold, from (panel, sample, kmer), repeated or not.
 
-    There are far fewer patterns than k-mers, so all that comes after is small."""
-    return held.groupBy("panel", "kmer").agg(F.array_sort(F.collect_list("sample")).alias("pattern")).groupBy("panel", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    One shuffle of what each task has combined. There are far fewer patterns than k-mers, so all that comes after is small."""
+    return held.groupBy("panel", "kmer").agg(F.array_sort(F.collect_set("sample")).alias("pattern")).groupBy("panel", "pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def _product(row: np.ndarray, col: np.ndarray, weight: np.ndarray, width: int) -
 
 def pair_shares(held: DataFrame) -> DataFrame:
     """(panel, s1, s2, nshare BIGINT) of pairs s1 <= s2 of one panel that share a k-mer; s1 = s2 gives the sample's own number. From (panel, sample, kmer), repeated or not."""
-    return pattern_shares(patterns(held.select("panel", "sample", "kmer").distinct()))
+    return pattern_shares(patterns(held))
 
 
 def pattern_shares(counted: DataFrame) -> DataFrame:
@@ -108,6 +109,28 @@ def singletons(counts: DataFrame, k: int) -> DataFrame:
     return total.select("panel", F.explode("samples").alias("sample"), "n_samples").groupBy("panel", "sample").agg(F.floor(alone / k).cast("bigint").alias("n"))
 
 
+def singletons_of_totals(counts: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """(panel, sample, n): singletons by published totals (panel, sample, ntotal): whole number of (ntotal - k-mers of the sample that another of its panel holds) / k, at least 0.
+
+    A sample without a total, or with a null one, has no row; one that shares nothing has its whole total. Totals occur once a sample."""
+    shared = shared_table(counts).groupBy("panel", "sample").agg(F.count(F.lit(1)).alias("_shared"))
+    rest = F.col("ntotal") - F.coalesce("_shared", F.lit(0))
+    return totals.where("ntotal is not null").select("panel", "sample", "ntotal").join(shared, ["panel", "sample"], "left").select("panel", "sample", F.floor(F.greatest(rest, F.lit(0)) / k).cast("bigint").alias("n"))
+
+
+def published_totals(table: DataFrame) -> DataFrame:
+    """(panel, sample, ntotal BIGINT) of a published table (pos, panel, sample, ntotal): of a sample's rows that have a total the last in the table's order."""
+    t = table.where("panel is not null and sample is not null and ntotal is not null")
+    return t.groupBy("panel", "sample").agg(F.max_by("ntotal", "pos").cast("bigint").alias("ntotal"))
+
+
+def published_matrix(table: DataFrame, cells: list[str], *keys: str) -> DataFrame:
+    """(keys, cells): one whole row for each key of a matrix that was exported more than once: the one with the fewest missing cells, of these that with the smallest cells in order. Rows with a null key are left out."""
+    missing = reduce(Column.__add__, [F.col(c).isNull().cast("int") for c in cells])
+    best = F.min(F.struct(missing.alias("_m"), *[F.coalesce(c, F.lit(-1.0)).alias(c) for c in cells])).alias("b")
+    return table.dropna(subset=list(keys)).groupBy(*keys).agg(best).select(*keys, *[F.when(F.col(f"b.{c}") >= 0, F.col(f"b.{c}")).alias(c) for c in cells])
+
+
 def share_matrix(shares: DataFrame, columns: list[str]) -> DataFrame:
     """(panel, sample, one column for each sp): the symmetric matrix of a panel's shares, its diagonal the samples' own numbers, 0 where nothing is shared."""
     short = lambda c: F.element_at(F.split(c, r"\."), -1)

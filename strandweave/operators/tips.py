@@ -10,9 +10,9 @@ from strandweave.functions.formulas import kmer_coverage, tip_length
 
 
 def tip_table(tip_info: DataFrame) -> DataFrame:
-    """(panel, spname, coverage, readlength, errorrate): complete rows, one a sample; where copies differ, the smallest values."""
+    """(panel, spname, coverage, readlength, errorrate): complete rows, one a sample; where copies differ, the whole row with the smallest coverage, then read length, then error rate."""
     t = tip_info.dropna(subset=["spname", "coverage", "readlength", "errorrate"])
-    return t.groupBy("panel", "spname").agg(*[F.min(c).alias(c) for c in ("coverage", "readlength", "errorrate")])
+    return t.groupBy("panel", "spname").agg(F.min(F.struct("coverage", "readlength", "errorrate")).alias("r")).select("panel", "spname", "r.*")
 
 
 def tip_lengths(tips: DataFrame, k: int) -> DataFrame:
@@ -33,6 +33,16 @@ def tip_average(lengths: DataFrame, totals: DataFrame, value: str = "tip", order
     return g.where("n_samples > 1").select("panel", "n_samples", (F.col("total") / pairs).alias("tip_ave"))
 
 
+def copies(count: Column, coverage: Column) -> Column:
+    """How often a k-mer occurs in its genome: its count over the coverage, rounded, at least 1. As BIGINT; no upper bound."""
+    return F.greatest(F.lit(1), F.round(count / coverage)).cast("bigint")
+
+
+def copy_bins(held: DataFrame, *keys: str) -> DataFrame:
+    """(keys, copies, n BIGINT): how many k-mers of (keys, copies) occur so often."""
+    return held.groupBy(*keys, "copies").agg(F.count(F.lit(1)).alias("n"))
+
+
 def ph_curve(abundances: DataFrame, k: Column, size: Column, gc: Column, d: float = 0.1, q: str = "q") -> DataFrame:
     """Adds ph, the expected share of k-mers whose sharing is homoplasy, to rows with q ARRAY<DOUBLE>, the shares of k-mers that occur 1, 2, … times in a genome."""
     shared = F.exp(-k * d)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.operators.sharing import pair_shares
-
 
 def pair_ids(ids: DataFrame, scheme: str, others: DataFrame | None = None) -> DataFrame:
     """(id1, id2) of trees numbered from 0 in `id`: adjacent (0,1), (2,3), …; corresponding: equal ids of two tables. A lone last tree has no pair."""
@@ -29,20 +27,13 @@ def split_distance(splits: DataFrame, pairs: DataFrame, key: str = "id", split:
     return each.groupBy("id1", "id2").agg(F.sum((F.col("a").isNull() | F.col("b").isNull()).cast("bigint")).alias("rf"), F.sqrt(F.sum(_square(F.coalesce("a", F.lit(0.0)) - F.coalesce("b", F.lit(0.0))))).alias("branch_score"))
 
 
-def all_distances(splits: DataFrame, key: str = "id", split: str = "split", group: str | None = None) -> DataFrame:
-    """(id1, id2, rf BIGINT[, group]) of all pairs id1 < id2 of trees (of a group) that have a split in common; of two files of trees, give each its own range of ids.
-
-    rf = splits of either less twice the common ones; these come from the sets of trees that hold each split, counted by set, so trees aren't joined with one another.
-    With the tips' own splits in the table every pair of trees with the same tips has a row."""
-    g = F.col(group).cast("string") if group else F.lit("")
-    held = splits.select(g.alias("panel"), F.col(key).cast("string").alias("sample"), F.col(split).alias("kmer")).where("sample is not null and kmer is not null")
-    n = pair_shares(held)
-    own = lambda s, c: n.where("s1 = s2").select("panel", F.col("s1").alias(s), F.col("nshare").alias(c))
-    kind = dict(splits.dtypes)[key]
-    pairs = n.where("s1 <> s2").join(own("s1", "a"), ["panel", "s1"]).join(own("s2", "b"), ["panel", "s2"])
-    x, y = F.col("s1").cast(kind), F.col("s2").cast(kind)
-    cols = [F.least(x, y).alias("id1"), F.greatest(x, y).alias("id2"), (F.col("a") + F.col("b") - 2 * F.col("nshare")).alias("rf")]
-    return pairs.select(*cols, *([F.col("panel").alias(group)] if group else []))
+def all_distances(splits: DataFrame, group: str, key: str = "id", split: str = "split", length: str = "length") -> DataFrame:
+    """(group, id1, id2, rf BIGINT, branch_score DOUBLE) of all pairs id1 < id2 of a group's trees, also of those that have no split in common; of two files of trees, give each its own range of ids.
+
+    Every pair is a row of the result and is joined with the splits of its two trees; ids must be of one group each. A tree without splits has no row in the table and no pair."""
+    ids = splits.select(group, key).distinct()
+    pairs = ids.select(group, F.col(key).alias("id1")).join(ids.select(group, F.col(key).alias("id2")), group).where("id1 < id2")
+    return split_distance(splits, pairs.select("id1", "id2"), key, split, length).join(pairs, ["id1", "id2"]).select(group, "id1", "id2", "rf", "branch_score")
 
 
 def _square(x: Column) -> Column:

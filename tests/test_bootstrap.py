@@ -19,6 +19,11 @@ def test_subsample(spark):
     assert a == {r.read_id for r in B.subsample(reads.repartition(5), 20, 1).collect()}
     assert a != {r.read_id for r in B.subsample(reads, 20, 2).collect()}
     assert B.subsample(reads, 99, 1).count() == 50
+    assert B.subsample(reads, 0, 1).count() == 0
+    order = [r.read_id for r in reads.orderBy(F.shiftrightunsigned(F.xxhash64(F.lit(1), "read_id"), 32), "read_id").collect()]
+    assert a == set(order[:20])
+    same = reads.withColumn("same", F.lit("x"))  # all of one hash
+    assert B.subsample(same, 7, 1, "same").count() == 7
 
 
 def test_row_numbers(spark):

@@ -42,3 +42,17 @@ def test_one_to_many_and_null_keys(spark):
     b = spark.createDataFrame([(None, 3), ("a", 4), ("a", 5)], "k string, w int")
     assert M.merge_rows(a, b, ["k"]).count() == 2
     assert M.merge_tables([a, b.withColumnRenamed("w", "v")], ["k"], "v", "AA").count() == 2
+
+
+def test_repeated_keys_pair_by_rank(spark):
+    a = spark.createDataFrame([("k", 3), ("k", 9), ("k", 5), ("x", 1)], "k string, v int")
+    b = spark.createDataFrame([("k", 2), ("k", 8), ("y", None)], "k string, v int")
+    assert {tuple(r) for r in M.merge_tables([a, b], ["k"], "v", "AA", paired=True).collect()} == {("k", 9, 8), ("k", 5, 2)}
+    assert {tuple(r) for r in M.merge_tables([a, b], ["k"], "v", "EE", paired=True).collect()} == {("k", 9, 8), ("k", 5, 2), ("k", 3, None), ("x", 1, None), ("y", None, None)}
+    assert {tuple(r) for r in M.merge_tables([a, b], ["k"], "v", "AA").collect()} == {("k", 9, 8)}
+
+
+def test_one_long_table_and_presence(spark):
+    t = spark.createDataFrame([("k", 1, 5), ("k", 2, 7), ("k", 3, 1), ("j", 2, 4), (None, 1, 6), ("k", None, 9)], "k string, number int, v int")
+    assert {tuple(r) for r in M.merge_long(t, ["k"], "v", "number", "OO", default=0, marks=True).collect()} == {("k", 5, 7, True, True), ("j", 0, 4, False, True), (None, 6, 0, True, False)}
+    assert [r.present for r in M.present(spark.createDataFrame([(1,), (2,), (None,)], "cnt int"), 2).collect()] == [0, 1, 0]

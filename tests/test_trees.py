@@ -24,6 +24,9 @@ def test_distance_goldens(spark):
 
 def test_tip_goldens(spark):
     rows = [("p", "sp1", 3.95, 76.0, 0.01), ("p", "sp8", 8.99, 76.0, 0.01), ("p", "sp10", 11.68, 76.0, 0.01), ("p", "short", 3.0, 20.0, 0.01), ("p", "none", None, 76.0, 0.01)]
+    other = [("p", "two", 3.0, 90.0, 0.02), ("p", "two", 4.0, 80.0, 0.01)]  # copies that differ: a whole row counts
+    whole = tips.tip_table(spark.createDataFrame(other, "panel string, spname string, coverage double, readlength double, errorrate double"))
+    assert [tuple(r) for r in whole.collect()] == other[:1]
     t = tips.tip_table(spark.createDataFrame([*rows, rows[0]], "panel string, spname string, coverage double, readlength double, errorrate double"))
     got = {r.spname: r for r in tips.tip_lengths(t, 21).collect()}
     assert got.keys() == {"sp1", "sp8", "sp10"}
@@ -169,7 +172,9 @@ def test_phylogeny_of_counts(spark):
 def test_all_distances_and_problems(spark):
     ts = spark.createDataFrame([("g", 0, "((a,b),(c,d),e);"), ("g", 1, "((a,b),c,(d,e));"), ("g", 10, "((a,c),(b,d),e);"), ("h", 2, "(a,a,b);"), ("h", 3, "(a,b,c);"), ("h", 4, None)], "grp string, id int, newick string")
     s = N.splits(ts.where("grp = 'g'"), "id")
-    assert {(r.id1, r.id2): r.rf for r in treedist.all_distances(s).collect()} == {(0, 1): 2, (0, 10): 4, (1, 10): 4}
+    assert {(r.id1, r.id2): r.rf for r in treedist.all_distances(s.withColumn("g", F.lit(1)), "g").collect()} == {(0, 1): 2, (0, 10): 4, (1, 10): 4}
+    apart = spark.createDataFrame([("g", 0, "x", 2.0), ("g", 1, "y", 1.0), ("g", 1, "z", 2.0), ("h", 2, "x", 5.0)], "g string, id int, split string, length double")
+    assert [(r.g, r.id1, r.id2, r.rf, r.branch_score) for r in treedist.all_distances(apart, "g").collect()] == [("g", 0, 1, 3, 3.0)]
     assert {(r.id, r.name, r.problem) for r in N.tip_problems(ts, "grp", "id").collect()} == {(2, "a", "repeated"), (2, "c", "missing")}
     listing = {tuple(r.split): (r.weight, r.included) for r in C.split_listing(ts.where("id < 2"), "grp").collect()}
     assert listing[("c", "d", "e")] == (2.0, True)
