@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import formulas
 from strandweave.functions.dense import dense_ids
-from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement, usable_kmers
+from strandweave.functions.kmers import canonical, complexity, decode_2bit, encode_2bit, reverse_complement, usable_codes
 from strandweave.operators import bootstrap, consensus, counting, merging, newick, rejects, sharing, tips, treedist, treefit
 from strandweave.plans.durable import durable
-from strandweave.plans.pipeline import distances_of, panel_trees
+from strandweave.plans.pipeline import distances_of, genome_sizes, panel_trees
 from strandweave.sources import tables
 from strandweave.streaming.counts import counts_table, stream_counts, stream_reads
 
@@ -22,7 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 K, SEED, REPLICATES = 21, 7, 5
 SPS = [f"sp{i}" for i in range(1, 11)]
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW")
-GC, DISTANCE, COPIES = 0.38, 0.1, 10
+CONTROL = "ctrl_mix"
+GC, DISTANCE = 0.38, 0.1
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -33,25 +34,28 @@ def _reads(s: SparkSession, d: str) -> DataFrame:
     return counting.distinct_reads(_t(s, d, "seq_reads"))
 
 
-def _counts(s: SparkSession, d: str) -> DataFrame:
-    return counting.summed_counts(_t(s, d, "kmer_t"))
+def _drawn(s: SparkSession, d: str) -> DataFrame:
+    """The reads as a resample draws them: each none, one or two times."""
+    return _reads(s, d).withColumn("draws", F.pmod("read_id", F.lit(3)))
 
 
-def _panels(s: SparkSession, d: str) -> DataFrame:
-    return _counts(s, d).where(F.col("sample") == F.concat("panel", F.lit("."), F.element_at(F.split("sample", r"\."), -1)))
+def _counts(s: SparkSession, d: str) -> DataFrame:
+    return counting.summed_counts(_t(s, d, "kmer_t"))
 
 
 def _held(s: SparkSession, d: str) -> DataFrame:
-    """(panel, sample, kmer), repeated: who holds what needs no counts."""
-    return usable_kmers(_t(s, d, "kmer_t"), "panel", "sample").where(F.col("sample") == F.concat("panel", F.lit("."), F.element_at(F.split("sample", r"\."), -1)))
+    """(panel, sample, kmer BIGINT), repeated: who holds what needs no counts."""
+    return usable_codes(_t(s, d, "kmer_t"), "panel", "sample").withColumnRenamed("code", "kmer")
 
 
-def _input(s: SparkSession, d: str, i: int) -> DataFrame:
-    return _counts(s, d).where(F.col("sample") == F.concat("panel", F.lit(f".sp{i}")))
+def _merged(rules: str, *keys: str, **more) -> Query:
+    """Merge of each panel's ten samples; the control, which belongs to no panel's ten, is none of the inputs."""
 
+    def q(s: SparkSession, d: str) -> DataFrame:
+        number = F.when(F.col("sample").startswith(F.concat("panel", F.lit(".sp"))), F.element_at(F.split("sample", r"\.sp"), -1).try_cast("int"))
+        return merging.merge_long(_counts(s, d).withColumn("number", number), ["panel", "kmer"], "cnt", "number", rules, **more)
 
-def _merged(rules: str) -> Query:
-    return lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2, 3)], ["panel", "kmer"], "cnt", rules)
+    return q
 
 
 def _lane(s: SparkSession, d: str, i: int) -> DataFrame:
@@ -70,16 +74,13 @@ def _masks(s: SparkSession, d: str) -> DataFrame:
     """(panel, split BIGINT, weight): presence patterns as bitmaps of sp1 to sp10, turned to the side without sp1, at least two samples on either side."""
     bits = F.aggregate(F.transform("pattern", lambda x: F.pow(F.lit(2.0), F.element_at(F.split(x, r"\.sp"), -1).cast("int") - 1).cast("bigint")), F.lit(0).cast("bigint"), lambda a, x: a + x)
     side = F.when(F.col("m").bitwiseAND(1) == 1, 1023 - F.col("m")).otherwise(F.col("m"))
-    p = sharing.patterns(_held(s, d).distinct()).select("panel", bits.alias("m"), "n").select("panel", side.alias("split"), "n")
+    panels = _held(s, d).where(F.col("sample").startswith(F.concat("panel", F.lit(".sp"))))  # the control is alone in its panel, so it has no split
+    p = sharing.patterns(panels).select("panel", bits.alias("m"), "n").select("panel", side.alias("split"), "n")
     return p.where(F.bit_count("split").between(2, 8)).groupBy("panel", "split").agg(F.sum("n").alias("weight"))
 
 
-def _top_masks(s: SparkSession, d: str, n: int) -> DataFrame:
-    return _masks(s, d).withColumn("r", F.row_number().over(W.partitionBy("panel").orderBy(F.desc("weight"), "split"))).where(F.col("r") <= n).drop("r")
-
-
 def _compatibility(s: SparkSession, d: str) -> DataFrame:
-    t = _top_masks(s, d, 12)
+    t = durable(_masks(s, d))
     j = t.select("panel", F.col("split").alias("a")).join(t.select("panel", F.col("split").alias("b")), "panel").where("a < b")
     return j.withColumn("ok", consensus.compatible_masks(F.col("a"), F.col("b"), F.lit(1023)))
 
@@ -91,15 +92,15 @@ def _censored(s: SparkSession, d: str) -> DataFrame:
 
 
 def _mask_trees(s: SparkSession, d: str) -> DataFrame:
-    """(id, split, length): each panel's seven best splits as a tree; panels are numbered in order of their names."""
-    t = _top_masks(s, d, 7).withColumn("length", F.col("weight") / F.sum("weight").over(W.partitionBy("panel")))
+    """(id, split, length): each panel's weighted splits; panels are numbered in order of their names."""
+    t = durable(_masks(s, d)).withColumn("length", F.col("weight") / F.sum("weight").over(W.partitionBy("panel")))
     return t.join(dense_ids(t, "panel", "id"), "panel").select("id", "split", "length")
 
 
 def _tree_distance(scheme: str) -> Query:
     def q(s: SparkSession, d: str) -> DataFrame:
         t = _mask_trees(s, d)
-        t2 = t.where("length >= 0.1") if scheme == "corresponding" else t
+        t2 = t.where("length >= 0.01") if scheme == "corresponding" else t
         pairs = treedist.pair_ids(t.select("id").distinct(), scheme)
         if scheme == "corresponding":  # each tree against its own well-supported splits
             both = t.withColumn("id", F.col("id") * 2).unionByName(t2.withColumn("id", F.col("id") * 2 + 1))
@@ -110,12 +111,6 @@ def _tree_distance(scheme: str) -> Query:
     return q
 
 
-def _compatibility_all(s: SparkSession, d: str) -> DataFrame:
-    t = durable(_masks(s, d))
-    j = t.select("panel", F.col("split").alias("a")).join(t.select("panel", F.col("split").alias("b")), "panel").where("a < b")
-    return j.withColumn("ok", consensus.compatible_masks(F.col("a"), F.col("b"), F.lit(1023)))
-
-
 def _fitted_distance(scheme: str) -> Query:
     """Distances of resampled trees of one panel, with their replicates: of all pairs, of those that follow one another, or of each with the panel's fitted tree (replicate 0)."""
 
@@ -128,22 +123,18 @@ def _fitted_distance(scheme: str) -> Query:
         numbered = durable(t.join(dense_ids(t, "panel", "p"), "panel").select("panel", "replicate", "newick", (F.col("p") * span + F.col("replicate") - (0 if scheme == "corresponding" else 1)).alias("id")))
         splits = newick.splits(numbered, "panel", "id")
         if scheme == "all":
-            out = treedist.all_distances(splits, group="panel").drop("panel")
+            out = treedist.all_distances(splits, "panel").drop("panel")
         else:
             pairs = treedist.pair_ids(numbered, "adjacent") if scheme == "adjacent" else numbered.where("replicate > 0").select((F.col("id") - F.col("replicate")).alias("id1"), F.col("id").alias("id2"))
-            out = treedist.split_distance(splits, pairs.select("id1", "id2")).withColumn("branch_score", F.round("branch_score", 9))
+            out = treedist.split_distance(splits, pairs.select("id1", "id2"))
         of = lambda i: numbered.select(F.col("id").alias(f"id{i}"), *(["panel"] if i == 1 else []), F.col("replicate").alias(f"replicate{i}"))
-        return out.join(of(1), "id1").join(of(2), "id2").drop("id1", "id2")
+        return out.withColumn("branch_score", F.round("branch_score", 9)).join(of(1), "id1").join(of(2), "id2").drop("id1", "id2")
 
     return q
 
 
 def _genome_size(s: SparkSession, d: str) -> DataFrame:
-    r = _reads(s, d)
-    c = counting.count_kmers(r, K).groupBy("sample").agg(F.sum("cnt").alias("kmers"), F.count(F.lit(1)).alias("kinds"))
-    t = counting.read_statistics(r).join(c, "sample")
-    size = formulas.genome_size(F.col("total_bp"), F.col("kmers"), F.col("kinds"), F.col("mean_len"), K)
-    return t.where(F.col("mean_len") >= K).select("sample", F.round(size, 4).alias("genome_size"))
+    return genome_sizes(_reads(s, d), K).withColumn("genome_size", F.round("genome_size", 4))
 
 
 def _tips(s: SparkSession, d: str) -> DataFrame:
@@ -158,20 +149,14 @@ def _totals(s: SparkSession, d: str) -> DataFrame:
     return counting.diversity(_counts(s, d), "panel", "sample")
 
 
-def _copies(s: SparkSession, d: str, most: int | None = COPIES) -> DataFrame:
-    """(panel, sample, copies): how often a k-mer occurs in its genome, by its count as a multiple of the sample's coverage; at most `most`, if given."""
+def _copies(s: SparkSession, d: str) -> DataFrame:
+    """(panel, sample, copies): how often a k-mer occurs in its genome, by its count as a multiple of the sample's coverage."""
     c = _counts(s, d).join(_tips(s, d).select("panel", F.col("spname").alias("sample"), "coverage"), ["panel", "sample"]).where("coverage > 0")
-    n = F.round(F.col("cnt") / F.col("coverage"))
-    return c.select("panel", "sample", F.greatest(F.lit(1), n if most is None else F.least(F.lit(most), n)).cast("int").alias("copies"))
+    return c.select("panel", "sample", tips.copies(F.col("cnt"), F.col("coverage")).alias("copies"))
 
 
 def _bins(s: SparkSession, d: str) -> DataFrame:
-    return _copies(s, d, None).groupBy("panel", "sample", "copies").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _ph(s: SparkSession, d: str) -> DataFrame:
-    q = _copies(s, d).groupBy("panel", "sample").agg(F.count(F.lit(1)).alias("size"), F.array(*[F.avg((F.col("copies") == i).cast("int")) for i in range(1, COPIES + 1)]).alias("q"))
-    return tips.ph_curve(q, F.lit(K), F.col("size"), F.lit(GC), DISTANCE).select("panel", "sample", "size", F.round("ph", 9).alias("ph"))
+    return tips.copy_bins(_copies(s, d), "panel", "sample")
 
 
 def _errors(filtered: bool) -> Query:
@@ -184,12 +169,11 @@ def _trees(s: SparkSession, d: str) -> DataFrame:
 
 def _trimmed(s: SparkSession, d: str) -> DataFrame:
     by = tips.tip_average(_tip_lengths(s, d), _totals(s, d))
-    trim = F.udf(lambda t, x: newick.render(newick.trim_tips(newick.parse(t)[0], x)) if t and x is not None else t)
-    return _trees(s, d).join(by, "panel").select("panel", "tip_ave", trim("newick", "tip_ave").alias("newick"))
+    return newick.trimmed(_trees(s, d).join(by, "panel"), "tip_ave", "panel", "tip_ave")
 
 
 def _patterns(s: SparkSession, d: str) -> DataFrame:
-    return sharing.patterns(_held(s, d).distinct())
+    return sharing.patterns(_held(s, d))
 
 
 def _boot(s: SparkSession, d: str) -> DataFrame:
@@ -219,7 +203,7 @@ def _read_trees(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     schema = "sample string, file string, read_id bigint, name string, comment string, seq string, qual string"
-    return counts_table(stream_counts(stream_reads(s, f"{d}/seq_reads.parquet", schema), K))
+    return counts_table(stream_counts(stream_reads(s, f"{d}/seq_reads.parquet", schema), K, once=True))
 
 
 def queries() -> dict[str, Query]:
@@ -233,12 +217,11 @@ def queries() -> dict[str, Query]:
         "kmer_counts": lambda s, d: counting.count_kmers(r(s, d), K),
         "kmer_counts_wide_k": lambda s, d: counting.count_kmers(r(s, d), 33),
         "kmer_diversity": lambda s, d: counting.diversity(counting.count_kmers(r(s, d), K)),
-        "kmer_filter_n2": lambda s, d: counting.count_kmers(r(s, d), 9, least=2),
+        "kmer_counts_weighted": lambda s, d: counting.count_kmers(_drawn(s, d), K, weight="draws"),
+        "kmer_filter_n2": lambda s, d: counting.count_kmers(_drawn(s, d), K, least=2, weight="draws"),
         "kmer_special_filter": lambda s, d: counting.count_kmers(r(s, d), K, special=True),
         "kmer_special_filter_inverse": lambda s, d: counting.count_kmers(r(s, d), K, special=False),
-        "kmer_complexity": lambda s, d: counting.count_kmers(r(s, d), 9).select("kmer").distinct().withColumn("complexity", complexity("kmer", 9)),
-        "kmer_filter_n2_long": lambda s, d: counting.count_kmers(r(s, d), K, least=2),
-        "kmer_complexity_long": lambda s, d: counting.count_kmers(r(s, d), K).select("kmer").distinct().withColumn("complexity", complexity("kmer", K)),
+        "kmer_complexity": lambda s, d: counting.count_kmers(r(s, d), K).select("kmer").distinct().withColumn("complexity", complexity("kmer", K)),
         "kmer_limit": lambda s, d: counting.count_kmers(r(s, d), K, limit=100),
         "kmer_histogram": lambda s, d: counting.abundance(c(s, d)),
         "kmer_stream": _stream,
@@ -252,32 +235,32 @@ def queries() -> dict[str, Query]:
         # tables of k-mers
         "shared_kmer_table": lambda s, d: sharing.shared_table(c(s, d)),
         "total_kmer_table": lambda s, d: sharing.total_table(c(s, d)),
-        "kmer_matrix_wide": lambda s, d: sharing.wide_matrix(_panels(s, d).withColumn("sp", F.element_at(F.split("sample", r"\."), -1)), SPS),
-        "kmer_presence": lambda s, d: c(s, d).select("panel", "sample", "kmer", (F.col("cnt") >= 2).cast("int").alias("present")),
+        "kmer_matrix_wide": lambda s, d: sharing.wide_matrix(c(s, d).withColumn("sp", F.element_at(F.split("sample", r"\."), -1)), [*SPS, CONTROL]),
+        "kmer_presence": lambda s, d: merging.present(c(s, d), 2).select("panel", "sample", "kmer", "present"),
+        "published_totals": lambda s, d: sharing.published_totals(_t(s, d, "kmer_wc")),
+        "singletons_published": lambda s, d: sharing.singletons_of_totals(c(s, d), sharing.published_totals(_t(s, d, "kmer_wc")), K),
         "singletons": lambda s, d: sharing.singletons(c(s, d), K),
         # merges
-        "merge_all_A": _merged("AAA"),
-        "merge_none_N": _merged("ANN"),
-        "merge_any_O": _merged("OOE"),
-        "merge_two_T": _merged("TTT"),
-        "merge_optional_E": _merged("AEE"),
-        "merge_marks": lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2)], ["panel", "kmer"], "cnt", "EE", default=0, marks=True),
-        "merge_case_insensitive": lambda s, d: merging.merge_tables([_lane(s, d, 1), _lane(s, d, 2)], ["kmer"], "cnt", "AA", "c"),
+        "merge_all_A": _merged("A" * 10),
+        "merge_none_N": _merged("A" + "N" * 9),
+        "merge_any_O": _merged("O" * 9 + "E"),
+        "merge_two_T": _merged("T" * 10),
+        "merge_optional_E": _merged("A" + "E" * 9),
+        "merge_marks": _merged("E" * 10, default=0, marks=True),
+        "merge_case_insensitive": lambda s, d: merging.merge_tables([_lane(s, d, i) for i in (1, 2, 3)], ["kmer"], "cnt", "AAE", "c"),
         "merge_numeric": lambda s, d: merging.merge_tables([_t(s, d, "orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_totalprice").alias("v")), _t(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_quantity").alias("v"))], ["k"], "v", "AA", "n"),
         "merge_enum": lambda s, d: merging.merge_tables([_t(s, d, "orders").where(F.col("o_orderstatus") == x).select("o_custkey", "o_orderpriority", "o_orderkey") for x in "OF"], ["o_custkey", "o_orderpriority"], "o_orderkey", "EE", "ne", order=PRIORITIES),
-        "merge_descending_order": lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2)], ["panel", "kmer"], "cnt", "TT").orderBy(*merging.sort_order(["kmer", "panel"], "Ss")).limit(1000),
-        "merge_descending_order_all": lambda s, d: merging.merge_tables([_input(s, d, i) for i in (1, 2)], ["panel", "kmer"], "cnt", "TT").orderBy(*merging.sort_order(["kmer", "panel"], "Ss")),
+        "merge_descending_order": lambda s, d: _merged("T" * 10)(s, d).orderBy(*merging.sort_order(["kmer", "panel"], "Ss")),
+        "merge_paired_rows": lambda s, d: merging.merge_long(_t(s, d, "lineitem").withColumn("number", F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2)), ["l_suppkey"], "l_extendedprice", "number", "AA", paired=True),
         "merge_one_to_many": lambda s, d: merging.merge_rows(_tips(s, d).select("panel", F.col("spname").alias("sample"), "coverage"), c(s, d), ["panel", "sample"]).groupBy("panel", "sample", "coverage").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt")),
         # pairs and distances
         "pair_shared_counts": lambda s, d: _shares(s, d).where("s1 < s2"),
         "distance_matrix": lambda s, d: round9(_distances(s, d), "d"),
         "fit_weights": lambda s, d: _distances(s, d).select("panel", "s1", "s2", F.round(formulas.fit_weight(F.col("d"), K), 9).alias("w")),
-        "nshare_matrix": lambda s, d: sharing.share_matrix(_shares(s, d), SPS),
-        "published_shares": lambda s, d: _t(s, d, "test_nshare").dropna(subset=["panel", "row_no"]).groupBy("panel", "row_no").agg(*[F.max(x).alias(x) for x in SPS]),
-        "coverage_bins": lambda s, d: _copies(s, d).groupBy("panel", "sample", "copies").agg(F.count(F.lit(1)).alias("n")),
-        "ph_curve": _ph,
-        "coverage_bins_all": _bins,  # without the cap of coverage_bins and ph_curve, which their SQL has
-        "ph_curve_all": lambda s, d: round9(tips.ph_of_groups(_bins(s, d), ["panel", "sample"], K, GC, DISTANCE), "ph"),
+        "nshare_matrix": lambda s, d: sharing.share_matrix(_shares(s, d), [*SPS, CONTROL]),
+        "published_shares": lambda s, d: sharing.published_matrix(_t(s, d, "test_nshare"), SPS, "panel", "row_no"),
+        "coverage_bins": _bins,
+        "ph_curve": lambda s, d: round9(tips.ph_of_groups(_bins(s, d), ["panel", "sample"], K, GC, DISTANCE), "ph"),
         # tips and errors
         "tip_lengths": lambda s, d: round9(_tip_lengths(s, d), "l", "tip", "tip_filtered"),
         "tip_average": lambda s, d: round9(tips.tip_average(_tip_lengths(s, d), _totals(s, d)), "tip_ave"),
@@ -286,11 +269,10 @@ def queries() -> dict[str, Query]:
         # splits
         "splits_frequency": _masks,
         "split_compatibility": _compatibility,
-        "split_compatibility_all": _compatibility_all,
         "consensus_censor": _censored,
         "tree_distance_adjacent": _tree_distance("adjacent"),
         "tree_distance_corresponding": _tree_distance("corresponding"),
-        "tree_distance_all": lambda s, d: treedist.all_distances(_mask_trees(s, d)),
+        "tree_distance_all": lambda s, d: treedist.all_distances(_mask_trees(s, d).withColumn("grp", F.lit("all")), "grp").select("id1", "id2", "rf", F.round("branch_score", 9).alias("branch_score")),
         "fitted_tree_distance_adjacent": _fitted_distance("adjacent"),
         "fitted_tree_distance_corresponding": _fitted_distance("corresponding"),
         "fitted_tree_distance_all": _fitted_distance("all"),
@@ -329,23 +311,24 @@ def queries() -> dict[str, Query]:
 _C = "least(upper(kmer), reverse(translate(upper(kmer), 'ACGT', 'TGCA')))"
 _CNT = f"""u as (select panel, sample, rec_id, {_C} as kmer, max(cnt) as cnt from kmer_t where sample is not null and regexp_full_match(upper(kmer), '[ACGT]{{21}}') group by all),
 c as (select panel, sample, kmer, least(coalesce(sum(cnt), 0), 16383)::bigint as cnt from u group by all)"""
-_READS = "r as (select read_id, sample, min(seq) as seq from seq_reads where sample is not null and read_id is not null group by all)"
+_READS = "r as (select distinct read_id, sample, seq from seq_reads where sample is not null and read_id is not null)"
 
 
-def _kmers(k: int) -> str:
-    return f"""{_READS}, runs as (select sample, unnest(regexp_split_to_array(translate(seq, 'acgt', 'ACGT'), '[^ACGT]+')) as run from r),
-w as (select sample, substr(run, i::int, {k}) as f from (select sample, run, unnest(range(1, length(run) - {k - 2})) as i from runs where length(run) >= {k})),
-t as (select sample, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) as kmer, least(count(*), 16383)::bigint as cnt from w group by all)"""
+def _kmers(k: int, times: str = "1") -> str:
+    return f"""{_READS}, runs as (select sample, {times} as m, unnest(regexp_split_to_array(translate(seq, 'acgt', 'ACGT'), '[^ACGT]+')) as run from r),
+w as (select sample, m, substr(run, i::int, {k}) as f from (select sample, m, run, unnest(range(1, length(run) - {k - 2})) as i from runs where length(run) >= {k})),
+t as (select sample, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) as kmer, least(sum(m), 16383)::bigint as cnt from w group by all)"""
 
 
 _SPECIAL = " and ".join([f"length(kmer) - length(replace(kmer, '{b}', '')) between 2 and {K // 2}" for b in "ACGT"]) + " and not regexp_matches(kmer, 'A{5}|C{5}|G{5}|T{5}')"
-_G = f"{_CNT}, g as (select panel, kmer, " + ", ".join(f"max(cnt) filter (where sample = panel || '.sp{i}') as v{i}" for i in (1, 2, 3)) + " from c group by all)"
-_HAS = "((v1 is not null)::int + (v2 is not null)::int + (v3 is not null)::int)"
-_IN = f"{_CNT}, h as (select * from c where regexp_full_match(sample, panel || '[.][^.]+'))"
+_G = f"{_CNT}, g as (select panel, kmer, " + ", ".join(f"max(cnt) filter (where sample = panel || '.sp{i}') as v{i}" for i in range(1, 11)) + " from c group by all)"
+_HAS = "(" + " + ".join(f"(v{i} is not null)::int" for i in range(1, 11)) + ")"
+_IN = f"{_CNT}, h as (select * from c)"
 _PAIR = f"""{_IN}, n as (select panel, sample, count(*) as n from h group by all),
 p as (select a.panel, a.sample as s1, b.sample as s2, count(*) as nshare from h a join h b on a.panel = b.panel and a.kmer = b.kmer and a.sample < b.sample group by all)"""
 _DIST = f"""{_PAIR}, e as (select p.panel, s1, s2, nshare, x.n as n1, y.n as n2, -ln(nshare::double / least(x.n, y.n)) / {K} as d from p join n x on x.panel = p.panel and x.sample = s1 join n y on y.panel = p.panel and y.sample = s2)"""
-_TIP = "ti as (select panel, spname, min(coverage) as coverage, min(readlength) as readlength, min(errorrate) as errorrate from tip_info where spname is not null and coverage is not null and readlength is not null and errorrate is not null group by all)"
+_TIP = "ti as (select panel, spname, r.coverage as coverage, r.readlength as readlength, r.errorrate as errorrate from (select panel, spname, min({'coverage': coverage, 'readlength': readlength, 'errorrate': errorrate}) as r from tip_info where spname is not null and coverage is not null and readlength is not null and errorrate is not null group by all))"
+_WC = "wc as (select panel, sample, max_by(ntotal, pos)::bigint as ntotal from kmer_wc where panel is not null and sample is not null and ntotal is not null group by all)"
 _L = f"(coverage / readlength * (readlength - {K} + 1))"
 
 
@@ -369,10 +352,9 @@ v as (select *, kept * (both_ + more) as ms, kept * (both_ * (1 - both_) + more)
 select panel, s1, s2, round(d, 9) as d, round(2 * sqrt(ln(1 + vs / (ms * ms)) + ln(1 + vt / (mt * mt))) / {K}, 9) as se from v"""
 
 
-_MASK = f"""{_IN}, b as (select panel, kmer, sum(1 << (split_part(sample, '.sp', 2)::int - 1))::bigint as m from h group by all),
+_MASK = f"""{_IN}, b as (select panel, kmer, sum(1 << (split_part(sample, '.sp', 2)::int - 1))::bigint as m from h where starts_with(sample, panel || '.sp') group by all),
 s as (select panel, case when m & 1 = 1 then 1023 - m else m end as split from b), f as (select panel, split, count(*) as weight from s where bit_count(split) between 2 and 8 group by all)"""
-_TOP = f"{_MASK}, o as (select *, row_number() over (partition by panel order by weight desc, split) as r from f)"
-_MTREE = f"""{_TOP}, t7 as (select panel, split, weight / sum(weight) over (partition by panel) as length from o where r <= 7),
+_MTREE = f"""{_MASK}, t7 as (select panel, split, weight / sum(weight) over (partition by panel) as length from f),
 ids as (select panel, row_number() over (order by panel) - 1 as id from (select distinct panel from t7)), mt as (select id, split, length from t7 join ids using (panel))"""
 _CMP = """x as (select id1, id2, s, max(a) as a, max(b) as b from y group by all)
 select id1, id2, sum((a is null or b is null)::int)::bigint as rf, round(sqrt(sum((coalesce(a, 0) - coalesce(b, 0)) ** 2)), 9) as branch_score from x group by all"""
@@ -400,13 +382,14 @@ def oracle_sql() -> dict[str, str]:
         "kmer_counts": f"with {_kmers(K)} select * from t",
         "kmer_counts_wide_k": f"with {_kmers(33)} select * from t",
         "kmer_diversity": f"with {_kmers(K)} select sample, count(*) as ntotal from t group by all",
-        "kmer_filter_n2": f"with {_kmers(9)} select * from t where cnt >= 2",
+        "kmer_filter_n2": f"with {_kmers(K, 'read_id % 3')} select * from t where cnt >= 2",
+        "kmer_counts_weighted": f"with {_kmers(K, 'read_id % 3')} select * from t",
         "kmer_special_filter": f"with {_kmers(K)} select * from t where {_SPECIAL}",
         "kmer_special_filter_inverse": f"with {_kmers(K)} select * from t where not ({_SPECIAL})",
-        "kmer_complexity": f"with {_kmers(9)}, k as (select distinct kmer from t) select kmer, len(list_distinct(flatten([[substr(kmer, i::int, n::int) for i in range(1, 11 - n)] for n in range(1, 10)])))::int as complexity from k",
+        "kmer_complexity": f"with {_kmers(K)}, k as (select distinct kmer from t) select kmer, len(list_distinct(flatten([[substr(kmer, i::int, n::int) for i in range(1, {K + 2} - n)] for n in range(1, {K + 1})])))::int as complexity from k",
         "kmer_limit": f"with {_kmers(K)} select sample, kmer, cnt from (select *, row_number() over (partition by sample order by kmer) as n from t) where n <= 100",
         "kmer_histogram": f"with {_CNT} select sample, cnt as multiplicity, count(*) as n from c where cnt <= 10000 group by all",
-        "kmer_stream": f"with {_kmers(K)} select * from t".replace(_READS, "r as (select sample, seq from seq_reads where sample is not null)").replace("least(count(*), 16383)::bigint", "count(*)"),
+        "kmer_stream": f"with {_kmers(K)} select * from t",
         "read_stats": f"with {_READS} select sample, count(*) as n_reads, sum(length(seq))::bigint as total_bp, min(length(seq)) as min_len, max(length(seq)) as max_len, (sum(length(seq)) // count(*))::bigint as mean_len, round(sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / nullif(sum(length(replace(seq, 'N', ''))), 0), 9) as gc from r where seq is not null group by sample",
         "gc_content": f"with {_READS} select sample, round(sum(length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / nullif(sum(length(replace(seq, 'N', ''))), 0), 9) as gc from r where seq is not null group by sample",
         "genome_size": f"with {_kmers(K)}, k as (select sample, sum(cnt) as kmers, count(*) as kinds from t group by all), b as (select sample, sum(length(seq)) as bp, sum(length(seq)) // count(*) as ml from r where seq is not null group by sample) select sample, round(bp / (kmers / kinds * ml / (ml - {K} + 1)), 4) as genome_size from b join k using (sample) where ml >= {K}",
@@ -416,27 +399,30 @@ def oracle_sql() -> dict[str, str]:
         "kmer_codes": f"with {_CNT} select distinct kmer, list_sum([(strpos('ACGT', substr(kmer, i::int, 1)) - 1)::bigint << (2 * (21 - i))::int for i in range(1, 22)])::bigint as code, kmer as back from c",
         "shared_kmer_table": f"with {_CNT}, s as (select panel, kmer from c group by all having count(*) >= 2) select panel, sample, kmer, cnt from c semi join s using (panel, kmer)",
         "total_kmer_table": f"with {_CNT} select panel, kmer, count(*) as n_samples, sum(cnt)::bigint as cnt from c group by all",
-        "kmer_matrix_wide": f"with {_IN} select panel, kmer, " + ", ".join(f"coalesce(max(cnt) filter (where sample = panel || '.{x}'), 0) as {x}" for x in SPS) + " from h group by all",
+        "kmer_matrix_wide": f"with {_IN} select panel, kmer, " + ", ".join(f"coalesce(max(cnt) filter (where sample = panel || '.{x}'), 0) as {x}" for x in SPS) + f", coalesce(max(cnt) filter (where sample = '{CONTROL}'), 0) as {CONTROL} from h group by all",
         "kmer_presence": f"with {_CNT} select panel, sample, kmer, (cnt >= 2)::int as present from c",
         "singletons": f"with {_CNT}, k as (select panel, kmer, count(*) as n from c group by all) select panel, sample, (sum((n = 1)::int) // {K})::bigint as n from c join k using (panel, kmer) group by panel, sample",
-        "merge_all_A": f"with {_G} select * from g where {_HAS} = 3",
+        "merge_all_A": f"with {_G} select * from g where {_HAS} = 10",
         "merge_none_N": f"with {_G} select * from g where {_HAS} = 1 and v1 is not null",
-        "merge_any_O": f"with {_G} select * from g where v1 is not null or v2 is not null",
+        "merge_any_O": f"with {_G} select * from g where {_HAS} - (v10 is not null)::int >= 1",
         "merge_two_T": f"with {_G} select * from g where {_HAS} >= 2",
         "merge_optional_E": f"with {_G} select * from g where v1 is not null",
-        "merge_marks": f"with {_G} select panel, kmer, coalesce(v1, 0) as v1, coalesce(v2, 0) as v2, v1 is not null as b1, v2 is not null as b2 from g where v1 is not null or v2 is not null",
-        "merge_case_insensitive": "with k as (select lower(kmer) as kmer, max(cnt) filter (where contains(file, 'lane1')) as v1, max(cnt) filter (where contains(file, 'lane2')) as v2, bool_or(contains(file, 'lane1')) as b1, bool_or(contains(file, 'lane2')) as b2 from kmer_t where sample is not null and kmer is not null group by 1) select kmer, v1, v2 from k where b1 and b2",
+        "merge_marks": f"with {_G} select panel, kmer, " + ", ".join(f"coalesce(v{i}, 0) as v{i}, v{i} is not null as b{i}" for i in range(1, 11)) + f" from g where {_HAS} > 0",
+        "merge_case_insensitive": "with k as (select lower(kmer) as kmer, " + ", ".join(f"max(cnt) filter (where contains(file, 'lane{i}')) as v{i}, bool_or(contains(file, 'lane{i}')) as b{i}" for i in (1, 2, 3)) + " from kmer_t where sample is not null and kmer is not null group by 1) select kmer, v1, v2, v3 from k where b1 and b2",
         "merge_numeric": "select o_orderkey::double as k, max(o_totalprice) as v1, max(l_quantity) as v2 from orders join lineitem on o_orderkey = l_orderkey group by o_orderkey",
         "merge_enum": "select o_custkey::double as o_custkey, nullif(list_position([" + ", ".join(f"'{p}'" for p in PRIORITIES) + "], o_orderpriority), 0)::int as o_orderpriority, max(o_orderkey) filter (where o_orderstatus = 'O') as v1, max(o_orderkey) filter (where o_orderstatus = 'F') as v2 from orders where o_orderstatus in ('O', 'F') group by 1, 2",
-        "merge_descending_order": f"with {_G} select panel, kmer, v1, v2 from g where v1 is not null and v2 is not null order by kmer desc, panel limit 1000",
+        "merge_descending_order": f"with {_G} select * from g where {_HAS} >= 2",
+        "merge_paired_rows": "with r as (select l_suppkey, l_returnflag as f, l_extendedprice as v, row_number() over (partition by l_suppkey, l_returnflag order by l_extendedprice desc) as i from lineitem) select a.l_suppkey, a.v as v1, b.v as v2 from r a join r b on a.l_suppkey = b.l_suppkey and a.i = b.i and a.f = 'A' and b.f = 'R'",
         "merge_one_to_many": f"with {_CNT}, {_TIP} select c.panel, sample, coverage, count(*) as n, sum(cnt)::bigint as cnt from ti join c on ti.panel = c.panel and spname = sample group by all",
         "pair_shared_counts": f"with {_PAIR} select * from p",
         "distance_matrix": f"with {_DIST} select panel, s1, s2, nshare, n1, n2, round(d, 9) as d from e",
         "fit_weights": f"with {_DIST} select panel, s1, s2, round(exp(-{K} * greatest(d, 1e-6)) / (1 - exp(-{K} * greatest(d, 1e-6))), 9) as w from e",
-        "nshare_matrix": f"with {_PAIR}, z as (select panel, s1 as sample, s2 as o, nshare from p union all select panel, s2, s1, nshare from p union all select panel, sample, sample, n from n) select panel, sample, " + ", ".join(f"coalesce(max(nshare) filter (where o = panel || '.{x}'), 0) as {x}" for x in SPS) + " from z group by all",
-        "published_shares": "select panel, row_no, " + ", ".join(f"max({x}) as {x}" for x in SPS) + " from test_nshare where panel is not null and row_no is not null group by all",
-        "coverage_bins": f"with {_CNT}, {_TIP} select c.panel, sample, greatest(1, least({COPIES}, round(cnt / coverage)))::int as copies, count(*) as n from c join ti on ti.panel = c.panel and spname = sample where coverage > 0 group by all",
-        "ph_curve": f"""with {_CNT}, {_TIP}, k as (select c.panel, sample, greatest(1, least({COPIES}, round(cnt / coverage))) as x from c join ti on ti.panel = c.panel and spname = sample where coverage > 0),
+        "nshare_matrix": f"with {_PAIR}, z as (select panel, s1 as sample, s2 as o, nshare from p union all select panel, s2, s1, nshare from p union all select panel, sample, sample, n from n) select panel, sample, " + ", ".join(f"coalesce(max(nshare) filter (where o = panel || '.{x}'), 0) as {x}" for x in SPS) + f", coalesce(max(nshare) filter (where o = '{CONTROL}'), 0) as {CONTROL} from z group by all",
+        "published_shares": "with o as (select *, row_number() over (partition by panel, row_no order by " + " + ".join(f"({x} is null)::int" for x in SPS) + ", " + ", ".join(f"coalesce({x}, -1)" for x in SPS) + ") as r from test_nshare where panel is not null and row_no is not null) select panel, row_no, " + ", ".join(SPS) + " from o where r = 1",
+        "published_totals": f"with {_WC} select * from wc",
+        "singletons_published": f"with {_CNT}, {_WC}, k as (select panel, kmer, count(*) as n from c group by all), x as (select panel, sample, count(*) as m from c join k using (panel, kmer) where n > 1 group by all) select wc.panel, wc.sample, (greatest(ntotal - coalesce(m, 0), 0) // {K})::bigint as n from wc left join x on x.panel = wc.panel and x.sample = wc.sample",
+        "coverage_bins": f"with {_CNT}, {_TIP} select c.panel, sample, greatest(1, round(cnt / coverage))::bigint as copies, count(*) as n from c join ti on ti.panel = c.panel and spname = sample where coverage > 0 group by all",
+        "ph_curve": f"""with {_CNT}, {_TIP}, k as (select c.panel, sample, greatest(1, round(cnt / coverage)) as x from c join ti on ti.panel = c.panel and spname = sample where coverage > 0),
 z as (select panel, sample, count(*) as size, exp(-{K} * {DISTANCE}) as e, 2 * pow(0.5 - {GC} + {GC} * {GC}, {K}) as same from k group by all),
 y as (select z.panel, z.sample, any_value(size) as size, any_value(e) as e, 1 - avg(pow(1 - e, x)) as ph1, any_value((1 - e) * (1 - pow(1 - same, size - {K} + 1))) as ph2, any_value(0.5 * e) * avg(pow(1 - pow(1 - same, size - {K} + 1), x)) as ph3 from k join z using (panel, sample) group by all)
 select panel, sample, size, round(ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2) * ph3, 9) as ph from y""",
@@ -445,10 +431,10 @@ select panel, sample, size, round(ph1 + (1 - ph1) * ph2 + (1 - ph1) * (1 - ph2)
         "parametric_se": _se(False),
         "parametric_se_filtered": _se(True),
         "splits_frequency": f"with {_MASK} select * from f",
-        "split_compatibility": f"with {_TOP} select x.panel, x.split as a, y.split as b, (x.split & y.split) in (0, x.split, y.split) or (x.split | y.split) = 1023 as ok from o x join o y on x.panel = y.panel and x.split < y.split where x.r <= 12 and y.r <= 12",
+        "split_compatibility": f"with {_MASK} select x.panel, x.split as a, y.split as b, (x.split & y.split) in (0, x.split, y.split) or (x.split | y.split) = 1023 as ok from f x join f y on x.panel = y.panel and x.split < y.split",
         "consensus_censor": f"with {_MASK}, n as (select *, sum(weight) over (partition by panel)::bigint as trees from f) select panel, split, weight, trees, weight * 2 > trees as mr, weight > trees * 0.05::double as ml, weight = trees as strict from n",
         "tree_distance_adjacent": f"with {_MTREE}, pr as (select a.id as id1, b.id as id2 from (select distinct id from mt) a join (select distinct id from mt) b on b.id = a.id + 1 and a.id % 2 = 0), y as (select id1, id2, split as s, length as a, null::double as b from pr join mt on id = id1 union all select id1, id2, split, null, length from pr join mt on id = id2), {_CMP}",
-        "tree_distance_all": f"with {_MTREE}, n as (select id, count(*) as n from mt group by id), z as (select a.id as id1, b.id as id2, count(*) as n from mt a join mt b on a.split = b.split and a.id < b.id group by all) select id1, id2, x.n + y.n - 2 * z.n as rf from z join n x on x.id = id1 join n y on y.id = id2",
-        "tree_distance_corresponding": f"with {_MTREE}, y as (select id * 2 as id1, id * 2 + 1 as id2, split as s, length as a, null::double as b from mt union all select id * 2, id * 2 + 1, split, null, length from mt where length >= 0.1), {_CMP}",
+        "tree_distance_all": f"with {_MTREE}, i as (select distinct id from mt), pr as (select a.id as id1, b.id as id2 from i a join i b on a.id < b.id), y as (select id1, id2, split as s, length as a, null::double as b from pr join mt on id = id1 union all select id1, id2, split, null, length from pr join mt on id = id2), {_CMP}",
+        "tree_distance_corresponding": f"with {_MTREE}, y as (select id * 2 as id1, id * 2 + 1 as id2, split as s, length as a, null::double as b from mt union all select id * 2, id * 2 + 1, split, null, length from mt where length >= 0.01), {_CMP}",
     }
     return out

@@ -9,7 +9,7 @@ from strandweave.plans import registry
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
-NAMES = ["kmer_counts", "distance_matrix", "merge_two_T", "tip_lengths", "parametric_se", "splits_frequency", "tree_distance_adjacent", "p6_found", "p6_loaded", "singletons"]
+NAMES = ["kmer_counts", "distance_matrix", "merge_two_T", "tip_lengths", "parametric_se", "splits_frequency", "tree_distance_adjacent", "p6_found", "p6_loaded", "singletons", "kmer_counts_weighted", "kmer_filter_n2", "merge_marks", "merge_paired_rows", "merge_case_insensitive", "published_shares", "singletons_published", "coverage_bins", "ph_curve", "split_compatibility", "tree_distance_all", "nshare_matrix"]
 
 
 def cells(rows, order):
@@ -48,10 +48,10 @@ def test_copies_have_no_cap(spark):
     for r in registry._counts(spark, D).collect():
         if c := coverage.get((r.panel, r["sample"])):
             held[r.panel, r["sample"]][max(1, int(r.cnt / c + 0.5))] += 1
-    got = {(r.panel, r["sample"], r.copies): r.n for r in registry.queries()["coverage_bins_all"](spark, D).collect()}
+    got = {(r.panel, r["sample"], r.copies): r.n for r in registry.queries()["coverage_bins"](spark, D).collect()}
     assert got == {(*key, x): n for key, h in held.items() for x, n in h.items()}
     assert max(x for _, _, x in got) > 1000
-    ph = {(r.panel, r["sample"]): (r.size, r.ph) for r in registry.queries()["ph_curve_all"](spark, D).collect()}
+    ph = {(r.panel, r["sample"]): (r.size, r.ph) for r in registry.queries()["ph_curve"](spark, D).collect()}
     assert ph.keys() == held.keys()
     for key, h in held.items():
         size, e = sum(h.values()), 2.718281828459045**-2.1
@@ -63,16 +63,18 @@ def test_copies_have_no_cap(spark):
 
 
 def test_no_merged_row_and_no_split_is_left_out(spark):
-    a, b = ({(r.panel, r.kmer): r.cnt for r in registry._input(spark, D, i).collect()} for i in (1, 2))
-    rows = registry.queries()["merge_descending_order_all"](spark, D).collect()
-    want = sorted(a.keys() & b.keys(), key=lambda x: (x[1], x[0]))
-    assert sorted(((r.panel, r.kmer) for r in rows), key=lambda x: (x[1], x[0])) == want
+    held = {}
+    for r in registry._counts(spark, D).collect():
+        if ".sp" in r["sample"]:
+            held.setdefault((r.kmer, r.panel), set()).add(r["sample"])
+    rows = registry.queries()["merge_descending_order"](spark, D).collect()
+    assert sorted((r.kmer, r.panel) for r in rows) == sorted(k for k, who in held.items() if len(who) > 1)
     kmers = [r.kmer for r in rows]
     assert kmers == sorted(kmers, reverse=True)
     by = {}
     for r in registry._masks(spark, D).collect():
         by.setdefault(r.panel, []).append(r.split)
-    got = {(r.panel, r.a, r.b): r.ok for r in registry.queries()["split_compatibility_all"](spark, D).collect()}
+    got = {(r.panel, r.a, r.b): r.ok for r in registry.queries()["split_compatibility"](spark, D).collect()}
     assert max(map(len, by.values())) > 12
     assert got == {(p, x, y): x & y in (0, x, y) or x | y == 1023 for p, m in by.items() for x in m for y in m if x < y}
 
@@ -83,7 +85,7 @@ def test_distances_of_fitted_trees(spark):
     q = registry.queries()
     tables = {(r.panel, r.replicate): split_table(parse(r.newick)[0]) for r in q["table_bootstrap"](spark, D).collect()}
     tables |= {(r.panel, 0): split_table(parse(r.newick)[0]) for r in q["tree_fit"](spark, D).collect()}
-    panels = {p for p, _ in tables}
+    panels = {p for (p, _), t in tables.items() if t}  # the control is a tree of one tip, without a branch
     n = registry.REPLICATES
     pairs = {"adjacent": [(i, i + 1) for i in range(1, n, 2)], "corresponding": [(0, i) for i in range(1, n + 1)], "all": [(i, j) for i in range(1, n + 1) for j in range(i + 1, n + 1)]}
     for scheme, want in pairs.items():
@@ -92,15 +94,17 @@ def test_distances_of_fitted_trees(spark):
         for (p, i, j), r in got.items():
             x, y = tables[p, i], tables[p, j]
             assert r.rf == len(x.keys() ^ y.keys())
-            if scheme != "all":
-                assert abs(r.branch_score - sum((x.get(k, 0) - y.get(k, 0)) ** 2 for k in x.keys() | y.keys()) ** 0.5) < 1e-8
+            assert abs(r.branch_score - sum((x.get(k, 0) - y.get(k, 0)) ** 2 for k in x.keys() | y.keys()) ** 0.5) < 1e-8
 
 
-def test_long_kmers(spark):
-    q = registry.queries()
-    counts = {(r["sample"], r.kmer): r.cnt for r in q["kmer_counts"](spark, D).collect()}
-    assert {(r["sample"], r.kmer): r.cnt for r in q["kmer_filter_n2_long"](spark, D).collect()} == {k: n for k, n in counts.items() if n >= 2}
-    got = {r.kmer: r.complexity for r in q["kmer_complexity_long"](spark, D).collect()}
-    assert got.keys() == {k for _, k in counts}
+def test_complexity(spark):
+    got = {r.kmer: r.complexity for r in registry.queries()["kmer_complexity"](spark, D).collect()}
     some = sorted(got)[:: max(1, len(got) // 200)]
     assert all(got[k] == len({k[i:j] for i in range(21) for j in range(i + 1, 22)}) for k in some)
+
+
+def test_no_sample_is_left_out(spark):
+    control = registry.CONTROL
+    wide = registry.queries()["kmer_matrix_wide"](spark, D)
+    assert wide.where(f"{control} > 0").count() == registry._counts(spark, D).where(f"sample = '{control}' and cnt > 0").count() > 0
+    assert [r[control] for r in registry.queries()["nshare_matrix"](spark, D).where(f"sample = '{control}'").collect()] == [registry._counts(spark, D).where(f"sample = '{control}'").count()]
