@@ -1,7 +1,8 @@
 """Rows that fail to parse: strict load plus anti-join.
 
 Every raw record keeps its offset (its id). A strict load takes only records that conform in every respect; what it took is subtracted from the raw
-offsets by an anti-join, and only the remainder is diagnosed. A record is therefore either loaded or rejected with one reason, never both or neither.
+offsets by an anti-join, and only the remainder is diagnosed. A record is therefore either loaded or rejected with one reason, never both or neither. Records of
+one offset whose texts differ are records by themselves: those that conform are loaded, and the offset is reported if one of them doesn't.
 
 A record is fields with commas between them. A field is free of commas and double quotes, or wholly within double quotes with every inner quote
 doubled; it may hold line breaks. All patterns are possessive, so they neither back-track nor recurse on long or hostile records.
@@ -97,8 +98,9 @@ def diagnose(remainder: DataFrame) -> DataFrame:
 
 def _first_reason(rows: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """One reason an offset: where copies of an offset differ, the first of the order."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("reason"))
-    return rows.groupBy("offset").agg(F.min_by("reason", rank).alias("reason"))
+    reasons = F.array(*map(F.lit, order))
+    first = rows.groupBy("offset").agg(F.min(F.array_position(reasons, F.col("reason")).cast("int")).alias("_first"))  # a number, so that rows are combined by hash
+    return first.select("offset", F.element_at(reasons, F.col("_first")).alias("reason"))
 
 
 REASONS = ("quoting", "columns", "read_id", "name", "seq", "qual")
