@@ -1,11 +1,13 @@
 """Bootstraps: reads, table rows and parametric; replicates run in parallel.
 
 A table's rows matter only through the set of samples that hold them, so resampling rows with replacement is a multinomial draw over the numbers of rows
-of each presence pattern: a replicate costs as much as there are patterns, whatever the number of k-mers.
+of each presence pattern: a replicate costs as much as there are patterns, whatever the number of k-mers. The draw is made over blocks of patterns first and within
+each block then, so that no task ever has all patterns of a wide panel.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import replace
 from itertools import combinations
 
@@ -18,11 +20,15 @@ from strandweave.functions.dense import row_numbers
 from strandweave.functions.formulas import distance, distance_error
 from strandweave.operators.counting import count_kmers
 from strandweave.operators.newick import parse, split_table
-from strandweave.operators.sharing import distances_of, pattern_shares, patterns
+from strandweave.operators.sharing import _product, distances_of, pattern_shares, patterns
 from strandweave.operators.treefit import Options, fit_tree, fit_trees
 from strandweave.plans.durable import durable, spread
 
 
+#: Patterns of a panel that a task draws from and multiplies together, about.
+BLOCK = 4096
+
+
 def uniform(seed: int, *key: Column) -> Column:
     """A number in [0, 1) that depends on the seed and key only, not on partitions."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) * F.lit(2.0**-53)
@@ -90,18 +96,78 @@ def read_bootstrap_trees(reads: DataFrame, replicates: int, seed: int, k: int, t
     return first.unionByName(_named(second, "resampled"))
 
 
-def pattern_weights(patterns: DataFrame, replicates: int, seed: int, k: int | None = None, group: str = "panel") -> DataFrame:
-    """(panel, replicate, pattern, n): rows of a shared or total table drawn with replacement, as many as it has, or rows / k if k is given."""
+def _blocks(patterns: DataFrame) -> DataFrame:
+    """(panel, pattern, n, block): the patterns in blocks of some BLOCK a panel, by their hash; computed once."""
+    t = durable(patterns.where("panel is not null and n > 0").select("panel", "pattern", "n"))
+    most = t.groupBy("panel").count().agg(F.max("count")).first()[0] or 0
+    return t.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(max(1, -(-most // BLOCK)))).cast("int"))
+
+
+def _drawn(blocks: DataFrame, replicates: int, seed: int, k: int | None) -> DataFrame:
+    """(panel, replicate, block, pattern, n, _m): blocks with the number of rows that each replicate draws from each block, a multinomial draw over the blocks' totals."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("block")
+        n = p["_n"].to_numpy(np.int64)
+        rng = np.random.default_rng([seed, int(p.replicate.iloc[0]), hash_of(p.panel.iloc[0])])
+        return p.assign(_m=rng.multinomial(int(n.sum()) // (k or 1), n / n.sum()))[["panel", "replicate", "block", "_m"]]
+
+    reps = blocks.groupBy("panel", "block").agg(F.sum("n").alias("_n")).withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws = reps.groupBy("panel", "replicate").applyInPandas(run, "panel string, replicate int, block int, _m bigint").where("_m > 0")
+    return spread(blocks.join(draws, ["panel", "block"]), "panel", "replicate", "block")
+
+
+def _within(p: pd.DataFrame, seed: int) -> pd.DataFrame:
+    """A block's patterns with the times each is drawn: a multinomial draw within the block, so that with the draw over blocks it is one over all."""
+    p = p.sort_values("pattern", key=lambda c: c.map(lambda x: "\x00".join(x)))
+    n = p.n.to_numpy(np.int64)
+    rng = np.random.default_rng([seed, int(p.replicate.iloc[0]), hash_of(p.panel.iloc[0]), int(p.block.iloc[0])])
+    p = p.assign(n=rng.multinomial(int(p["_m"].iloc[0]), n / n.sum()))
+    return p[p.n > 0]
+
+
+def pattern_weights(patterns: DataFrame, replicates: int, seed: int, k: int | None = None) -> DataFrame:
+    """(panel, replicate, pattern, n): rows of a shared or total table drawn with replacement, as many as it has, or rows / k if k is given.
+
+    No task has more than a block of a panel's patterns. Rows with a null panel are left out."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pattern", key=lambda c: c.map(lambda x: "\x00".join(x)))
-        n = p.n.to_numpy(np.int64)
-        rng = np.random.default_rng([seed, int(p.replicate.iloc[0]), abs(hash_of(p[group].iloc[0]))])
-        p = p.assign(n=rng.multinomial(int(n.sum()) // (k or 1), n / n.sum()))
-        return p[p.n > 0][[group, "replicate", "pattern", "n"]]
+        return _within(p, seed)[["panel", "replicate", "pattern", "n"]]
+
+    return _drawn(_blocks(patterns), replicates, seed, k).groupBy("panel", "replicate", "block").applyInPandas(run, "panel string, replicate int, pattern array<string>, n bigint")
+
 
-    reps = patterns.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return spread(reps, group, "replicate").groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, pattern array<string>, n bigint")
+def resampled_shares(patterns: DataFrame, replicates: int, seed: int, k: int, thin: bool = True, poisson: bool = True, totals: DataFrame | None = None) -> DataFrame:
+    """(panel, replicate, s1, s2, nshare): pair_shares() of resampled tables; see bootstrap_trees()."""
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = _within(p, seed)
+        names = sorted({s for x in p.pattern for s in x})
+        place = {s: i for i, s in enumerate(names)}
+        row = np.repeat(np.arange(len(p)), p.pattern.map(len).to_numpy(np.int64))
+        col = np.array([place[s] for x in p.pattern for s in x], np.int64)
+        i, j, cells = _product(row, col, p.n.to_numpy(np.int64), len(names))
+        who = np.array(names, object)
+        return pd.DataFrame({"panel": p.panel.iloc[0] if len(p) else None, "replicate": p.replicate.iloc[0] if len(p) else 0, "s1": who[i], "s2": who[j], "nshare": cells}, columns=["panel", "replicate", "s1", "s2", "nshare"])
+
+    def alone(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            n = [int(np.random.default_rng([seed, r, hash_of(g), hash_of(s)]).poisson(m)) if m else 0 for g, r, s, m in zip(p.panel, p.replicate, p["sample"], p["mean"], strict=True)]
+            yield pd.DataFrame({"panel": p.panel, "replicate": p.replicate, "s1": p["sample"], "s2": p["sample"], "nshare": np.array(n, np.int64)})
+
+    schema = "panel string, replicate int, s1 string, s2 string, nshare bigint"
+    blocks = _blocks(patterns)
+    drawn = _drawn(blocks.where(F.size("pattern") > 1) if poisson else blocks, replicates, seed, k if thin else None)
+    cells = drawn.groupBy("panel", "replicate", "block").applyInPandas(run, schema)
+    held = blocks.select("panel", "n", F.size("pattern").alias("_held"), F.explode("pattern").alias("sample"))
+    single = F.sum(F.when(F.col("_held") == 1, F.col("n")).otherwise(0))
+    own = held.groupBy("panel", "sample").agg(single.alias("_single"), (F.sum("n") - single).alias("_shared"))
+    if totals is not None:
+        own = own.join(totals.select("panel", "sample", "ntotal"), ["panel", "sample"], "left").withColumn("_single", F.greatest(F.coalesce(F.col("ntotal") - F.col("_shared"), F.col("_single")), F.lit(0)))
+    mean = F.col("_single") / (k if thin else 1) if poisson else F.lit(0.0)
+    reps = own.select("panel", "sample", mean.cast("double").alias("mean"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    every = cells.unionByName(reps.mapInPandas(alone, schema))  # the samples' own rows also keep those that a replicate drew nothing of
+    return every.groupBy("panel", "replicate", "s1", "s2").agg(F.sum("nshare").alias("nshare"))
 
 
 def hash_of(text: str | None) -> int:
@@ -112,40 +178,13 @@ def hash_of(text: str | None) -> int:
     return h
 
 
-def _distances(p: pd.DataFrame, k: int, single: np.ndarray | None = None) -> tuple[list[str], np.ndarray]:
-    names = sorted({s for x in p.pattern for s in x})
-    place = {s: i for i, s in enumerate(names)}
-    x = np.zeros((len(p), len(names)))
-    for r, held in enumerate(p.pattern):
-        x[r, [place[s] for s in held]] = 1
-    g = x.T @ (x * p.n.to_numpy(float)[:, None])
-    total = np.diag(g) + (0 if single is None else single)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        d = np.where(g > 0, -np.log(g / np.minimum.outer(total, total)) / k, 1.0)
-    np.fill_diagonal(d, 0)
-    return names, np.maximum(d, 0)
-
-
-def bootstrap_trees(patterns: DataFrame, replicates: int, seed: int, k: int, thin: bool = True, poisson: bool = True, options: Options | None = None, group: str = "panel") -> DataFrame:
+def bootstrap_trees(patterns: DataFrame, replicates: int, seed: int, k: int, thin: bool = True, poisson: bool = True, options: Options | None = None, totals: DataFrame | None = None) -> DataFrame:
     """(panel, replicate, newick): trees of resampled tables. thin draws rows / k; poisson adds Poisson(single / k) to each sample's total for the k-mers that only it holds,
-    which are left out of the resampling."""
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("pattern", key=lambda c: c.map(lambda x: "\x00".join(x)))
-        names = sorted({s for x in p.pattern for s in x})
-        rng = np.random.default_rng([seed, int(p.replicate.iloc[0]), hash_of(p[group].iloc[0])])
-        alone = {x[0]: int(n) for x, n in zip(p.pattern, p.n, strict=True) if len(x) == 1}
-        rows = p[p.pattern.map(len) > 1] if poisson else p
-        n = rows.n.to_numpy(np.int64)
-        if n.sum():
-            rows = rows.assign(n=rng.multinomial(int(n.sum()) // (k if thin else 1), n / n.sum()))
-        rows = pd.concat([rows[["pattern", "n"]], pd.DataFrame({"pattern": [[x] for x in names], "n": 0})])
-        extra = rng.poisson([alone.get(x, 0) / (k if thin else 1) for x in names]) if poisson else None
-        names, d = _distances(rows, k, extra)
-        return pd.DataFrame([(p[group].iloc[0], p.replicate.iloc[0], fit_tree(names, d, k, options)[0])], columns=[group, "replicate", "newick"])
-
-    reps = patterns.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return spread(reps, group, "replicate").groupBy(group, "replicate").applyInPandas(run, f"{group} string, replicate int, newick string")
+    which are left out of the resampling. totals: published totals (panel, sample, ntotal), by which single is what a total has beyond the shared k-mers, and not what the table has;
+    samples without one keep the table's. Patterns are drawn and multiplied in blocks; only a replicate's matrix of samples meets in one task. A panel of one sample has no tree."""
+    shares = resampled_shares(patterns, replicates, seed, k, thin, poisson, totals)
+    each = shares.select(F.to_json(F.struct("panel", "replicate")).alias("panel"), "s1", "s2", "nshare")
+    return _named(fit_trees(distances_of(each, k), "panel", k, options))
 
 
 def pair_errors(pairs: DataFrame, tips: DataFrame, k: int, filtered: bool = False) -> DataFrame:

@@ -44,13 +44,22 @@ def split_support(trees: DataFrame, group: str) -> DataFrame:
     return s.groupBy(group, "split").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n_trees"), F.avg("length").alias("length"))
 
 
-def choose(table: list[tuple[tuple[str, ...], float]], everyone: int | None) -> list[tuple[tuple[str, ...], float]]:
-    """Splits by falling support, ties by their tips, that are compatible with all chosen before."""
-    kept: list[tuple[tuple[str, ...], float]] = []
-    for s, w in sorted(table, key=lambda x: (-x[1], x[0])):
-        if all(compatible(set(s), set(t), everyone) for t, _ in kept):
-            kept.append((s, w))
-    return kept
+def compatible_splits(a: Column, b: Column, tips: Column) -> Column:
+    """compatible() of splits as arrays of tips, of `tips` tips in all; of rooted trees with a null number of tips."""
+    both = F.size(F.array_intersect(a, b))
+    return (both == 0) | (both == F.size(a)) | (both == F.size(b)) | F.coalesce(F.size(a) + F.size(b) - both == tips, F.lit(False))
+
+
+def chosen_splits(support: DataFrame, group: str) -> DataFrame:
+    """(group, split, weight) of a table (group, split, weight, tips): splits by falling support, ties by their tips, that are compatible with all chosen before.
+
+    A group's splits, which are at most its trees times their branches, meet in one row; they are walked there by an expression. A null number of tips is for rooted trees."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), F.col("split").alias("s"))))
+    rows = support.groupBy(group).agg(order.alias("_order"), F.first("tips").alias("_tips"))
+    fits = lambda kept, x: F.forall(kept, lambda y: compatible_splits(y["s"], x["s"], F.col("_tips")))
+    none = F.array().cast("array<struct<w:double,s:array<string>>>")
+    kept = F.aggregate("_order", none, lambda kept, x: F.when(fits(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return rows.select(group, F.explode(kept).alias("_k")).select(group, F.col("_k.s").alias("split"), (-F.col("_k.w")).alias("weight"))
 
 
 def assemble(table: dict[tuple[str, ...], float], names: list[str]) -> Node:
@@ -81,14 +90,15 @@ def consensus_trees(trees: DataFrame, group: str, method: str = "mre", fraction:
     tips = splits(trees, group).where(F.size("split") == 1).groupBy(group).agg(F.collect_set(F.col("split")[0]).alias("_tips"))
     n = trees.where("newick is not null").groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("newick").alias("_one"))
     support = split_support(trees, group).join(n, group).where(censored(F.col("weight"), F.col("_n"), method, fraction))
-    rows = n.join(tips, group).select(group, "_n", "_one", F.lit(None).cast("array<string>").alias("split"), F.lit(0.0).alias("weight")).unionByName(support.select(group, "_n", "_one", "split", "weight"))
+    everyone = F.lit(None).cast("int") if rooted else F.size("_tips") + 1  # the first tip's own split is that of all others
+    chosen = chosen_splits(support.join(tips, group).select(group, "split", "weight", everyone.alias("tips")), group)
+    rows = n.join(tips, group).select(group, "_n", "_one", F.lit(None).cast("array<string>").alias("split"), F.lit(0.0).alias("weight")).unionByName(chosen.join(n, group).select(group, "_n", "_one", "split", "weight"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         from strandweave.operators.newick import parse
 
         count, names = int(p["_n"].iloc[0]), sorted(parse(p["_one"].iloc[0])[0].tips())
-        found = [(tuple(s), float(w)) for s, w in zip(p.split, p.weight, strict=True) if s is not None]
-        kept = dict(choose(found, None if rooted else len(names)))
+        kept = {tuple(s): float(w) for s, w in zip(p.split, p.weight, strict=True) if s is not None}
         root = assemble(kept | {(x,): float(count) for x in names}, names)
         return pd.DataFrame([(p[group].iloc[0], render(root, 2), count)], columns=[group, "newick", "n_trees"])
 

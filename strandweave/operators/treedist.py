@@ -1,10 +1,12 @@
-"""Distances between trees as joins of their splits."""
+"""Distances between trees, paths within them and the quality of their fit, as joins of their splits."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandweave.functions.formulas import LEAST_DISTANCE, fit_weight
+
 
 def pair_ids(ids: DataFrame, scheme: str, others: DataFrame | None = None) -> DataFrame:
     """(id1, id2) of trees numbered from 0 in `id`: adjacent (0,1), (2,3), …; corresponding: equal ids of two tables. A lone last tree has no pair."""
@@ -36,5 +38,23 @@ def all_distances(splits: DataFrame, group: str, key: str = "id", split: str = "
     return split_distance(splits, pairs.select("id1", "id2"), key, split, length).join(pairs, ["id1", "id2"]).select(group, "id1", "id2", "rf", "branch_score")
 
 
+def path_lengths(splits: DataFrame, pairs: DataFrame, group: str = "panel") -> DataFrame:
+    """(group, s1, s2, path) for pairs (group, s1, s2) of tips: the summed lengths of those splits (group, split, length) of the group's tree that have one of both on either side.
+
+    A pair that no split parts, as in a tree without branches, has path 0; pairs of groups without a tree have no row."""
+    apart = F.array_contains("split", F.col("s1")) != F.array_contains("split", F.col("s2"))
+    return pairs.select(group, "s1", "s2").join(splits.select(group, "split", "length"), group).groupBy(group, "s1", "s2").agg(F.sum(F.when(apart, F.col("length")).otherwise(0.0)).alias("path"))
+
+
+def fit_report(splits: DataFrame, distances: DataFrame, k: int, group: str = "panel") -> DataFrame:
+    """(group, n_samples, ss, percent_sd) of a group's tree (group, split, length) and its distances (group, s1, s2, d), each pair once: the weighted sum of squares over ordered pairs and the average percent
+    standard deviation, 0 of two samples."""
+    d = F.greatest(F.col("d"), F.lit(LEAST_DISTANCE))
+    j = distances.select(group, "s1", "s2", "d").join(path_lengths(splits, distances, group), [group, "s1", "s2"])
+    g = j.groupBy(group).agg((2 * F.sum(fit_weight(F.col("d"), k) * _square(d - F.col("path")))).alias("ss"), (2 * F.count(F.lit(1))).alias("_ordered"))
+    n = F.round((1 + F.sqrt(1 + 4 * F.col("_ordered"))) / 2).cast("bigint")  # n (n - 1) ordered pairs
+    return g.select(group, n.alias("n_samples"), "ss", F.when(F.col("_ordered") > 2, 100 * F.sqrt(F.col("ss") / (F.col("_ordered") - 2))).otherwise(0.0).alias("percent_sd"))
+
+
 def _square(x: Column) -> Column:
     return x * x

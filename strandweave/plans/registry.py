@@ -285,11 +285,14 @@ def queries() -> dict[str, Query]:
         "tree_rerooted": lambda s, d: newick.rerooted(_trees(s, d).withColumn("tip", F.concat("panel", F.lit(".sp5"))), "tip", "panel"),
         "tree_edges": lambda s, d: newick.edges(_trees(s, d), "panel"),
         "tree_splits": lambda s, d: newick.splits(_trees(s, d), "panel"),
+        "tree_paths": lambda s, d: round9(treedist.path_lengths(newick.splits(_trees(s, d), "panel"), _distances(s, d)), "path"),
+        "tree_fit_report": lambda s, d: round9(treedist.fit_report(newick.splits(_trees(s, d), "panel"), _distances(s, d), K), "ss", "percent_sd"),
         "tip_trim": _trimmed,
         "tree_tip_problems": lambda s, d: newick.tip_problems(_boot(s, d), "panel", "replicate"),
         "consensus_listing": lambda s, d: consensus.split_listing(_boot(s, d), "panel"),
         "table_bootstrap": _boot,
         "table_bootstrap_full": lambda s, d: bootstrap.bootstrap_trees(_patterns(s, d), REPLICATES, SEED, K, thin=False, poisson=False),
+        "table_bootstrap_published": lambda s, d: bootstrap.bootstrap_trees(_patterns(s, d), REPLICATES, SEED, K, totals=sharing.published_totals(_t(s, d, "kmer_wc"))),
         "bootstrap_table_weights": lambda s, d: bootstrap.pattern_weights(_patterns(s, d), REPLICATES, SEED),
         "consensus_tree": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel"),
         "consensus_majority": lambda s, d: consensus.consensus_trees(_boot(s, d), "panel", "mr"),

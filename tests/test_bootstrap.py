@@ -46,6 +46,31 @@ def test_table_bootstrap(spark):
     assert B.bootstrap_trees(p.limit(0), 4, 1, 21).count() == 0
 
 
+def test_draws_over_blocks_are_those_over_all_patterns(spark, monkeypatch):
+    p = spark.createDataFrame([*PATTERNS, (None, ["a"], 5)], "panel string, pattern array<string>, n bigint")
+    for size in (1, 2, 4096):
+        monkeypatch.setattr(B, "BLOCK", size)
+        w = B.pattern_weights(p, 300, 2).groupBy("pattern").agg((F.sum("n") / 300).alias("m")).collect()
+        for r in w:
+            n = next(n for _, x, n in PATTERNS if x == r.pattern)
+            assert abs(r.m - n) < 5 * (n / 300) ** 0.5
+        shares = B.resampled_shares(p, 200, 3, 21, thin=False)
+        assert {r.s for r in shares.groupBy("replicate").agg(F.sum(F.when(F.col("s1") != F.col("s2"), 0).otherwise(1)).alias("s")).collect()} == {4}
+        mean = {(r.s1, r.s2): r.m for r in shares.groupBy("s1", "s2").agg((F.sum("nshare") / 200).alias("m")).collect()}
+        want = {("a", "b"): 450, ("b", "c"): 350, ("c", "d"): 150, ("a", "a"): 550, ("d", "d"): 200}
+        assert all(abs(mean[k] - n) < 5 * (n / 200) ** 0.5 for k, n in want.items())
+
+
+def test_published_totals_give_the_singletons(spark):
+    p = spark.createDataFrame(PATTERNS, "panel string, pattern array<string>, n bigint")
+    totals = spark.createDataFrame([("p", "a", 450 + 4000), ("p", "b", 10), ("q", "z", 1)], "panel string, sample string, ntotal bigint")
+    own = B.resampled_shares(p, 100, 3, 21, thin=False, totals=totals).where("s1 = s2").groupBy("s1").agg((F.sum("nshare") / 100).alias("m"))
+    mean = {r.s1: r.m for r in own.collect()}
+    assert abs(mean["a"] - 4450) < 60
+    assert abs(mean["b"] - 650) < 15
+    assert abs(mean["d"] - 200) < 10
+
+
 def test_parametric(spark):
     e = spark.createDataFrame([("p", "a", f"b{i}", 0.5, 1000, 0.01) for i in range(300)], "panel string, s1 string, s2 string, d double, n bigint, se double")
     r = B.parametric_distances(e, 10, 3).agg(F.avg("d").alias("m"), F.stddev("d").alias("s"), F.count("*").alias("n")).first()

@@ -1,5 +1,7 @@
 """Formulas, Newick text, fits, consensus and distances of trees."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +204,36 @@ def test_user_trees_and_outgroups(spark):
         assert N.split_table(root) == want
         assert sorted(root.tips()) == list(names)
     assert N.rerooted(trees.limit(0), "tip", "id").count() == 0
+
+
+def test_paths_and_reports_are_those_of_the_fit(spark):
+    from strandweave.operators.bootstrap import cophenetic
+
+    rnd = random.Random(6)
+    names = [f"s{i}" for i in range(7)]
+    rows = [(g, a, b, 0.05 + rnd.random() / 10) for g in "pq" for i, a in enumerate(names) for b in names[i + 1 :]] + [("two", "a", "b", 0.2)]
+    d = spark.createDataFrame(rows, "panel string, s1 string, s2 string, d double")
+    trees = T.fit_trees(d, "panel", 21, T.Options(decimals=15))
+    fits = {r.panel: r for r in trees.collect()}
+    splits = N.splits(trees, "panel")
+    for r in treedist.path_lengths(splits, d).collect():
+        who = ["a", "b"] if r.panel == "two" else names
+        assert abs(r.path - cophenetic(fits[r.panel].newick, who)[who.index(r.s1), who.index(r.s2)]) < 1e-12
+    report = {r.panel: r for r in treedist.fit_report(splits, d, 21).collect()}
+    assert {p: r.n_samples for p, r in report.items()} == {"p": 7, "q": 7, "two": 2}
+    assert all(abs(r.ss - fits[p].ss) < 1e-9 and abs(r.percent_sd - fits[p].percent_sd) < 1e-6 for p, r in report.items())
+    assert treedist.fit_report(splits, d.limit(0), 21).count() == 0
+
+
+def test_greedy_choice_against_sets(spark):
+    rnd = random.Random(9)
+    tips = "abcdefg"
+    table = {tuple(sorted(rnd.sample(tips[1:], rnd.randint(2, 5)))): float(rnd.randint(1, 6)) for _ in range(40)}
+    for everyone in (len(tips), None):
+        kept = []
+        for s, w in sorted(table.items(), key=lambda x: (-x[1], x[0])):
+            if all(C.compatible(set(s), set(t), everyone) for t, _ in kept):
+                kept.append((s, w))
+        df = spark.createDataFrame([("g", list(s), w, everyone) for s, w in table.items()], "grp string, split array<string>, weight double, tips int")
+        assert {(tuple(r.split), r.weight) for r in C.chosen_splits(df, "grp").collect()} == set(kept)
+        assert C.chosen_splits(df.limit(0), "grp").count() == 0
