@@ -16,6 +16,8 @@ from strandweave.plans.durable import durable
 
 #: Patterns that are multiplied together.
 TILE = 2048
+#: Numbers of 63 bits that hold a k-mer's samples, and names of samples (some 50 bytes each) that are broadcast.
+WORDS, BROADCAST = 16, 100_000
 
 
 def shared_table(counts: DataFrame, least: int = 2) -> DataFrame:
@@ -34,11 +36,27 @@ def wide_matrix(counts: DataFrame, columns: list[str], column: str = "sp", defau
     return counts.groupBy("panel", "kmer").pivot(column, columns).agg(F.first("cnt")).fillna(default, columns)
 
 
-def patterns(held: DataFrame) -> DataFrame:
-    """(panel, pattern ARRAY<STRING>, n): how many k-mers of a panel exactly the samples of the pattern hold, from (panel, sample, kmer), repeated or not.
-
-    One shuffle of what each task has combined. There are far fewer patterns than k-mers, so all that comes after is small."""
-    return held.groupBy("panel", "kmer").agg(F.array_sort(F.collect_set("sample")).alias("pattern")).groupBy("panel", "pattern").agg(F.count(F.lit(1)).alias("n"))
+def patterns(held: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """(panel, pattern ARRAY<STRING>, n): how many k-mers of a panel exactly the samples of the pattern hold, from (panel, sample, kmer), repeated or not. Rows with a null sample are left out.
+
+    One shuffle of what each task has combined: a k-mer's samples are bits of whole numbers, which are put together by hash aggregation, and names again only once
+    k-mers are counted. Panels of more than WORDS x 63 samples are put together as arrays of names. There are far fewer patterns than k-mers, so all that comes after is small.
+    samples: (panel, sample) of all rows, if these are to be had for less than from `held`; others do no harm."""
+    names = (held if samples is None else samples).select("panel", "sample").where("sample is not null").distinct()
+    known = durable(names.groupBy("panel").agg(F.array_sort(F.collect_list("sample")).alias("_names")))
+    most = known.agg(F.max(F.size("_names")), F.sum(F.size("_names"))).first()
+    words, few = range(-(-(most[0] or 1) // 63)), (most[1] or 0) <= BROADCAST
+    if len(words) > WORDS:
+        return held.where("sample is not null").groupBy("panel", "kmer").agg(F.array_sort(F.collect_set("sample")).alias("pattern")).groupBy("panel", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    place = known.select(F.col("panel").alias("_panel"), F.posexplode("_names").alias("_i", "_sample"))
+    near = F.broadcast(place) if few else place
+    rows = held.join(near, F.col("panel").eqNullSafe(F.col("_panel")) & (F.col("sample") == F.col("_sample")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_i") % 63)
+    masks = rows.groupBy("panel", "kmer").agg(*[F.bit_or(F.when(F.floor(F.col("_i") / 63) == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"_m{w}") for w in words])
+    counted = masks.groupBy("panel", *[f"_m{w}" for w in words]).agg(F.count(F.lit(1)).alias("n"))
+    held_by = lambda x, i: F.call_function("shiftrightunsigned", F.element_at(F.array(*[f"_m{w}" for w in words]), (F.floor(i / 63) + 1).cast("int")), (i % 63).cast("int")).bitwiseAND(1) == 1
+    back = known.select(F.col("panel").alias("_panel"), "_names")
+    return counted.join(F.broadcast(back) if few else back, F.col("panel").eqNullSafe(F.col("_panel"))).select("panel", F.filter("_names", held_by).alias("pattern"), "n")
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,9 +98,9 @@ def _product(row: np.ndarray, col: np.ndarray, weight: np.ndarray, width: int) -
     return i, j, total[i, j]
 
 
-def pair_shares(held: DataFrame) -> DataFrame:
+def pair_shares(held: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(panel, s1, s2, nshare BIGINT) of pairs s1 <= s2 of one panel that share a k-mer; s1 = s2 gives the sample's own number. From (panel, sample, kmer), repeated or not."""
-    return pattern_shares(patterns(held))
+    return pattern_shares(patterns(held, samples))
 
 
 def pattern_shares(counted: DataFrame) -> DataFrame:

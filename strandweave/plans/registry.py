@@ -63,7 +63,7 @@ def _lane(s: SparkSession, d: str, i: int) -> DataFrame:
 
 
 def _shares(s: SparkSession, d: str) -> DataFrame:
-    return sharing.pair_shares(_held(s, d))
+    return sharing.pair_shares(_held(s, d), _t(s, d, "kmer_t"))
 
 
 def _distances(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +173,7 @@ def _trimmed(s: SparkSession, d: str) -> DataFrame:
 
 
 def _patterns(s: SparkSession, d: str) -> DataFrame:
-    return sharing.patterns(_held(s, d))
+    return sharing.patterns(_held(s, d), _t(s, d, "kmer_t"))
 
 
 def _boot(s: SparkSession, d: str) -> DataFrame:

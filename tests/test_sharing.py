@@ -35,6 +35,20 @@ def test_shares_of_panels_with_nulls(spark):
     assert sharing.pair_shares(t.limit(0)).count() == 0
 
 
+def test_patterns_of_many_samples(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(p, f"s{r.randrange(150):03d}", str(r.randrange(60))) for p in ("p", "q") for _ in range(2500)] + [("r", "one", "1"), ("r", "one", "1")]
+    held = {}
+    for p, x, k in rows:
+        held.setdefault((p, k), set()).add(x)
+    want = Counter((p, tuple(sorted(x))) for (p, _), x in held.items())
+    t = spark.createDataFrame(rows, "panel string, sample string, kmer string")
+    for name, value in (("WORDS", 16), ("WORDS", 1), ("BROADCAST", 0)):
+        with monkeypatch.context() as m:
+            m.setattr(sharing, name, value)
+            assert {(x.panel, tuple(x.pattern)): x.n for x in sharing.patterns(t).collect()} == want
+
+
 def test_samples_that_share_nothing_stay_in_distances_and_trees(spark):
     held = spark.createDataFrame([("p", x, c) for x, y in {"a": "123", "b": "234", "c": "345", "far": "89", "thin": "7"}.items() for c in y] + [("q", "x", "1"), ("q", "y", "2")], "panel string, sample string, kmer string")
     d = distances_of(sharing.pair_shares(held), 21)
