@@ -29,6 +29,8 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 REMEMBERED, MEMORY = 48, 400_000
 #: Characters of the texts that are encoded together.
 TOGETHER = 4_000_000
+#: Bytes a core below which a table is spread.
+SMALL = 4 << 20
 
 
 class Ranks:
@@ -98,7 +100,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         # a space belongs to what follows it, so text can be cut before it: these stretches always begin and end at pre-tokens
         # White space as the pattern understands it (without the separators U+001C to U+001F)
-        space = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+        space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
         self.stretches = re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]").findall
         self.known: dict[str, bytes] = {}
 
@@ -198,6 +200,16 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return Encoder(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, moved to as many partitions as there are cores if it is so small that a scan leaves cores idle: smaller than what Spark counts for opening a file, for each core.
+
+    Work on texts is dear for their size, and Spark gives a small table, or one of a single row group, to one task. A larger table stays where it lies. No result depends on this."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL else df
+
+
 def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
     start, n = 0, 0
     for i, t in enumerate(texts):
@@ -210,7 +222,7 @@ def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) -> DataFrame:
-    """(key, ids ARRAY<INT>) of every row. Null and empty texts give an empty list; no special tokens; whole texts, in the scan's partitions, without a shuffle.
+    """(key, ids ARRAY<INT>) of every row. Null and empty texts give an empty list; no special tokens; whole texts, in the scan's partitions, without a shuffle (see spread()).
 
     Keys may be null or repeat: each row gives one row. `path` is the vocabulary's file on every executor."""
     schema = df.select(key).schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -226,4 +238,4 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
 
-    return df.select(key, F.col(text)).mapInArrow(run, schema)
+    return spread(df.select(key, F.col(text))).mapInArrow(run, schema)

@@ -301,3 +301,14 @@ def test_labelled_pages(spark):
     true = {i for i, (_, off) in enumerate(labelled) if off}
     assert len(found & true) >= 0.99 * len(true), [labelled[i][0][:300] for i in sorted(true - found)[:3]]
     assert len(found & true) >= 0.99 * len(found), [labelled[i][0][:300] for i in sorted(found - true)[:3]]
+
+
+def test_small_tables_are_spread_and_others_stay(spark, tmp_path, monkeypatch):
+    frame(spark, texts()[:200]).coalesce(1).write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    assert bpe.spread(d).rdd.getNumPartitions() == cores
+    few = sorted(map(str, bpe.encode_texts(d, "doc_id", "text").collect()))
+    monkeypatch.setattr(bpe, "SMALL", 1)
+    assert bpe.spread(d).rdd.getNumPartitions() == d.rdd.getNumPartitions()
+    assert sorted(map(str, bpe.encode_texts(d, "doc_id", "text").collect())) == few
