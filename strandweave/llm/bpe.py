@@ -200,13 +200,13 @@ def encoder(path: str = VOCABULARY) -> Encoder:
     return Encoder(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df, moved to as many partitions as there are cores if it is so small that a scan leaves cores idle: smaller than what Spark counts for opening a file, for each core.
+def spread(df: DataFrame, table: DataFrame) -> DataFrame:
+    """df, columns of `table`, moved to as many partitions as there are cores if the table is so small that a scan leaves cores idle: smaller than what Spark counts for opening a file, for each core.
 
     Work on texts is dear for their size, and Spark gives a small table, or one of a single row group, to one task. A larger table stays where it lies. No result depends on this."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * SMALL else df
 
 
@@ -238,4 +238,4 @@ def encode_texts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
 
-    return spread(df.select(key, F.col(text))).mapInArrow(run, schema)
+    return spread(df.select(key, F.col(text)), df).mapInArrow(run, schema)

@@ -106,7 +106,7 @@ def token_counts(df: DataFrame, key: str, text: str, path: str = VOCABULARY) ->
             n = [len(x) // 4 for i, j in _groups(texts) for x in e.encode(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], [key, "n"])
 
-    return spread(df.select(key, F.col(text))).mapInArrow(run, schema)
+    return spread(df.select(key, F.col(text)), df).mapInArrow(run, schema)
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str = VOCABULARY) -> DataFrame:

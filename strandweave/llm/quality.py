@@ -60,7 +60,7 @@ def document_frequencies(documents: DataFrame, text: str) -> DataFrame:
         if held:
             yield _counts(held)
 
-    return spread_out(documents.select(F.col(text)).where(F.col(text).isNotNull())).mapInArrow(run, "word string, pages bigint").groupBy("word").agg(F.sum("pages").alias("pages"))
+    return spread_out(documents.select(F.col(text)).where(F.col(text).isNotNull()), documents).mapInArrow(run, "word string, pages bigint").groupBy("word").agg(F.sum("pages").alias("pages"))
 
 
 def _counts(held: Counter) -> pa.RecordBatch:
@@ -254,7 +254,7 @@ def page_quality(documents: DataFrame, common_words: DataFrame, key: str = "doc_
                 columns = [pa.array(np.array(c, np.int64 if n == "n_words" else np.float64)) for n, c in zip(STATISTICS, (*most, runs, last), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *columns], [key, *STATISTICS])
 
-    return spread_out(documents.select(key, F.col(text))).mapInArrow(run, schema)
+    return spread_out(documents.select(key, F.col(text)), documents).mapInArrow(run, schema)
 
 
 #: The list of common words is a fixed list of a few hundred words; a longer one is an error of the caller's and refused.

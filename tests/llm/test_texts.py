@@ -307,8 +307,8 @@ def test_small_tables_are_spread_and_others_stay(spark, tmp_path, monkeypatch):
     frame(spark, texts()[:200]).coalesce(1).write.parquet(str(tmp_path / "d"))
     d = spark.read.parquet(str(tmp_path / "d")).select("doc_id", "text")
     cores = spark.sparkContext.defaultParallelism
-    assert bpe.spread(d).rdd.getNumPartitions() == cores
+    assert bpe.spread(d, d).rdd.getNumPartitions() == cores
     few = sorted(map(str, bpe.encode_texts(d, "doc_id", "text").collect()))
     monkeypatch.setattr(bpe, "SMALL", 1)
-    assert bpe.spread(d).rdd.getNumPartitions() == d.rdd.getNumPartitions()
+    assert bpe.spread(d, d).rdd.getNumPartitions() == d.rdd.getNumPartitions()
     assert sorted(map(str, bpe.encode_texts(d, "doc_id", "text").collect())) == few
