@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from strandweave.functions.dense import row_numbers
 from strandweave.functions.formulas import distance, distance_error
+from strandweave.functions.kmers import encode_2bit, explode_kmers
 from strandweave.operators.counting import count_kmers
 from strandweave.operators.newick import parse, split_table
-from strandweave.operators.sharing import _product, distances_of, pattern_shares, patterns
+from strandweave.operators.sharing import WORDS, _product, distances_of, pattern_shares, patterns, sample_places
 from strandweave.operators.treefit import Options, fit_tree, fit_trees
 from strandweave.plans.durable import durable, spread
 
@@ -65,20 +67,59 @@ def bootstrap_reads(reads: DataFrame, seed: int, by: str = "file", key: str = "r
     """Each file's reads drawn as often as it has reads, with replacement: the drawn reads with `draws`, the times they came. Null files are one file.
 
     With replicates, so many resamples, told apart by a column `replicate` from 1."""
+    numbered, keys, drawn = _draws(reads, seed, by, key, replicates)
+    return numbered.join(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws")), "_row").drop("_row")
+
+
+def _draws(reads: DataFrame, seed: int, by: str, key: str, replicates: int | None) -> tuple[DataFrame, list[str], DataFrame]:
+    """The reads with their number in order as _row; the columns of a draw, [replicate,] _row; a row a draw."""
     numbered = row_numbers(reads.withColumn(by, F.coalesce(by, F.lit(""))), by, key)
     span = numbered.groupBy(by).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
     rows, keys = numbered.select(by, "_row"), ["_row"]
     if replicates is not None:
         rows, keys = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))), ["replicate", "_row"]
-    drawn = rows.join(span, by).select(*keys[:-1], (F.col("_first") + F.floor(uniform(seed, *map(F.col, keys)) * F.col("_n"))).cast("bigint").alias("_row"))
-    return numbered.join(drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("draws")), "_row").drop("_row")
+    return numbered, keys, rows.join(span, by).select(*keys[:-1], (F.col("_first") + F.floor(uniform(seed, *map(F.col, keys)) * F.col("_n"))).cast("bigint").alias("_row"))
 
 
 def read_bootstrap_patterns(reads: DataFrame, replicates: int, seed: int, k: int, least: int = 1, by: str = "file", key: str = "read_id") -> DataFrame:
     """patterns() of the k-mers of resampled reads (key, panel, sample, by, seq), of which each replicate draws each file's; a replicate of a panel is a panel of its own,
-    named by _named(). All are counted by one aggregation. least: smallest count of a k-mer that is kept."""
-    counts = count_kmers(bootstrap_reads(reads, seed, by, key, replicates), k, least, weight="draws", by=("panel", "replicate"))
-    return patterns(counts.select(F.to_json(F.struct("panel", "replicate")).alias("panel"), "sample", "kmer"))
+    named by _named(). least: smallest count of a k-mer that is kept. Reads with a null sample are drawn but hold nothing.
+
+    Which replicates drew a read of which sample are bits of whole numbers, so that a read's k-mers are made and shuffled once for all replicates whose bits WORDS x 63 places of a panel's
+    samples hold, and a replicate costs as much as there are patterns. With least above 1, or of panels of more than WORDS x 63 samples, each replicate's k-mers are counted by themselves."""
+    known, most, few = sample_places(reads)
+    span = min(replicates, WORDS * 63 // most)
+    if least > 1 or not span:
+        counts = count_kmers(bootstrap_reads(reads, seed, by, key, replicates), k, least, weight="draws", by=("panel", "replicate"))
+        return patterns(counts.select(_name("panel", "replicate"), "sample", "kmer"))
+    numbered, _, drawn = _draws(reads, seed, by, key, replicates)
+    place = known.select(F.col("panel").alias("_panel"), F.posexplode("_names").alias("_i", "_sample"))
+    near = F.broadcast(place) if few else place
+    placed = durable(numbered.join(near, F.col("panel").eqNullSafe(F.col("_panel")) & (F.col("sample") == F.col("_sample"))).select("panel", "_i", "_row", "seq"))
+    parts = [_block_patterns(placed, drawn, known.hint("broadcast") if few else known, r, min(span, replicates + 1 - r), most, k) for r in range(1, replicates + 1, span)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _name(panel: str, replicate: str) -> Column:
+    return F.to_json(F.struct(F.col(panel).alias("panel"), F.col(replicate).alias("replicate"))).alias("panel")
+
+
+def _block_patterns(placed: DataFrame, drawn: DataFrame, known: DataFrame, first: int, span: int, most: int, k: int) -> DataFrame:
+    """read_bootstrap_patterns() of the replicates first, …, first + span - 1: bit i x span + j is sample i's in replicate first + j."""
+    m = [f"_m{w}" for w in range(-(-most * span // 63))]
+    bit = F.col("_i") * span + F.col("replicate") - first
+    once = F.call_function("shiftleft", F.lit(1).cast("bigint"), (bit % 63).cast("int"))
+    per_read = drawn.where(F.col("replicate").between(first, first + span - 1)).distinct().join(placed.select("_row", "_i"), "_row")
+    per_read = per_read.groupBy("_row").agg(*[F.bit_or(F.when(F.floor(bit / 63) == w, once).otherwise(F.lit(0).cast("bigint"))).alias(x) for w, x in enumerate(m)])
+    kmers = explode_kmers(placed.join(per_read, "_row"), "seq", k, "panel", *m)
+    if k <= 31:
+        kmers = kmers.withColumn("kmer", encode_2bit("kmer"))
+    joint = kmers.groupBy("panel", "kmer").agg(*[F.bit_or(x).alias(x) for x in m]).groupBy("panel", *m).agg(F.count(F.lit(1)).alias("n"))
+    each = joint.withColumn("replicate", F.explode(F.sequence(F.lit(first), F.lit(first + span - 1)))).join(known.withColumnRenamed("panel", "_panel"), F.col("panel").eqNullSafe(F.col("_panel")))
+    held_at = lambda i: i * span + F.col("replicate") - first
+    holds = lambda x, i: F.call_function("shiftrightunsigned", F.element_at(F.array(*m), (F.floor(held_at(i) / 63) + 1).cast("int")), (held_at(i) % 63).cast("int")).bitwiseAND(1) == 1
+    held = each.select(_name("panel", "replicate"), F.filter("_names", holds).alias("pattern"), "n").where(F.size("pattern") > 0)
+    return held.groupBy("panel", "pattern").agg(F.sum("n").alias("n"))
 
 
 def _named(trees: DataFrame, *more: str | Column) -> DataFrame:

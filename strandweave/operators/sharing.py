@@ -36,16 +36,22 @@ def wide_matrix(counts: DataFrame, columns: list[str], column: str = "sp", defau
     return counts.groupBy("panel", "kmer").pivot(column, columns).agg(F.first("cnt")).fillna(default, columns)
 
 
+def sample_places(samples: DataFrame) -> tuple[DataFrame, int, bool]:
+    """(panel, _names) of (panel, sample): each panel's samples in order, computed once; the most samples of a panel, at least 1; whether all are few enough to be broadcast."""
+    names = samples.select("panel", "sample").where("sample is not null").distinct()
+    known = durable(names.groupBy("panel").agg(F.array_sort(F.collect_list("sample")).alias("_names")))
+    most = known.agg(F.max(F.size("_names")), F.sum(F.size("_names"))).first()
+    return known, most[0] or 1, (most[1] or 0) <= BROADCAST
+
+
 def patterns(held: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """(panel, pattern ARRAY<STRING>, n): how many k-mers of a panel exactly the samples of the pattern hold, from (panel, sample, kmer), repeated or not. Rows with a null sample are left out.
 
     One shuffle of what each task has combined: a k-mer's samples are bits of whole numbers, which are put together by hash aggregation, and names again only once
     k-mers are counted. Panels of more than WORDS x 63 samples are put together as arrays of names. There are far fewer patterns than k-mers, so all that comes after is small.
     samples: (panel, sample) of all rows, if these are to be had for less than from `held`; others do no harm."""
-    names = (held if samples is None else samples).select("panel", "sample").where("sample is not null").distinct()
-    known = durable(names.groupBy("panel").agg(F.array_sort(F.collect_list("sample")).alias("_names")))
-    most = known.agg(F.max(F.size("_names")), F.sum(F.size("_names"))).first()
-    words, few = range(-(-(most[0] or 1) // 63)), (most[1] or 0) <= BROADCAST
+    known, most, few = sample_places(held if samples is None else samples)
+    words = range(-(-most // 63))
     if len(words) > WORDS:
         return held.where("sample is not null").groupBy("panel", "kmer").agg(F.array_sort(F.collect_set("sample")).alias("pattern")).groupBy("panel", "pattern").agg(F.count(F.lit(1)).alias("n"))
     place = known.select(F.col("panel").alias("_panel"), F.posexplode("_names").alias("_i", "_sample"))

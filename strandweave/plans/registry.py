@@ -197,7 +197,7 @@ def _noisy_trees(s: SparkSession, d: str) -> DataFrame:
 
 
 def _read_trees(s: SparkSession, d: str) -> DataFrame:
-    r = _t(s, d, "seq_reads").where(F.col("read_id").isNotNull() & F.col("sample").contains(".")).groupBy("read_id", "sample").agg(F.min("file").alias("file"), F.min("seq").alias("seq"))
+    r = _t(s, d, "seq_reads").where(F.col("read_id").isNotNull() & F.col("sample").contains(".")).select("read_id", "sample", "file", "seq").distinct()
     return bootstrap.read_bootstrap_trees(r.withColumn("panel", F.substring_index("sample", ".", 1)), REPLICATES, SEED, K)
 
 

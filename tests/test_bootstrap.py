@@ -194,3 +194,42 @@ def test_trees_of_resampled_reads(spark):
     got = consensus.consensus_trees(again.where("resampled > 0"), "panel").collect()
     assert {(r.panel, r.n_trees) for r in got} == {("p", 8), ("q", 8)}
     assert all(("c", "d") in newick.split_table(newick.parse(r.newick)[0]) for r in got)
+
+
+def test_patterns_of_resampled_reads(spark):
+    """Null panels, samples, files and sequences, empty ones and further columns: a read without a sample is drawn and holds nothing."""
+    from collections import Counter
+
+    rows = [*some_reads(), (10_000, "p", "a", "f", None), (10_001, "p", "a", "f", ""), (10_002, None, "z", None, "ACGTTGCAACGGATTACGATC"), (10_003, "p", None, "g", "ACGTTGCAACGGATTACGATC")]
+    bare = spark.createDataFrame(rows, "read_id bigint, panel string, sample string, file string, seq string")
+    reads = bare.withColumn("_m0", B.F.lit("x")).withColumn("n", B.F.lit(1))  # columns of clashing names
+    drawn = B.bootstrap_reads(bare, 5, replicates=6).where("sample is not null").collect()
+    counted = Counter()
+    for r in drawn:
+        for kmer, c in brute([r.seq or ""], 9).items():
+            counted[r.panel, r.replicate, kmer, r["sample"]] += c * r.draws
+
+    def want(least):
+        held = {}
+        for (*key, sample), c in counted.items():
+            if c >= least:
+                held.setdefault(tuple(key), set()).add(sample)
+        return Counter((panel, replicate, tuple(sorted(s))) for (panel, replicate, _), s in held.items())
+
+    of = B.F.from_json("panel", "panel string, replicate int")
+    table = lambda least: {(r.p, r.r, tuple(r.pattern)): r.n for r in B.read_bootstrap_patterns(reads, 6, 5, 9, least).select(of["panel"].alias("p"), of["replicate"].alias("r"), "pattern", "n").collect()}
+    assert table(1) == want(1)
+    assert table(2) == want(2)
+
+
+def test_patterns_of_resampled_reads_in_blocks(spark, monkeypatch):
+    reads = spark.createDataFrame([(i, "p", f"s{i % 40:02}", "f", "ACGTTGCAACGGATTACGATC"[i % 7 :]) for i in range(120)], "read_id bigint, panel string, sample string, file string, seq string")
+    table = lambda: sorted((r.panel, tuple(r.pattern), r.n) for r in B.read_bootstrap_patterns(reads, 5, 3, 9).collect())
+    want = table()
+    monkeypatch.setattr(B, "WORDS", 2)  # 126 places: three replicates of 40 samples, then two
+    assert table() == want
+    monkeypatch.setattr(B, "WORDS", 0)  # each replicate counted by itself
+    assert table() == want
+    empty = reads.where("read_id < 0")
+    monkeypatch.undo()
+    assert B.read_bootstrap_patterns(empty, 5, 3, 9).count() == 0
