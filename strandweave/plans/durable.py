@@ -59,6 +59,6 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df hashed by keys into the session's number of shuffle partitions, for groups that are few bytes but much work: adaptive execution would join such
-    partitions by their size and fit all trees in one task."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    """df hashed by keys into one partition more than the session shuffles into, for groups that are few bytes but much work: adaptive execution would join such
+    partitions by their size and fit all trees in one task. A repartition into as many as a join or grouping by the same keys gives is left out by Spark, hence one more."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *keys)

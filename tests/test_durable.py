@@ -46,3 +46,16 @@ def test_masters_of_one_machine():
 def test_rows_survive(spark):
     assert sorted(r.id for r in durable.durable(spark.range(5)).collect()) == [0, 1, 2, 3, 4]
     assert "checkpoints" in durable.checkpoint_dir(spark)
+
+
+def test_spread_outlasts_a_grouping_by_the_same_keys(spark):
+    """Adaptive execution puts the few bytes of a grouped table in one partition; what is spread keeps many."""
+    from pyspark.sql import functions as F
+
+    from strandweave.plans.durable import spread
+
+    grouped = spark.range(400).groupBy((F.col("id") % 40).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    tasks = spread(grouped, "g").groupBy("g").applyInPandas(lambda p: p, "g bigint, n bigint").withColumn("p", F.spark_partition_id())
+    assert tasks.select("p").distinct().count() > 2 and tasks.count() == 40
+    assert parts(grouped) <= parts(spread(grouped, "g"))
