@@ -27,7 +27,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: distinct.repeated_days(k(s, d)),
         "p1_distinct": lambda s, d: distinct.distinct_rollup(k(s, d), sample_days=True),
-        "p1_intervals": lambda s, d: distinct.interval_check(k(s, d)),
+        "p1_intervals": lambda s, d: distinct.interval_check(k(s, d)).withColumn("count_day", F.date_format("count_day", "yyyy-MM-dd")),
         "p2_found": lambda s, d: overlap.sample_overlaps(k(s, d), 48).select("s1", "s2"),
         "p2_overlap": lambda s, d: overlap.sample_overlaps(k(s, d)),
         "p3_found": lambda s, d: cooccur.more_than_chance(cooccur.sample_cooccurrence(k(s, d))).select("s1", "s2"),
@@ -80,7 +80,7 @@ c as (select list(distinct lower(word)) as cs from common_words where word is no
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p1_intervals": f"with {_USABLE} {_LEVELS}",
+        "p1_intervals": f"with {_USABLE}, e as ({_LEVELS}) select * replace (count_day::varchar as count_day) from e",
         "p5_totals": f"with {_USABLE} select kmer, coalesce(sum(cnt), 0)::bigint as total from u group by kmer order by total desc, kmer limit 20",
         "p8_coverage": "select doc_id, true as covered from documents",
         "p8_fullness": "select true as tight, 0::bigint as over",
